@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import host_rules, nbest, pieces, quality, token_counts
-from kinweave.shared import table
+from kinweave.llm import host_rules, jaccard, nbest, pieces, quality, sharding, token_counts, warc
+from kinweave.shared import scratch_path, table
 
 #: Where the vocabulary files are; read on the driver alone.
 TOKENIZERS = os.environ.get("KINWEAVE_TOKENIZERS", "/opt/tokenizers")
@@ -55,5 +55,33 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")).select("doc_id", "n_tokens", F.col("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op6_token_counts)}
-ORACLE = {"op3_host_rules": OP3_SQL}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder and read back in ranges; what it returns is what the reader found."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.reach) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY ALL
+"""
+
+
+def op10_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = sharding.reshard(table(spark, sf_dir, "documents"), shards=40)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op5_warc, op6_token_counts, op8_ngram_jaccard, op10_flow_sharding)}
+ORACLE = {"op3_host_rules": OP3_SQL, "op8_ngram_jaccard": OP8_SQL}
