@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import host_rules, jaccard, nbest, pieces, quality, sharding, token_counts, warc
+from kinweave.llm import decontam, host_rules, jaccard, nbest, pieces, quality, sharding, token_counts, warc
 from kinweave.shared import scratch_path, table
 
 #: Where the vocabulary files are; read on the driver alone.
@@ -61,6 +61,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -83,5 +87,5 @@ def op10_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op5_warc, op6_token_counts, op8_ngram_jaccard, op10_flow_sharding)}
-ORACLE = {"op3_host_rules": OP3_SQL, "op8_ngram_jaccard": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op5_warc, op6_token_counts, op7_template_decontamination, op8_ngram_jaccard, op10_flow_sharding)}
+ORACLE = {"op3_host_rules": OP3_SQL, "op7_template_decontamination": decontam.sql(), "op8_ngram_jaccard": OP8_SQL}
