@@ -41,7 +41,11 @@ def marked(text: Column) -> Column:
 
 
 def windows(table: DataFrame, key: str, window: int) -> DataFrame:
-    """key, words, h: the tokens and the hash of each template window, as arrays."""
+    """key, words, template, h: the tokens, and the hash of each template window (null: too few), as arrays.
+
+    Explode h with outer and filter afterwards: for a plain explode, Spark infers a filter on h and pushes
+    it below, where all of marked() would be computed again for every window.
+    """
     text = table.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, marked(F.col("text")).alias("t"))
     words = text.select(key, F.split("t", " ").alias("words"), F.split(F.regexp_replace("t", SLOT, "$1"), " ").alias("template"))
     starts = F.when(F.size("template") >= window, F.sequence(F.lit(1), F.size("template") - window + 1))  # a sequence to 0 would count down
@@ -54,11 +58,11 @@ def _slots(words: str, pos: str, window: int) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int = 13, min_literals: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, item_id, run_tokens, matched_windows, kind of each contaminated pair."""
-    items = windows(benchmark, "item_id", window).select("item_id", "words", "template", F.size("words").alias("item_tokens"), F.posexplode("h").alias("ipos", "h"))
+    items = windows(benchmark, "item_id", window).select("item_id", "words", "template", F.size("words").alias("item_tokens"), F.posexplode_outer("h").alias("ipos", "h")).where("h IS NOT NULL")
     literals = F.size(F.filter(F.slice("template", F.col("ipos") + 1, window), lambda w: ~w.isin(NUM, NAME, UNIT)))
     items = written(items.where(literals >= min_literals).select("item_id", "item_tokens", "ipos", "h", _slots("words", "ipos", window).alias("islots")).distinct(), "benchmark_windows")
 
-    cut = windows(docs, "doc_id", window).select("doc_id", "words", F.posexplode("h").alias("pos", "h"))
+    cut = windows(docs, "doc_id", window).select("doc_id", "words", F.posexplode_outer("h").alias("pos", "h")).where("h IS NOT NULL")
     if items.count() <= broadcast_rows:
         # the benchmark's windows were counted: they fit in every task, and the documents' are not shuffled
         met = cut.join(F.broadcast(items), "h").select("doc_id", "pos", "item_id", "item_tokens", "ipos", "islots", _slots("words", "pos", window).alias("slots"))
