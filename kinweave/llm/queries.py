@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontam, host_rules, jaccard, nbest, pieces, quality, sharding, token_counts, warc
+from kinweave.llm import decontam, host_rules, jaccard, nbest, pieces, quality, sharding, substrings, token_counts, warc
 from kinweave.shared import scratch_path, table
 
 #: Where the vocabulary files are; read on the driver alone.
@@ -82,10 +82,14 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.reach) AS component_id FROM n JOIN r O
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = sharding.reshard(table(spark, sf_dir, "documents"), shards=40)
     return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op5_warc, op6_token_counts, op7_template_decontamination, op8_ngram_jaccard, op10_flow_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op5_warc, op6_token_counts, op7_template_decontamination, op8_ngram_jaccard, op9_suffix_dedup, op10_flow_sharding)}
 ORACLE = {"op3_host_rules": OP3_SQL, "op7_template_decontamination": decontam.sql(), "op8_ngram_jaccard": OP8_SQL}
