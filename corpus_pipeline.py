@@ -1,24 +1,59 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's docs."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's docs.
+
+Every stage works on all rows that its predecessor kept. Rows with null doc_id can't be named by a verdict
+and stay; all stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm import quality
+from kinweave.llm import decontam, jaccard, nbest, pieces, pii, quality
+from kinweave.llm.queries import TOKENIZERS
 from kinweave.shared import drop_path, scratch_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; rows whose doc_id is null have nothing to be judged by and stay."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.min("predicted").alias("predicted"))
-    rejected = judged.where("predicted = 0").select("doc_id")
+    """Documents that the classifier rejects go."""
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
+    rejected = judged.where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("quality classifier", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest doc_id, and one row of it."""
+    grouped = jaccard.near_duplicates(docs)
+    kept = grouped.where("component_id = doc_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy([F.asc_nulls_first(c) for c in docs.columns if c != "doc_id"]))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or a re-parameterised one, go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in every text."""
+    return pii.masked(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, scores, ids_sha256, decoded_ok and the ids of the two best segmentations of each text."""
+    return nbest.encode_documents(docs, pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model"), n=2)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("sentencepiece encoding", encoding_stage),
+]
 
-#: The stages use trained models, so SQL can't say the same; tests hold each stage against brute force.
+#: Trained models and a tokenizer are at work, so SQL can't say the same; tests hold stages against brute force.
 ORACLE_SQL = None
 
 

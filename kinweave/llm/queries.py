@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontam, host_rules, jaccard, nbest, pieces, quality, sharding, substrings, token_counts, warc
+from kinweave.llm import decontam, host_rules, jaccard, nbest, pieces, pii, quality, sharding, substrings, token_counts, warc
 from kinweave.shared import scratch_path, table
 
 #: Where the vocabulary files are; read on the driver alone.
@@ -55,6 +55,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")).select("doc_id", "n_tokens", F.col("score"))
 
 
+def op4_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to the shared folder and read back in ranges; what it returns is what the reader found."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
@@ -91,5 +95,5 @@ def op10_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op5_warc, op6_token_counts, op7_template_decontamination, op8_ngram_jaccard, op9_suffix_dedup, op10_flow_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op4_pii_bilstm_crf, op5_warc, op6_token_counts, op7_template_decontamination, op8_ngram_jaccard, op9_suffix_dedup, op10_flow_sharding)}
 ORACLE = {"op3_host_rules": OP3_SQL, "op7_template_decontamination": decontam.sql(), "op8_ngram_jaccard": OP8_SQL}
