@@ -38,6 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner removes shuffle files that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 
