@@ -4,10 +4,10 @@
 2. Similar nodes are partitioned into groups: nodes that share a min-hash meet its smallest holder, and
    where the exact overlap says they link, they join its group. These links are kept.
 3. The matrix has a row for each (token, group): each group's union of its members' index tokens. A
-   node's index tokens are those that any partner must share: all but the ceil(threshold x size) - 1 most
-   frequent of its set, in one order of all tokens (a bounded count sketch, then hash). A query's overlap
-   with a group is bounded by its matches in the matrix plus the tokens that are not indexed; groups below
-   the bound, or with no member of a fitting size, stay closed.
+   node's index tokens are all but the ceil(threshold x size) - 1 most frequent of its set, in one order of
+   all tokens (a bounded count sketch, then hash). A query's overlap with a group is bounded by its matches
+   in the matrix plus the tokens that are not indexed; groups whose bound is below the overlap that a link
+   needs, or with no member of a fitting size, stay closed.
 4. Only qualifying groups are opened: the query meets their members of fitting size and the exact overlap
    decides. Links of 2 and 4 make the components.
 
@@ -43,32 +43,65 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit word hashes, remembered within bounds."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        got = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) < 64:
-            self[word] = got
-        return got
-
-
-WORDS = WordHashes()
-
-
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles. bytes.split() and bytes.lower() are ASCII-only, as wanted."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.array(list(map(WORDS.__getitem__, words)), dtype=np.uint64)
-    k = min(n, len(h))
-    out = np.zeros(len(h) - k + 1, dtype=np.uint64)
-    for i in range(k):
-        out = _mix(out * M1 + h[i : len(h) - k + 1 + i] + np.uint64(i + 1))
-    return np.unique(out + np.uint64(k))
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte (upper-case ASCII as lower-case), and which bytes are white space."""
+    of = np.random.default_rng(23).integers(1, 2**64, 256, dtype=np.uint64)
+    of[65:91] = of[97:123]
+    space = np.zeros(256, dtype=bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return of, space
+
+
+BYTES, SPACES = _byte_tables()
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+def _hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and 64-bit hash of each word: differences of one running polynomial, moved to the same power and mixed."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    gap = SPACES[b]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
+    lo, hi = edge[::2], edge[1::2]
+    run = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(BYTES[b] * _powers(BASE, len(b)), out=run[1:])
+    return lo, _mix((run[hi] - run[lo]) * _powers(BACK, len(b) + 1)[lo] + (hi - lo).astype(np.uint64))
+
+
+def shingle_sets(texts: list[str | None], n: int = 5, most: int = 1 << 21):
+    """Of each text the sorted distinct hashes of its n-word shingles, computed for about ``most`` bytes of text at a time."""
+    lo = 0
+    while lo < len(texts):
+        raws, size = [], 0
+        while lo + len(raws) < len(texts) and (not raws or size < most):
+            raws.append((texts[lo + len(raws)] or "").encode("utf-8", "replace"))
+            size += len(raws[-1]) + 1
+        lo += len(raws)
+        starts, h = _hashed_words(b"\n".join(raws))
+        stops = np.cumsum([len(r) + 1 for r in raws])
+        of = np.searchsorted(stops, starts, side="right")  # each word's text
+        last = np.searchsorted(of, np.arange(len(raws)), side="right")
+        first = np.concatenate([[0], last[:-1]])
+        whole = np.zeros(max(0, len(h) - n + 1), dtype=np.uint64)
+        for i in range(n):
+            whole = _mix(whole * M1 + h[i : len(h) - n + 1 + i] + np.uint64(i + 1)) if len(whole) else whole
+        for a, z in zip(first.tolist(), last.tolist(), strict=True):
+            if z - a >= n:
+                yield np.unique(whole[a : z - n + 1] + np.uint64(n))
+            elif z > a:
+                few = np.zeros(1, dtype=np.uint64)
+                for i in range(z - a):
+                    few = _mix(few * M1 + h[a + i] + np.uint64(i + 1))
+                yield few + np.uint64(z - a)
+            else:
+                yield np.zeros(0, dtype=np.uint64)
 
 
 def needed(size: int, percent: int) -> int:
@@ -88,11 +121,10 @@ def _summaries(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
         for batch in batches:
             ids = batch.schema.field("doc_id").type
             size, fp, keys = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, n)
+            for s in shingle_sets(batch.column("text").to_pylist(), n):
                 size.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append([int(_mix(s ^ x).min().astype(np.int64)) for x in salts] if len(s) else None)
+                keys.append(_mix(s[None, :] ^ salts[:, None]).min(axis=1).astype(np.int64).tolist() if len(s) else None)
                 at = (s >> shift).astype(np.int64)
                 sketch[at] += sketch[at] < 65535
             none = pa.nulls(len(size))
@@ -135,10 +167,10 @@ def _index_tokens(docs: DataFrame, n: int, percent: int, levels: np.ndarray) ->
         order = shared.value
         for batch in batches:
             size, flat, stops = [], [], [0]
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, n)
+            for s in shingle_sets(batch.column("text").to_pylist(), n):
                 keep = len(s) - needed(len(s), percent) + 1 if len(s) else 0
-                flat.append(s[np.lexsort((s, order[(s >> shift).astype(np.int64)]))[:keep]])
+                key = (order[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                flat.append(s[np.argsort(key, kind="stable")[:keep]])
                 size.append(len(s))
                 stops.append(stops[-1] + keep)
             tokens = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(flat).astype(np.int64) if flat else [], pa.int64()))
@@ -151,6 +183,17 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
+def _must_match(size: str, other: str, percent: int):
+    """Fewest index tokens in common of two sets that link: if this one's index ends first in the order, and if the other's does.
+
+    The one that ends first has all its unmatched index tokens outside the other set, so the overlap is at
+    most its matches plus what it does not index, and the overlap of a link is percent / (100 + percent) of both sizes.
+    """
+    a, b = F.col(size), F.col(other)
+    overlap = F.ceil(percent * (a + b) / (100 + percent) - F.lit(1e-9))
+    return tuple(F.greatest(F.lit(1), overlap - F.ceil(percent * x / 100 - F.lit(1e-9)) + 1) for x in (a, b))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link exactly. Sets are made anew from the texts of the documents in pairs, before any is copied to its pairs."""
     pairs = written(pairs, "pairs")
@@ -159,7 +202,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, n).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), n)], pa.binary())], ["doc_id", "s"])
 
     made = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, f"doc_id {kind}, s binary"), "sets")
 
@@ -202,12 +245,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     crossing = written(postings.join(several, "token", "left_semi"), "crossing")
     matrix = crossing.groupBy("token", F.col("group").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
     met = crossing.join(matrix, "token").where("group <> other").where((F.col("least") * percent <= F.col("size") * 100) & (F.col("most") * 100 >= F.col("size") * percent))
-    matches = met.groupBy("node", "size", "group", "other").agg(F.countDistinct("token").alias("matches"))
-    need = F.ceil(F.col("size") * percent / 100)
-    unindexed = need - 1  # all that is not indexed could match
-    opened = matches.where(F.col("matches") + unindexed >= need).select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("other").alias("group"))
-    met = opened.join(members.select(F.col("node").alias("b"), F.col("size").alias("sb"), "group"), "group").where(_fits("sa", "sb", percent))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    matches = met.groupBy("node", "size", "other").agg(F.count(F.lit(1)).alias("matches"))
+    groups = members.groupBy(F.col("group").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    # only qualifying groups are opened, and in them only members of a size that the matches can carry
+    # (less one: between its ends the second bound can dip by a rounding)
+    opened = matches.join(groups, "other").where(F.col("matches") + 1 >= F.least(_must_match("size", "least", percent)[0], _must_match("size", "most", percent)[1]))
+    inside = opened.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("other").alias("group"), "matches").join(members.select(F.col("node").alias("b"), F.col("size").alias("sb"), "group"), "group")
+    inside = inside.where(_fits("sa", "sb", percent)).where(F.col("matches") >= F.least(*_must_match("sa", "sb", percent)))
+    # a link shows from both of its sides
+    pairs = inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")
     links = star_links.union(_verified(pairs, docs, n, percent))
 
     found = components(links)

@@ -35,7 +35,7 @@ class PieceTable:
         t = (text or "").encode("utf-8", "replace").decode("utf-8")
         if not t:
             return []
-        if SPACE in t or "  " in t:
+        if SPACE in t or "  " in t or t[0] == " ":
             return WORD.findall(self.normalise(t))
         out: list[str] = []
         lines = t.split("\n")
