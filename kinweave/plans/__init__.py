@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from kinweave.plans import analysis_queries, graph_queries, relational_queries, text_queries  # noqa: F401
+from kinweave.plans import analysis_queries, graph_queries, more_queries, relational_queries, text_queries  # noqa: F401
