@@ -72,13 +72,15 @@ def map_layer_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("k", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("n"), "place_id"))).where("k <= 10").drop("k")
 
 
-@query("proximity_clusters", with_relations(""", p AS (SELECT place_id, min(lat) AS lat, min(lon) AS lon, count(*) AS n FROM visits WHERE place_id % 7 < 2 GROUP BY place_id),
+@query("proximity_clusters", with_relations(""", p AS (SELECT place_id, min(lat) AS lat, min(lon) AS lon, count(*) AS n FROM visits GROUP BY place_id HAVING count(*) > (SELECT count(*) / count(DISTINCT place_id) FROM visits)),
 e AS (SELECT a.place_id AS a, b.place_id AS b FROM p a JOIN p b ON a.place_id <> b.place_id AND abs(a.place_id - b.place_id) <= 1),
 r AS (SELECT place_id AS node, place_id AS reach FROM p UNION SELECT node, b FROM r JOIN e ON reach = a), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY node)
 SELECT cluster, count(*) AS places, CAST(sum(n) AS BIGINT) AS visits, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM c JOIN p ON node = place_id GROUP BY cluster HAVING count(*) >= 2""", "visits", recursive=True))
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring places joined into runs: places lie on one line here, so a run is a difference of ranks."""
-    p = relation(spark, sf_dir, "visits").where("place_id % 7 < 2").groupBy("place_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count(F.lit(1)).alias("n"))
+    """Neighbouring busy places (more visits than the mean) joined into runs: places lie on one line here, so a run is a difference of ranks."""
+    v = relation(spark, sf_dir, "visits")
+    p = v.groupBy("place_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count(F.lit(1)).alias("n"))
+    p = p.where(F.col("n") > v.agg(F.count(F.lit(1)) / F.countDistinct("place_id")).scalar())
     run = p.withColumn("run", F.col("place_id") - F.row_number().over(Window.orderBy("place_id")))
     return run.groupBy("run").agg(F.min("place_id").alias("cluster"), F.count(F.lit(1)).alias("places"), F.sum("n").alias("visits"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon")).where("places >= 2").drop("run")
 
@@ -89,12 +91,13 @@ def shared_claim_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumnRenamed("source", "a").join(x.withColumnRenamed("source", "b"), "object_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
-@query("near_duplicate_passages", with_relations(f""", g AS (SELECT DISTINCT source_id, substr(body, 1, 120) AS head, {grams('substr(body, 1, 120)')} AS g FROM passages WHERE n_chars >= 80)
-SELECT a.source_id AS a, b.source_id AS b, count(*) AS pairs FROM g a JOIN g b ON a.source_id < b.source_id AND a.head[1:12] = b.head[1:12] AND {sets('a.g', 'b.g')} >= 0.86 GROUP BY ALL""", "passages"))
+@query("near_duplicate_passages", with_relations(f""", g AS (SELECT source_id, {grams('body')} AS g, list_max(list_transform(list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: {{'n': len(w), 'w': w}})).w AS block FROM (SELECT DISTINCT source_id, body FROM passages WHERE n_chars >= 80))
+SELECT a.source_id AS a, b.source_id AS b, count(*) AS pairs FROM g a JOIN g b ON a.source_id < b.source_id AND a.block = b.block AND {sets('a.g', 'b.g')} >= 0.86 GROUP BY ALL""", "passages"))
 def near_duplicate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening words of passages of different sources whose trigrams agree, among those with a common beginning."""
-    p = relation(spark, sf_dir, "passages").where("n_chars >= 80").select("source_id", F.substring("body", 1, 120).alias("head")).distinct()
-    p = p.select("source_id", F.substring("head", 1, 12).alias("block"), T.trigrams(F.col("head")).alias("g"))
+    """Passages of different sources whose trigrams agree, among those that share their longest word."""
+    p = relation(spark, sf_dir, "passages").where("n_chars >= 80").select("source_id", "body").distinct()
+    longest = F.array_max(F.transform(T.words(F.col("body")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    p = p.select("source_id", longest.alias("block"), T.trigrams(F.col("body")).alias("g"))
     a, b = (p.select(F.col("source_id").alias(s), F.col("g").alias(f"g{s}"), "block") for s in "ab")
     return a.join(b, "block").where("a < b").where(T.set_similarity(F.col("ga"), F.col("gb")) >= 0.86).groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"))
 
@@ -104,13 +107,13 @@ def corroborators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "claims").groupBy("object_id").agg(F.countDistinct(F.col("order_id") % 20).alias("sources"), F.count_if(F.col("status") == "supported").alias("support"), F.count_if(F.col("status") == "contested").alias("counter")).where("sources >= 3")
 
 
-@query("tree_diff", """WITH a AS (SELECT s_suppkey AS id, s_nationkey AS v FROM supplier WHERE s_suppkey % 5 <> 0), b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS v FROM supplier WHERE s_suppkey % 6 <> 0)
+@query("tree_diff", """WITH a AS (SELECT s_suppkey AS id, s_nationkey AS v FROM supplier WHERE s_acctbal > 0), b AS (SELECT s_suppkey AS id, CASE WHEN s_acctbal > 8000 THEN s_nationkey + 1 ELSE s_nationkey END AS v FROM supplier WHERE s_nationkey <> 7)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.v <> b.v""")
 def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a tree, matched by person."""
     s = table(spark, sf_dir, "supplier")
-    a = s.where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("va"))
-    b = s.where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 7 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")).alias("vb"))
+    a = s.where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("va"))
+    b = s.where("s_nationkey <> 7").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 8000, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")).alias("vb"))
     change = F.when(F.col("va").isNull(), "added").when(F.col("vb").isNull(), "removed").when(F.col("va") != F.col("vb"), "changed")
     return a.join(b, "id", "full_outer").select("id", change.alias("change")).where("change IS NOT NULL")
 
@@ -128,17 +131,20 @@ def activity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
 
 
-RANKED = "WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20)"
+RANKED = "WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)"
 
 
 @query("recall_mrr", RANKED + ", f AS (SELECT q, min(place) FILTER (WHERE hit) AS first FROM r GROUP BY q) SELECT count(*) AS cases, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS success_at_5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM f")
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty query vectors in one block against all vectors; every row is scored where it lies."""
+    """Every hundredth vector is a query against all vectors: queries are dealt into blocks of about 256, and each row meets each block once."""
     from kinweave.functions.numbers import cosine
 
     e = table(spark, sf_dir, "embeddings")
-    block = e.where("vec_id < 20").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.col("label").alias("l"))).alias("block"))
-    scored = e.withColumn("x", F.explode(block.scalar())).where("vec_id <> x.q").select(F.col("x.q").alias("q"), "vec_id", (F.col("label") == F.col("x.l")).alias("hit"), F.round(cosine(F.col("x.v"), F.col("embedding")), 6).alias("s"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.col("label").alias("l"))
+    n = max(1, -(-asked.count() // 256))
+    blocks = asked.groupBy(F.pmod(F.hash("q"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("q", "v", "l")).alias("asked"))
+    met = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").withColumn("x", F.explode("asked")).where("vec_id <> x.q")
+    scored = met.select(F.col("x.q").alias("q"), "vec_id", (F.col("label") == F.col("x.l")).alias("hit"), F.round(cosine(F.col("x.v"), F.col("embedding")), 6).alias("s"))
     first = scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).groupBy("q").agg(F.min(F.when(F.col("hit"), F.col("place"))).alias("first"))
     return first.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)), 6).alias("success_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 

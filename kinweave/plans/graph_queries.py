@@ -92,19 +92,18 @@ def branch_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "claims").where("subject_id = 3 OR object_id = 3").select("claim_id", "subject_id", "object_id", "status").orderBy("claim_id").limit(50)
 
 
-@query("source_entities", with_relations(", c AS (SELECT * FROM claims WHERE order_id % 20 = 4) SELECT side, entity_id, min(claim_id) AS claim_id FROM (SELECT 'subject' AS side, subject_id AS entity_id, claim_id FROM c UNION ALL SELECT 'object', object_id, claim_id FROM c) GROUP BY side, entity_id", "claims"))
+@query("source_entities", with_relations(" SELECT source, side, entity_id, min(claim_id) AS claim_id FROM (SELECT order_id % 20 AS source, 'subject' AS side, subject_id AS entity_id, claim_id FROM claims UNION ALL SELECT order_id % 20, 'object', object_id, claim_id FROM claims) GROUP BY ALL", "claims"))
 def source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that a source speaks of, by side, each with its first claim."""
+    """Entities that each source speaks of, by side, each with its first claim."""
     sides = F.explode(F.array(F.struct(F.lit("subject").alias("side"), F.col("subject_id").alias("entity_id")), F.struct(F.lit("object").alias("side"), F.col("object_id").alias("entity_id"))))
-    return relation(spark, sf_dir, "claims").where("order_id % 20 = 4").select("claim_id", sides.alias("s")).groupBy("s.side", "s.entity_id").agg(F.min("claim_id").alias("claim_id"))
+    return relation(spark, sf_dir, "claims").select((F.col("order_id") % 20).alias("source"), "claim_id", sides.alias("s")).groupBy("source", "s.side", "s.entity_id").agg(F.min("claim_id").alias("claim_id"))
 
 
-@query("migration_chains", with_relations(", p AS (SELECT [CAST(2 AS INT)] AS path UNION ALL SELECT list_append(path, to_id) FROM p JOIN flows ON from_id = path[-1] WHERE len(path) <= 2 AND NOT list_contains(path, to_id)) SELECT array_to_string(path, '>') AS chain, CAST(len(path) - 1 AS INT) AS steps FROM p WHERE len(path) > 1", "flows", recursive=True))
+@query("migration_chains", with_relations(", p AS (SELECT DISTINCT [from_id] AS path FROM flows UNION ALL SELECT list_append(path, to_id) FROM p JOIN flows ON from_id = path[-1] WHERE len(path) <= 2 AND NOT list_contains(path, to_id)) SELECT array_to_string(path, '>') AS chain, CAST(len(path) - 1 AS INT) AS steps FROM p WHERE len(path) > 1", "flows", recursive=True))
 def migration_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of moves where one ends and the next begins; every prefix is a chain."""
-    moves = relation(spark, sf_dir, "flows").select(F.col("from_id").cast("int").alias("a"), F.col("to_id").cast("int").alias("b"))
-    start = spark.createDataFrame([(2,)], "id int")
-    return graph.walks(moves, start, 2).where(F.size("path") > 1).select(F.array_join("path", ">").alias("chain"), (F.size("path") - 1).alias("steps"))
+    moves = relation(spark, sf_dir, "flows").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    return graph.walks(moves, moves.select(F.col("a").alias("id")).distinct(), 2).where(F.size("path") > 1).select(F.array_join("path", ">").alias("chain"), (F.size("path") - 1).alias("steps"))
 
 
 @query("branch_structure_compare", with_relations(""", r AS (SELECT x::BIGINT AS root, x::BIGINT AS id, 0 AS depth FROM unnest([2, 5]) AS t(x) UNION SELECT root, child_id, depth + 1 FROM r JOIN parent_of ON parent_id = id WHERE depth < 3),
@@ -121,14 +120,14 @@ def branch_structure_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(2, -1).union(stats(5, 1)).agg(F.sum("n").alias("nodes_delta"), F.sum("d").cast("int").alias("depth_delta"), F.sum("l").alias("leaves_delta"))
 
 
-NEIGHBOURS = ", g AS (SELECT from_id, to_id, status FROM flows WHERE status <> 'rejected'), r AS (SELECT 1::INT AS id, 0 AS depth UNION SELECT to_id, depth + 1 FROM r JOIN g ON from_id = id WHERE depth < 2), n AS (SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id)"
+NEIGHBOURS = ", g AS (SELECT from_id, to_id, status FROM flows WHERE status <> 'rejected'), r AS (SELECT min(from_id) AS id, 0 AS depth FROM g UNION SELECT to_id, depth + 1 FROM r JOIN g ON from_id = id WHERE depth < 2), n AS (SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id)"
 
 
 @query("dependency_neighborhood", with_relations(NEIGHBOURS + " SELECT id, depth, false AS truncated FROM n", "flows", recursive=True))
 def dependency_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed, over active dependencies only."""
-    active = relation(spark, sf_dir, "flows").where("status <> 'rejected'").select(F.col("from_id").cast("int").alias("a"), F.col("to_id").cast("int").alias("b"))
-    return graph.bounded_bfs(active, spark.createDataFrame([(1,)], "id int"), 2)
+    active = relation(spark, sf_dir, "flows").where("status <> 'rejected'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    return graph.bounded_bfs(active, active.agg(F.min("a").alias("id")), 2)
 
 
 @query("modularity_communities")

@@ -97,12 +97,12 @@ def best_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "claims").groupBy("object_id").agg(F.min_by("claim_id", F.struct("status", "claim_id")).alias("claim_id"), F.array_join(F.sort_array(F.collect_set("predicate")), ",").alias("predicates"))
 
 
-@query("path_json", with_relations(""" SELECT version_id, CAST(to_json(list({'p': parent_id, 'c': child_id} ORDER BY child_id)) AS VARCHAR) AS path FROM parent_of WHERE child_id <= 40 GROUP BY version_id""", "parent_of"))
+@query("path_json", with_relations(""" SELECT version_id, parent_id, CAST(to_json(list({'p': parent_id, 'c': child_id} ORDER BY child_id)) AS VARCHAR) AS path FROM parent_of GROUP BY version_id, parent_id""", "parent_of"))
 def path_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of a version as one ordered JSON array."""
-    e = relation(spark, sf_dir, "parent_of").where("child_id <= 40")
+    """Edges below each parent as one ordered JSON array."""
+    e = relation(spark, sf_dir, "parent_of")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("child_id", "parent_id"))), lambda x: F.struct(x["parent_id"].alias("p"), x["child_id"].alias("c")))
-    return e.groupBy("version_id").agg(F.to_json(ordered).alias("path"))
+    return e.groupBy("version_id", "parent_id").agg(F.to_json(ordered).alias("path"))
 
 
 @query("evidence_cap", with_relations(""", r AS (SELECT claim_id, object_id, row_number() OVER (PARTITION BY object_id ORDER BY predicate, subject_id, claim_id) AS n, count(*) OVER (PARTITION BY object_id) AS total FROM claims)
@@ -222,11 +222,11 @@ def visible_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.visible_claims(relation(spark, sf_dir, "claims").select("claim_id", "subject_id", "object_id"), evidence(spark, sf_dir))
 
 
-@query("visible_people", with_relations(""" SELECT person_id, name FROM people WHERE tree_id % 3 <> 0 OR tree_id = 7 OR person_id % 50 = 3""", "people"))
+@query("visible_people", with_relations(""" SELECT person_id, name FROM people WHERE tree_visibility = 'public' OR tree_id = 7 OR owner_id = 3""", "people"))
 def visible_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In a public tree, or a tree the reader works on, or made by the reader: ids once, then a semi-join."""
     p = relation(spark, sf_dir, "people")
-    ids = p.where("tree_id % 3 <> 0").select("person_id").union(p.where("tree_id = 7").select("person_id")).union(p.where("person_id % 50 = 3").select("person_id")).distinct()
+    ids = p.where("tree_visibility = 'public'").select("person_id").union(p.where("tree_id = 7").select("person_id")).union(p.where("owner_id = 3").select("person_id")).distinct()
     return p.select("person_id", "name").join(ids, "person_id", "left_semi")
 
 
@@ -238,11 +238,11 @@ def access_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(s, "source_id", "left").select("source_id", F.when(F.col("visibility").isNull(), "missing").when(F.col("visibility") == "public", "public").when(F.col("owner_id") == 1, "owner").otherwise("hidden").alias("access"))
 
 
-@query("visible_questions", with_relations(""" SELECT DISTINCT conv_id FROM conversations WHERE EXISTS (SELECT 1 FROM passages p JOIN sources s USING (source_id) WHERE p.passage_id = conv_id AND s.visibility = 'public') OR conv_id % 10 = 1""", "passages", "sources"))
+@query("visible_questions", with_relations(""" SELECT DISTINCT conv_id FROM questions WHERE EXISTS (SELECT 1 FROM passages p JOIN sources s USING (source_id) WHERE p.passage_id = conv_id AND s.visibility = 'public') OR owner_id = 1""", "passages", "sources", "questions"))
 def visible_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = relation(spark, sf_dir, "passages").join(relation(spark, sf_dir, "sources").where("visibility = 'public'"), "source_id", "left_semi").select(F.col("passage_id").alias("conv_id"))
-    c = table(spark, sf_dir, "conversations").select("conv_id")
-    return c.join(linked, "conv_id", "left_semi").union(c.where("conv_id % 10 = 1")).distinct()
+    c = relation(spark, sf_dir, "questions")
+    return c.select("conv_id").join(linked, "conv_id", "left_semi").union(c.where("owner_id = 1").select("conv_id")).distinct()
 
 
 @query("multi_parent_findings", with_relations(""" SELECT object_id AS child_id, count(DISTINCT subject_id) AS parents FROM claims WHERE predicate = 'A' GROUP BY object_id HAVING count(DISTINCT subject_id) >= 2""", "claims"))

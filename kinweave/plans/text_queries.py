@@ -168,11 +168,11 @@ def name_match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("claim_sentence_extract", with_relations(r""", s AS (SELECT passage_id, trim(x) AS sentence FROM (SELECT passage_id, unnest(regexp_split_to_array(body, '[.!?\n]+')) AS x FROM passages))
-SELECT passage_id, sentence, trim(substr(sentence, 1, instr(sentence, ' of ') - 1)) AS subject, trim(substr(sentence, instr(sentence, ' of ') + 4)) AS object FROM s WHERE contains(sentence, ' of ') AND len(sentence) <= 80""", "passages"))
+SELECT passage_id, sentence, trim(substr(sentence, 1, instr(sentence, ' of ') - 1)) AS subject, trim(substr(sentence, instr(sentence, ' of ') + 4)) AS object FROM s WHERE contains(sentence, ' of ')""", "passages"))
 def claim_sentence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with the relation term, split at its first place."""
     s = relation(spark, sf_dir, "passages").select("passage_id", F.explode(F.split("body", "[.!?\n]+")).alias("x")).select("passage_id", F.btrim("x").alias("sentence"))
-    s = s.where(F.col("sentence").contains(" of ") & (F.length("sentence") <= 80))
+    s = s.where(F.col("sentence").contains(" of "))
     at = F.instr("sentence", " of ")
     return s.select("passage_id", "sentence", F.trim(F.substring(F.col("sentence"), F.lit(1), at - 1)).alias("subject"), F.trim(F.substring(F.col("sentence"), at + 4, F.length("sentence"))).alias("object"))
 
