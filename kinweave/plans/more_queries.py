@@ -74,7 +74,7 @@ def subject_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "visits").where("person_id = 3 AND year(seen_at) BETWEEN 2020 AND 2030").select("visit_id", "place_id", "seen_at").orderBy("seen_at", "visit_id").limit(50)
 
 
-@query("source_search", with_relations(" SELECT source_id, max(CASE WHEN source_id = 'src7' THEN 100.0 WHEN contains(body, 'tion') THEN 60.0 ELSE 0.0 END) AS score FROM passages p JOIN sources s USING (source_id) WHERE visibility = 'public' GROUP BY source_id HAVING score > 0 ORDER BY score DESC, source_id LIMIT 20", "passages", "sources"))
+@query("source_search", with_relations(" SELECT source_id, CAST(max(CASE WHEN source_id = 'src7' THEN 100.0 WHEN contains(body, 'tion') THEN 60.0 ELSE 0.0 END) AS DOUBLE) AS score FROM passages p JOIN sources s USING (source_id) WHERE visibility = 'public' GROUP BY source_id HAVING score > 0 ORDER BY score DESC, source_id LIMIT 20", "passages", "sources"))
 def source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public sources by title, else by what their passages hold."""
     p = relation(spark, sf_dir, "passages").join(relation(spark, sf_dir, "sources").where("visibility = 'public'"), "source_id", "left_semi")

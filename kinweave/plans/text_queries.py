@@ -58,7 +58,7 @@ def name_search_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("claim_search", with_relations(f"""
-SELECT claim_id, score FROM (SELECT claim_id, greatest(CASE WHEN predicate = 'R' THEN 100.0 ELSE 0.0 END, CASE WHEN status = 'contested' THEN 60.0 ELSE 0.0 END) AS score FROM claims c
+SELECT claim_id, score FROM (SELECT claim_id, CAST(greatest(CASE WHEN predicate = 'R' THEN 100.0 ELSE 0.0 END, CASE WHEN status = 'contested' THEN 60.0 ELSE 0.0 END) AS DOUBLE) AS score FROM claims c
  WHERE EXISTS (SELECT 1 FROM people p WHERE p.person_id = c.object_id AND p.name = 'red widget') AND year(claimed_at) <= 1996 AND year(claimed_at) >= 1995)
 WHERE score > 0 ORDER BY score DESC, claim_id LIMIT 20""", "claims", "people"))
 def claim_search(spark: SparkSession, sf_dir: str) -> DataFrame:
