@@ -42,5 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables made by written() that no plan will read again."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            drop_path(df.sparkSession, file.rsplit("/", 1)[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
