@@ -73,7 +73,8 @@ def judge(docs: DataFrame, host: str = "source", min_words: int = 20, max_repeat
     """One row for each document: counts, base_failed, host_rate, kept."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     counts = written(counted(docs, host).withColumn("base_failed", failed), "host_counts")  # texts are read once
-    verdicts = host_verdicts(counts, max_rate).select("host", "host_rate", "host_ok")
+    # written, so that its size is known: small enough to broadcast, or joined by shuffles that can be split
+    verdicts = written(host_verdicts(counts, max_rate).select("host", "host_rate", "host_ok"), "host_verdicts")
     return counts.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"), "host_rate",
