@@ -205,7 +205,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False)
     # one row of each text is enough for the index
     once = lists.select("sha", "lo", "hi", "fp").dropDuplicates(["sha"])
     places = once.select("sha", F.explode(F.arrays_zip("lo", "hi", "fp")).alias("a")).select("sha", "a.lo", "a.hi", "a.fp")
-    common = places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # written, so that the join's sides are plain exchanges and Spark can split a fingerprint that many rows share
+    common = written(places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "common")
     spots = places.join(common, "fp").groupBy("sha").agg(F.collect_list(F.struct("lo", "hi", "fp")).alias("spots"))
     held = written(rows.select("sha", "raw").join(spots, "sha").dropDuplicates(["sha"]), "held")
 
