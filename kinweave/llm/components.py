@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.shared import written
+from kinweave.shared import discard, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pulled = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
         up = pulled.select(F.col("node").alias("up"), F.col("component").alias("higher"))
         step = written(pulled.join(up, pulled["component"] == up["up"], "left").select("node", "before", F.least("component", F.coalesce("higher", "component")).alias("component")), "labels")
+        discard(labels)
         labels = step.select("node", "component")
         if step.where("before <> component").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError("components did not settle")

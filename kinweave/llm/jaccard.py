@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.components import components
-from kinweave.shared import written
+from kinweave.shared import discard, written
 
 SLICE = 1 << 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -216,7 +216,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return written(both.mapInPandas(overlap, f"a {kind}, b {kind}"), "links")
+    links = written(both.mapInPandas(overlap, f"a {kind}, b {kind}"), "links")
+    discard(pairs, made)
+    return links
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 8, max_width: int = 1 << 24) -> DataFrame:
@@ -240,7 +242,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 
     # the matrix, and the queries against it; all is dealt by token once
     tokens = _index_tokens(docs, n, percent, levels).withColumnRenamed("doc_id", "node")
-    postings = tokens.select("node", "tokens").join(members, "node").select(F.explode("tokens").alias("token"), "node", "size", "group")
+    postings = tokens.select("node", "tokens").join(members, "node").select(F.explode("tokens").alias("token"), "node", "size", "group").repartition("token")
     several = postings.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("token")
     crossing = written(postings.join(several, "token", "left_semi"), "crossing")
     matrix = crossing.groupBy("token", F.col("group").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
@@ -256,6 +258,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     pairs = inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")
     links = star_links.union(_verified(pairs, docs, n, percent))
 
+    discard(crossing)
     found = components(links)
     placed = nodes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return base.join(placed, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
