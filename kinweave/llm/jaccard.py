@@ -194,17 +194,51 @@ def _must_match(size: str, other: str, percent: int):
     return tuple(F.greatest(F.lit(1), overlap - F.ceil(percent * x / 100 - F.lit(1e-9)) + 1) for x in (a, b))
 
 
+def _sieve(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+    """A Bloom filter of the ids' hashes as a bit array: 16 bits an id or ``most_bits`` in all; it never misses one."""
+    size = 1 << min(most_bits.bit_length() - 1, max(16, (16 * ids.count()).bit_length()))
+
+    def mark(batches):
+        bits = np.zeros(size, dtype=bool)
+        for pdf in batches:
+            for k in _places(pdf["h"].to_numpy(), size):
+                bits[k] = True
+        yield pd.DataFrame({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in ids.select(F.xxhash64("doc_id").alias("h")).mapInPandas(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def _places(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    x = hashes.astype(np.int64).view(np.uint64)
+    mask = np.uint64(size - 1)
+    return [((x >> np.uint64(s)) & mask).astype(np.int64) for s in (0, 29, 35)]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link exactly. Sets are made anew from the texts of the documents in pairs, before any is copied to its pairs."""
+    """The pairs (a, b) that link exactly.
+
+    Sets are made anew from the texts, for the documents in pairs alone: a Bloom filter of bounded size lets
+    these through (and a few others, which meet no pair), so no text is shuffled.
+    """
     pairs = written(pairs, "pairs")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
 
     def sets(batches):
+        sieve = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), n)], pa.binary())], ["doc_id", "s"])
+            h = batch.column("h").to_numpy()
+            keep = np.ones(len(h), dtype=bool)
+            for k in _places(h, 8 * len(sieve)):
+                keep &= (sieve[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1
+            part = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)], pa.binary())], ["doc_id", "s"])
 
-    made = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, f"doc_id {kind}, s binary"), "sets")
+    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    made = written(hashed.mapInArrow(sets, f"doc_id {kind}, s binary"), "sets")
 
     def overlap(batches):
         for pdf in batches:
@@ -239,23 +273,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     second = first.select(F.col("node").alias("group"), F.col("group").alias("higher"))
     grouped = first.join(second, "group", "left").select("node", F.coalesce("higher", "group").alias("group"))
     members = written(nodes.select("node", "size").join(grouped, "node", "left").select("node", "size", F.coalesce("group", "node").alias("group")), "members")
+    groups = written(members.groupBy("group").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("crowd")), "groups")
 
     # the matrix, and the queries against it; all is dealt by token once
     tokens = _index_tokens(docs, n, percent, levels).withColumnRenamed("doc_id", "node")
-    postings = tokens.select("node", "tokens").join(members, "node").select(F.explode("tokens").alias("token"), "node", "size", "group").repartition("token")
+    postings = tokens.select("node", "tokens").join(members.join(groups.select("group", "crowd"), "group"), "node").select(F.explode("tokens").alias("token"), "node", "size", "group", "crowd").repartition("token")
     several = postings.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("token")
     crossing = written(postings.join(several, "token", "left_semi"), "crossing")
-    matrix = crossing.groupBy("token", F.col("group").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    met = crossing.join(matrix, "token").where("group <> other").where((F.col("least") * percent <= F.col("size") * 100) & (F.col("most") * 100 >= F.col("size") * percent))
+    matrix = crossing.groupBy("token", F.col("group").alias("other"), F.col("crowd").alias("other_crowd")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    # of two groups the smaller one's members ask the larger one: a crowd is asked once, and does not ask every straggler
+    asks = F.struct("crowd", "group") < F.struct("other_crowd", "other")
+    met = crossing.join(matrix, "token").where(asks).where((F.col("least") * percent <= F.col("size") * 100) & (F.col("most") * 100 >= F.col("size") * percent))
     matches = met.groupBy("node", "size", "other").agg(F.count(F.lit(1)).alias("matches"))
-    groups = members.groupBy(F.col("group").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
     # only qualifying groups are opened, and in them only members of a size that the matches can carry
     # (less one: between its ends the second bound can dip by a rounding)
-    opened = matches.join(groups, "other").where(F.col("matches") + 1 >= F.least(_must_match("size", "least", percent)[0], _must_match("size", "most", percent)[1]))
+    opened = matches.join(groups.withColumnRenamed("group", "other"), "other").where(F.col("matches") + 1 >= F.least(_must_match("size", "least", percent)[0], _must_match("size", "most", percent)[1]))
     inside = opened.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("other").alias("group"), "matches").join(members.select(F.col("node").alias("b"), F.col("size").alias("sb"), "group"), "group")
-    inside = inside.where(_fits("sa", "sb", percent)).where(F.col("matches") >= F.least(*_must_match("sa", "sb", percent)))
-    # a link shows from both of its sides
-    pairs = inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")
+    pairs = inside.where(_fits("sa", "sb", percent)).where(F.col("matches") >= F.least(*_must_match("sa", "sb", percent))).select("a", "b").distinct()
     links = star_links.union(_verified(pairs, docs, n, percent))
 
     discard(crossing)
