@@ -33,10 +33,9 @@ def trigrams(text: Column) -> Column:
 
 
 def set_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of two arrays without repeats; 0 if both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - common
-    return F.when(total > 0, common / total).otherwise(F.lit(0.0))
+    """Jaccard of two arrays without repeats; 0 if both are empty. The arrays stand in a lambda, so that each is made once."""
+    counts = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: F.struct(F.size(F.array_intersect(x["a"], x["b"])).alias("c"), (F.size(x["a"]) + F.size(x["b"])).alias("n")))
+    return F.transform(counts, lambda x: F.when(x["n"] > x["c"], x["c"] / (x["n"] - x["c"])).otherwise(F.lit(0.0)))[0]
 
 
 def similarity(a: Column, b: Column) -> Column:
