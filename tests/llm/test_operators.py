@@ -302,6 +302,20 @@ def test_components_of_chain_and_star(spark):
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 1 for i in range(1, 60))
 
 
+def test_components_of_long_chains(spark):
+    n = 1000
+    ids = random.Random(7).sample(range(10 * n, 100 * n), n)
+    chains = [[1, *range(n, 1, -1)], [2 * n, *range(5 * n, 4 * n, -1)], ids]
+    edges = [e for c in chains for e in zip(c, c[1:])]
+    random.Random(8).shuffle(edges)
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: min(c) for c in chains for x in c}
+
+
+def test_components_of_nothing(spark):
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def slow_removal(texts, length):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
