@@ -13,6 +13,7 @@ Null texts are empty. Each row is its own; offsets are code points, ends are exc
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -310,15 +311,26 @@ def holds(kind: str, x: str) -> bool:
     return 9 <= len(d) <= 15 and not re.search(r"[A-Za-z]", x) and bool(re.match(r"[+(]|00", x))
 
 
-def windows(text: str, reach: int = 40, size: int = 96, step: int = 48) -> list[tuple[int, int]]:
-    """Overlapping windows over all surroundings of triggers; every trigger has ``reach`` characters around it in one of them."""
+def windows(text: str, reach: int = 40, size: int = 640, step: int = 320) -> list[tuple[int, int]]:
+    """Overlapping windows over all surroundings of triggers.
+
+    An area reaches ``reach`` characters and to the far ends of the non-space runs before and after its trigger.
+    What lies in an area and is at most ``size - step`` long lies whole in one window: an address has at most
+    254 characters, which leaves room for 33 dots or signs with a space on either side.
+    """
+    runs = [m.span() for m in re.finditer(r"\S+", text)]
+    starts, ends = [r[0] for r in runs], [r[1] for r in runs]
     areas: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if areas and lo <= areas[-1][1]:
-            areas[-1][1] = hi
-        else:
-            areas.append([lo, hi])
+        # the run that ends before the trigger or holds its start, and the one that begins after it or holds its end
+        before = text[m.start() - 1 : m.start()].strip() != ""
+        after = text[m.end() : m.end() + 1].strip() != ""
+        at = bisect.bisect_right(starts, m.start()) - 1
+        first, last = max(0, at if before else at - 1), min(len(runs) - 1, at if after else at + 1)
+        lo, hi = min(max(0, m.start() - reach), starts[first]), max(min(len(text), m.end() + reach), ends[last])
+        while areas and lo <= areas[-1][1]:
+            lo, hi = min(lo, areas[-1][0]), max(hi, areas.pop()[1])
+        areas.append([lo, hi])
     out = []
     for lo, hi in areas:
         while hi - lo > size:
@@ -333,8 +345,12 @@ def model_spans(texts: list[str], model: Tagger, batch: int = 256) -> list[list[
     jobs = [(k, lo, hi) for k, t in enumerate(texts) for lo, hi in windows(t)]
     jobs.sort(key=lambda j: (j[2] - j[1], j))
     seen: list[dict] = [{} for _ in texts]
-    for at in range(0, len(jobs), batch):
+    at = 0
+    while at < len(jobs):
+        # padded batches of at most the characters of ``batch`` windows of 192
         part = jobs[at : at + batch]
+        part = part[: max(1, 192 * batch // (part[-1][2] - part[-1][1]))]
+        at += len(part)
         ids, lengths = padded([char_ids(texts[k][lo:hi]) for k, lo, hi in part])
         tags, margin = model.decode(ids, lengths)
         for c, (k, lo, hi) in enumerate(part):

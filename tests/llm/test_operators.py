@@ -172,6 +172,20 @@ def test_base_patterns_are_linear():
     assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "@" + "." * 1000) == []
 
 
+def test_windows_hold_long_spans_whole():
+    rng = random.Random(3)
+    name = lambda n: "".join(rng.choice("abcdefgh.") for _ in range(n))
+    for left, right, gap in [(64, 12, " @ "), (12, 180, " @ "), (64, 180, " @ "), (64, 180, "@"), (60, 60, "  @")]:
+        for pad in (0, 30, 700):
+            for tail in ("", " 7 seen 8 or 9"):
+                head = "word 1 " * pad
+                span = name(left) + gap + name(right)
+                lo = len(head)
+                assert any(a <= lo and lo + len(span) <= b for a, b in pii.windows(head + span + tail)), (left, right, gap, pad)
+    text = "a1 b " * 400
+    assert all(any(a <= lo and lo + 320 <= b for a, b in pii.windows(text)) for lo in range(len(text.rstrip()) - 320))
+
+
 def test_tagger_on_held_out_examples():
     examples = pii.labelled_examples(300, seed=77)
     found = pii.model_spans([t for t, _ in examples], pii.trained())
