@@ -6,23 +6,37 @@ matter and, inside these, over pieces. The N best of the text need at most the N
 smallest loss from best to second-best.
 
 Order: higher score first; then as A* meets ties, which is fixed by the text and the model alone.
-Null and empty texts have one segmentation, the empty one. A text with fewer than N segmentations has
-fewer rows of ids. Decoding gives back the text exactly; lone surrogates, which UTF-8 can't hold, become "?".
+A state is a position and a way of getting there from the right, kept as a link to the state before it; the N
+best paths need no more than N states a position, so a word of any length takes time and memory in
+proportion to its length.
+
+Null and empty texts have one segmentation, the empty one. A text with fewer than N segmentations has fewer
+ids. A table without rows gives one without rows; repeated rows and ids come back as often as they went in;
+other columns of docs are not read, so they clash with nothing. Very long texts and words without a break
+are solved whole. Decoding gives back the text exactly, but for U+2581, which is the model's sign for a
+space and comes back as one, and lone surrogates, which UTF-8 can't hold and which become "?"; decoded_ok
+tells such texts apart.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.pieces import PieceTable, grouped, tool
 
 
+#: Words of at most so many characters are solved together with all others of their length, and remembered.
+SHORT = 48
+
+
 class Trie:
     """The vocabulary as arrays: all words of one length walk it together. Transitions sit in an open hash table."""
 
@@ -85,6 +99,7 @@ class NBest:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}  # word -> place in what follows
+        self.size = 0  # characters of all words
         self.ids: list[bytes] = []
         self.numbers = np.empty((1024, 3))  # score, loss of the second best, pieces
 
@@ -93,18 +108,19 @@ class NBest:
         if k == len(self.numbers):
             self.numbers = np.concatenate([self.numbers, np.empty_like(self.numbers)])
         self.index[word] = k
+        self.size += len(word)
         self.ids.append(ids)
         self.numbers[k] = score, loss, len(ids) // 4
 
     def learn(self, words: set[str]) -> None:
         """Solve all new words, those of a length at once. The memo starts anew when it is full."""
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or self.size > 16 * self.most:
             self._forget()
         by_length: dict[int, list[str]] = {}
         for w in words.difference(self.index):
             by_length.setdefault(len(w), []).append(w)
         for n, group in by_length.items():
-            if n > 48:
+            if n > SHORT:
                 for w in group:
                     self._add(w, *self._solve(w))
             else:
@@ -168,93 +184,107 @@ class NBest:
         for k, (c, stop, x, y) in enumerate(zip(group, stops.tolist(), top.tolist(), loss.tolist(), strict=True)):
             ids = flat[last:stop]
             if k in strange:
-                ids = np.array(self._ids([(s, int(p)) for s, p in enumerate(path[k]) if p != -2], c), dtype=np.int32).tobytes()
+                ids = self._ids([(s, int(p)) for s, p in enumerate(path[k]) if p != -2], c)
             self._add(c, ids, x, y)
             last = stop
 
-    def _edges(self, word: str) -> list[list[tuple[int, int, float]]]:
-        """By end: (start, piece, score), longest first; piece -1 is an unknown character."""
-        ids, scores, longest = self.t.ids, self.t.scores, self.t.longest
-        out = []
+    def _ending(self, word: str, e: int) -> list[tuple[int, int, float]]:
+        """(start, piece, score) of the edges that end at ``e``, longest first; piece -1 is an unknown character."""
+        ids, scores = self.t.ids, self.t.scores
+        row = []
+        for s in range(max(0, e - self.t.longest), e):
+            i = ids.get(word[s:e])
+            if i is not None:
+                row.append((s, i, scores[i]))
+        if not row or row[-1][0] != e - 1:
+            row.append((e - 1, -1, self.t.unk_score))
+        return row
+
+    def _forward(self, word: str) -> tuple[array, array, array]:
+        """Best score up to each position, and the start and piece of the edge that brings it."""
+        alpha, start, piece = array("d", [0.0]), array("q", [-1]), array("q", [-1])
         for e in range(1, len(word) + 1):
-            row = []
-            for s in range(max(0, e - longest), e):
-                i = ids.get(word[s:e])
-                if i is not None:
-                    row.append((s, i, scores[i]))
-            if word[e - 1] not in ids:
-                row.append((e - 1, -1, self.t.unk_score))
-            out.append(row)
-        return out
-
-    def _forward(self, edges) -> tuple[list[float], list[tuple[int, int]]]:
-        alpha, back = [0.0], [(-1, -1)]
-        for row in edges:
-            top, frm = float("-inf"), (0, -1)
-            for s, i, x in row:
+            top, frm, got = float("-inf"), 0, -1
+            for s, i, x in self._ending(word, e):
                 if alpha[s] + x > top:
-                    top, frm = alpha[s] + x, (s, i)
+                    top, frm, got = alpha[s] + x, s, i
             alpha.append(top)
-            back.append(frm)
-        return alpha, back
+            start.append(frm)
+            piece.append(got)
+        return alpha, start, piece
 
-    def _ids(self, path: list[tuple[int, int]], word: str) -> tuple[int, ...]:
-        """path: (start, piece) from left to right."""
-        out: list[int] = []
+    def _ids(self, path: list[tuple[int, int]], word: str) -> bytes:
+        """path: (start, piece) from left to right. Little-endian int32."""
+        out = array("i")
         for s, i in path:
             if i >= 0:
                 out.append(i)
             else:
-                out += [self.t.byte_ids[b] for b in word[s].encode("utf-8")]
-        return tuple(out)
+                out.extend(self.t.byte_ids[b] for b in word[s].encode("utf-8"))
+        return out.tobytes()
 
     def _solve(self, word: str) -> tuple[bytes, float, float]:
         """One long word: best ids, best score, loss of the second-best path (infinite if there is none)."""
-        edges = self._edges(word)
-        alpha, back = self._forward(edges)
+        alpha, start, piece = self._forward(word)
         n = len(word)
         path, at = [], n
-        used = set()
+        used = bytearray(n + 1)  # ends of the best path's edges
         while at:
-            used.add((at, *back[at]))
-            path.append(back[at])
-            at = back[at][0]
-        beta = [float("-inf")] * n + [0.0]
-        loss = float("inf")
-        top = alpha[n]
+            used[at] = 1
+            path.append((start[at], piece[at]))
+            at = start[at]
+        beta = array("d", [float("-inf")]) * n + array("d", [0.0])
+        loss, top = float("inf"), alpha[n]
         for e in range(n, 0, -1):
             b = beta[e]
             if b == float("-inf"):
                 continue
-            for s, i, x in edges[e - 1]:
+            for s, i, x in self._ending(word, e):
                 if b + x > beta[s]:
                     beta[s] = b + x
-                if (e, s, i) not in used and top - (alpha[s] + x + b) < loss:
+                if not (used[e] and s == start[e] and i == piece[e]) and top - (alpha[s] + x + b) < loss:
                     loss = top - (alpha[s] + x + b)
-        return np.array(self._ids(path[::-1], word), dtype=np.int32).tobytes(), top, loss
+        return self._ids(path[::-1], word), top, loss
 
-    def _list(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+    def _list(self, word: str) -> list[tuple[float, bytes]]:
+        if len(word) > SHORT:
+            return self._nbest(word)
         if word not in self.lists:
             if len(self.lists) >= 50_000:
                 self.lists.clear()
             self.lists[word] = self._nbest(word)
         return self.lists[word]
 
-    def _nbest(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
-        """(loss, ids) of the word's N best paths. Popped states carry their true best total: alpha is the exact rest."""
-        edges = self._edges(word)
-        alpha, _ = self._forward(edges)
-        top, count, out = alpha[-1], 0, []
-        heap = [(0.0, 0, len(word), 0.0, ())]  # loss, order of arrival, position, score behind, path from here to the right
+    def _nbest(self, word: str) -> list[tuple[float, bytes]]:
+        """(loss, ids) of the word's N best paths. Popped states carry their true best total: alpha is the exact rest.
+
+        At equal loss the state nearest to the start of the word goes first, so ties are followed to their end
+        instead of being spread over the word.
+        """
+        alpha, _, _ = self._forward(word)
+        top, out = alpha[-1], []
+        # of each state made: where it stands, its piece, and the state to its right
+        place, piece, right = array("q", [len(word)]), array("q", [-1]), array("q", [-1])
+        heap = [(0.0, len(word), 0, 0.0)]  # loss, position, state, score behind
+        popped = bytearray(len(word) + 1)
         while heap and len(out) < self.n:
-            loss, _, at, behind, path = heapq.heappop(heap)
+            loss, at, state, behind = heapq.heappop(heap)
             if not at:
-                out.append((loss, self._ids(list(path), word)))
+                path = []
+                while state:
+                    path.append((place[state], piece[state]))
+                    state = right[state]
+                out.append((loss, self._ids(path, word)))
+                continue
+            if popped[at] == self.n:  # N better ways to the right are known from here
                 continue
-            for s, i, x in edges[at - 1]:
+            popped[at] += 1
+            for s, i, x in self._ending(word, at):
                 if alpha[s] > float("-inf"):
-                    count += 1
-                    heapq.heappush(heap, (top - (alpha[s] + x + behind), count, s, behind + x, ((s, i), *path)))
+                    place.append(s)
+                    piece.append(i)
+                    right.append(state)
+                    heapq.heappush(heap, (top - (alpha[s] + x + behind), s, len(place) - 1, behind + x))
         return out
 
     def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
@@ -300,34 +330,45 @@ class NBest:
             parts, last = [], 0
             for k, option, j in zip(where, options, picks, strict=True):
                 if j:
-                    parts += [best[last : starts[k]], np.array(option[j][1], dtype=np.int32)]
+                    parts += [best[last : starts[k]], np.frombuffer(option[j][1], dtype=np.int32)]
                     last = starts[k + 1]
             out.append((score - loss, np.concatenate([*parts, best[last:]]) if parts else best))
         return out
 
 
-def encode_documents(docs: DataFrame, table: PieceTable, n: int = 4, key: str = "doc_id", keep_ids: bool = True) -> DataFrame:
-    """One row for each row of docs: key, ids (array of the N best id arrays) or their digests, scores, decoded_ok.
+def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
+def encode_documents(docs: DataFrame, table: PieceTable, n: int = 4, key: str = "doc_id") -> DataFrame:
+    """One row for each row of docs: key, n_pieces, scores, ids_sha256, decoded_ok, ids.
 
-    ids_sha256 is over the little-endian int32 ids of each segmentation. keep_ids False leaves ids out.
+    ids holds the arrays of ids of the N best segmentations, best first; n_pieces, scores and ids_sha256 (over
+    little-endian int32 ids) are theirs. Batches of some two million characters, or one text, go out as flat
+    buffers: memory is bounded by these and by the longest text, whatever the size of an incoming batch.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    columns = [key, "n_pieces", "scores", "ids_sha256", "decoded_ok", "ids"]
 
     def run(batches):
         solver = tool(NBest, shared.value, n)
-        for pdf in batches:
-            rows = []
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for text, found in zip(texts, solver.encode_many(texts), strict=True):
-                ok = solver.t.decode(found[-1][1].tolist(), solver.parts) == text.encode("utf-8", "replace").decode("utf-8")
-                rows.append(([len(x) for _, x in found], [s for s, _ in found], [hashlib.sha256(x.tobytes()).hexdigest() for _, x in found], ok, [x.tolist() for _, x in found] if keep_ids else None))
-            out = pd.DataFrame(rows, columns=["n_pieces", "scores", "ids_sha256", "decoded_ok", "ids"])
-            out.insert(0, key, pdf[key].to_numpy())
-            yield out if keep_ids else out.drop(columns="ids")
+        for batch in batches:
+            column, at = batch.column("text"), 0
+            for part in grouped(column.to_pylist(), 2_000_000):
+                found = list(solver.encode_many(part))
+                ok = [solver.t.decode(x[-1][1].tolist(), solver.parts) == (t or "").encode("utf-8", "replace").decode("utf-8") for t, x in zip(part, found, strict=True)]
+                flat = [ids for x in found for _, ids in x]
+                counts, sizes = [len(x) for x in found], [len(ids) for ids in flat]
+                ids = pa.array(np.concatenate(flat), pa.int32())
+                digests = pa.array([hashlib.sha256(x).hexdigest() for x in flat], pa.string())
+                scores = pa.array([score for x in found for score, _ in x], pa.float64())
+                made = [_lists(pa.array(sizes, pa.int32()), counts), _lists(scores, counts), _lists(digests, counts), pa.array(ok, pa.bool_()), _lists(_lists(ids, sizes), counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, len(part)), *made], columns)
+                at += len(part)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_pieces array<int>, scores array<double>, ids_sha256 array<string>, decoded_ok boolean" + ", ids array<array<int>>" * keep_ids
-    return docs.select(key, "text").mapInPandas(run, schema)
+    schema = f"{key} {kind}, n_pieces array<int>, scores array<double>, ids_sha256 array<string>, decoded_ok boolean, ids array<array<int>>"
+    return docs.select(key, "text").mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, table: PieceTable, ids: str = "ids", out: str = "text") -> DataFrame:

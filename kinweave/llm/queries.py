@@ -19,8 +19,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four best segmentations of each text: their sizes, scores and digests, and whether the last decodes to the text."""
-    return nbest.encode_documents(table(spark, sf_dir, "documents"), pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model"), n=4, keep_ids=False)
+    """The four best segmentations of each text: ids, sizes, scores and digests, and whether the last decodes to the text."""
+    return nbest.encode_documents(table(spark, sf_dir, "documents"), pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model"), n=4)
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

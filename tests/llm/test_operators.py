@@ -94,6 +94,33 @@ def test_nbest_against_all_paths(table, text):
     assert token_counts.Counter(table).count(text)[1] == pytest.approx(want[0][0])
 
 
+@pytest.mark.parametrize("text", ["x" * 100_000, "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "".join(map(chr, random.Random(2).choices(range(0x4E00, 0x9FFF), k=50_000))), " " * 50_000])
+def test_nbest_of_unbroken_texts_in_bounded_memory(table, text):
+    import time
+    import tracemalloc
+
+    solver = nbest.NBest(table, 4)
+    tracemalloc.start()
+    began = time.time()
+    got = solver.encode(text)
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert [x for x, _ in got] == sorted((x for x, _ in got), reverse=True) and len({ids.tobytes() for _, ids in got}) == len(got)
+    assert all(table.decode(ids.tolist()) == text for _, ids in got)
+    assert got[0][0] == pytest.approx(token_counts.Counter(table).count(text)[1])
+
+
+def test_nbest_of_long_words_against_all_paths(table):
+    solver = nbest.NBest(table, 6)
+    for text in ("thestate", "aaaaaaa", "ééxx"):
+        word = table.normalise(text)
+        got, want = solver._nbest(word), brute_nbest(table, text, 6)
+        top = want[0][0]
+        assert [top - loss for loss, _ in got] == pytest.approx([x for x, _ in want])
+        assert solver._solve(word)[1] == pytest.approx(top) and solver._solve(word)[2] == pytest.approx(top - want[1][0])
+        assert len({ids for _, ids in got}) == len(got)
+
+
 def test_counts_follow_the_library(table):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -118,8 +145,11 @@ def test_encode_documents(docs, none, table, texts):
     assert nbest.encode_documents(none, table).count() == 0
     counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, table).collect()}
     assert counts == {k: r["n_pieces"][0] for k, r in got.items()} and counts[0] == 0
+    assert all([len(x) for x in r["ids"]] == r["n_pieces"] and [hashlib.sha256(np.array(x, dtype=np.int32).tobytes()).hexdigest() for x in r["ids"]] == r["ids_sha256"] for r in got.values())
     back = nbest.decode_documents(nbest.encode_documents(docs, table).selectExpr("doc_id", "ids[0] AS ids"), table).collect()
     assert {r["doc_id"]: r["text"] for r in back} == {i: t or "" for i, t in enumerate(texts)}
+    odd = docs.sparkSession.createDataFrame([(None, "a▁b"), (None, "a▁b"), (1, "a b")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["decoded_ok"]) for r in nbest.encode_documents(odd, table).collect()) == [(0, False), (0, False), (1, True)]
 
 
 def slow_rules(text):
