@@ -1,6 +1,7 @@
 """Each operator against brute force on small rows: nulls, empty and long texts, ties, repeats, no rows, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -412,16 +413,78 @@ def test_resharding(spark, docs, none, texts):
     assert sharding.reshard(none).count() == 0
 
 
-def test_flow_moves_least():
-    blocks = sharding.solve({0: (10, 100), 1: (2, 20), 2: (6, 60)}, 3)
-    assert sum(b.hi - b.lo for b in blocks if b.old != b.new) == 4
-    assert sharding.solve({}, 3) == []
+def old_shards(layout, shards):
+    """What reshard() counts of each old shard: rows largest first."""
+    low = sum(map(len, layout)) // shards
+    ordered = [sorted(sizes, reverse=True) for sizes in layout]
+    return {i: sharding.Old(len(s), sum(s), s[low] if len(s) > low else 0, sum(s[:low])) for i, s in enumerate(ordered) if s}
 
 
-def test_rewrite_only_touched_shards(spark, docs, tmp_path):
-    plan = sharding.reshard(docs, shards=4, old_shards=4)
-    out = str(tmp_path / "shards")
-    touched = sharding.rewrite(spark, docs, plan, out)
-    back = spark.read.parquet(out)
-    want = {(r["doc_id"], r["shard"]) for r in plan.collect() if r["shard"] in touched}
-    assert {(r["doc_id"], r["shard"]) for r in back.collect()} == want
+def bytes_moved(layout, blocks):
+    ordered = [sorted(sizes, reverse=True) for sizes in layout]
+    return sum(sum(ordered[b.old][b.lo : b.hi]) for b in blocks if b.old != b.new)
+
+
+def least_moved(layout, shards):
+    """Over all choices of capacities and of the rows that stay."""
+    total = sum(map(len, layout))
+    low, extra = divmod(total, shards)
+    best = float("inf")
+    for more in itertools.combinations(range(shards), extra):
+        cost = 0
+        for i, sizes in enumerate(layout):
+            most = (low + (i in more)) if i < shards else 0
+            cost += min(sum(sizes) - sum(kept) for n in range(min(most, len(sizes)) + 1) for kept in itertools.combinations(sizes, n))
+        best = min(best, cost)
+    return best
+
+
+def test_flow_moves_the_fewest_bytes():
+    rng = random.Random(3)
+    cases = [([[1000, 1, 1, 1, 1], [50] * 5], 3), ([[5], [], [7, 7, 7]], 2), ([[1, 2, 3]], 1), ([[], []], 4), ([[9] * 7, [1] * 2], 5)]
+    cases += [([[rng.choice([1, 5, 40, 900]) for _ in range(rng.randrange(7))] for _ in range(rng.randint(1, 5))], rng.randint(1, 5)) for _ in range(300)]
+    for layout, shards in cases:
+        blocks = sharding.solve(old_shards(layout, shards), shards)
+        assert bytes_moved(layout, blocks) == least_moved(layout, shards), (layout, shards)
+        total = sum(map(len, layout))
+        counts = Counter()
+        for b in blocks:
+            counts[b.new] += b.hi - b.lo
+        assert sum(counts.values()) == total and all(counts[j] - total // shards in (0, 1) for j in range(shards))
+        for i, sizes in enumerate(layout):
+            assert sorted(x for b in blocks if b.old == i for x in range(b.lo, b.hi)) == list(range(len(sizes)))
+    assert bytes_moved(cases[0][0], sharding.solve(old_shards(*cases[0]), 3)) == 52
+
+
+def test_reshard_moves_the_fewest_bytes(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 9 == 0 else i % 20, "x" * rng.choice([0, 3, 30, 200]), rng.choice([0, 0, 0, 1, 2, 6])) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    got = sharding.reshard(docs, 4, 7, old=docs["at"]).collect()
+    layout = [[len(t) + 16 for _, t, a in rows if a == k] for k in range(7)]
+    assert sum(r["size"] for r in got if r["moved"]) == bytes_moved(layout, sharding.solve(old_shards(layout, 4), 4))
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in got) == sorted((i or -1, len(t) + 16) for i, t, _ in rows)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s, n in sorted(Counter(r["shard"] for r in got).items()) for k in range(n)]
+
+
+def test_rewrite_changes_touched_shards_alone(spark, tmp_path):
+    rows = [(i, f"text {i} " + "y" * (i % 5), i % 3 if i < 30 else 3 + i % 2) for i in range(50)]  # shards of 10, 10, 10, 10, 10
+    rows += [(100, "one too many", 0), (101, "and one", 0), (102, "out of range", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    folder = str(tmp_path / "shards")
+    docs.write.partitionBy("shard").parquet(folder)
+    was = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard=*/*.parquet")}
+    there = spark.read.parquet(folder)
+    plan = sharding.reshard(there, 5, old=there["shard"])
+    want = {(r["doc_id"], r["shard"]) for r in plan.collect()}
+    touched = sharding.rewrite(spark, plan, folder)
+    back = spark.read.parquet(folder)
+    assert {(r["doc_id"], r["shard"]) for r in back.collect()} == want and back.count() == 53
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t for i, t, _ in rows}
+    still = [p for p in was if int(p.parent.name[6:]) not in touched]
+    assert still and all(p.stat().st_mtime_ns == was[p] for p in still) and 6 in touched and not (tmp_path / "shards" / "shard=6").exists()
+    again = spark.read.parquet(folder)
+    assert sharding.rewrite(spark, sharding.reshard(again, 5, old=again["shard"]), folder) == []
+    double = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "doc_id long, text string, shard int")
+    with pytest.raises(ValueError):
+        sharding.rewrite(spark, sharding.reshard(double, 3, old=double["shard"]), folder)
