@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -100,36 +101,48 @@ class NBest:
     def _forget(self) -> None:
         self.index: dict[str, int] = {}  # word -> place in what follows
         self.size = 0  # characters of all words
-        self.ids: list[bytes] = []
+        self.ids = np.empty(1 << 16, dtype=np.int32)  # all words' best ids, one after the other
+        self.used = 0
+        self.first = np.empty(1024, dtype=np.int64)  # where a word's ids begin
         self.numbers = np.empty((1024, 3))  # score, loss of the second best, pieces
 
-    def _add(self, word: str, ids: bytes, score: float, loss: float) -> None:
-        k = len(self.ids)
-        if k == len(self.numbers):
-            self.numbers = np.concatenate([self.numbers, np.empty_like(self.numbers)])
-        self.index[word] = k
-        self.size += len(word)
-        self.ids.append(ids)
-        self.numbers[k] = score, loss, len(ids) // 4
+    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray, scores: np.ndarray, losses: np.ndarray) -> None:
+        k, m = len(self.index), len(words)
+        while k + m > len(self.first):
+            self.first, self.numbers = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.numbers))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[k : k + m] = self.used + np.cumsum(counts) - counts
+        self.numbers[k : k + m, 0], self.numbers[k : k + m, 1], self.numbers[k : k + m, 2] = scores, losses, counts
+        self.used += len(ids)
+        self.size += sum(map(len, words))
+        self.index.update(zip(words, range(k, k + m), strict=True))
 
     def learn(self, words: set[str]) -> None:
-        """Solve all new words, those of a length at once. The memo starts anew when it is full."""
+        """Solve all new words, those of about a length at once. The memo starts anew when it is full."""
         if len(self.index) > self.most or self.size > 16 * self.most:
             self._forget()
         by_length: dict[int, list[str]] = {}
         for w in words.difference(self.index):
-            by_length.setdefault(len(w), []).append(w)
+            by_length.setdefault(-(-len(w) // 4) * 4, []).append(w)
         for n, group in by_length.items():
             if n > SHORT:
                 for w in group:
-                    self._add(w, *self._solve(w))
+                    ids, score, loss = self._solve(w)
+                    ids = np.frombuffer(ids, dtype=np.int32)
+                    self._add([w], ids, np.array([len(ids)]), np.array([score]), np.array([loss]))
             else:
                 for lo in range(0, len(group), 20_000):
-                    self._solve_equal(group[lo : lo + 20_000], n)
+                    self._solve_short(group[lo : lo + 20_000], n)
 
-    def _solve_equal(self, group: list[str], n: int) -> None:
+    def _solve_short(self, group: list[str], n: int) -> None:
+        """All words of the group, none longer than ``n``; positions behind a word's end have no character that a piece holds."""
         trie, rows = self.trie, len(group)
-        chars = trie.char[np.frombuffer("".join(group).encode("utf-32-le"), dtype=np.uint32).reshape(rows, n)]
+        size = np.fromiter(map(len, group), dtype=np.int64, count=rows)
+        there = np.arange(n) < size[:, None]
+        chars = np.zeros((rows, n), dtype=np.int64)
+        chars[there] = trie.char[np.frombuffer("".join(group).encode("utf-32-le"), dtype=np.uint32)]
         alpha = np.full((rows, n + 1), -np.inf)
         alpha[:, 0] = 0
         from_start, from_piece = np.zeros((rows, n + 1), dtype=np.int64), np.zeros((rows, n + 1), dtype=np.int64)
@@ -144,7 +157,8 @@ class NBest:
 
         for s in range(n):
             edges.append([])
-            r, node = np.arange(rows), np.zeros(rows, dtype=np.int64)
+            r = np.flatnonzero(size > s)
+            node = np.zeros(len(r), dtype=np.int64)
             for e in range(s + 1, min(n, s + self.t.longest) + 1):
                 node = trie.step(node, chars[r, e - 1])
                 ok = node >= 0
@@ -162,15 +176,15 @@ class NBest:
                     break
         path = np.full((rows, n), -2)  # at its start, the piece of the best path
         ends = np.zeros((rows, n), dtype=np.int64)
-        at, live = np.full(rows, n), np.arange(rows)
+        at, live = size.copy(), np.arange(rows)
         while len(live):
             s, piece = from_start[live, at[live]], from_piece[live, at[live]]
             path[live, s], ends[live, s] = piece, at[live]
             at[live] = s
             live = live[s > 0]
         beta = np.full((rows, n + 1), -np.inf)
-        beta[:, n] = 0
-        loss, top = np.full(rows, np.inf), alpha[:, n]
+        beta[np.arange(rows), size] = 0
+        loss, top = np.full(rows, np.inf), alpha[np.arange(rows), size]
         for s in range(n - 1, -1, -1):
             for e, r, piece in edges[s]:
                 rest = self.piece_scores[piece] + beta[r, e]
@@ -178,15 +192,17 @@ class NBest:
                 other = ~((path[r, s] == piece) & (ends[r, s] == e))
                 loss[r[other]] = np.minimum(loss[r[other]], top[r[other]] - (alpha[r[other], s] + rest[other]))
         used = path != -2
-        flat, stops = path[used].astype(np.int32).tobytes(), np.cumsum(used.sum(axis=1)) * 4
-        strange = set(np.flatnonzero((path == -1).any(axis=1)).tolist())
-        last = 0
-        for k, (c, stop, x, y) in enumerate(zip(group, stops.tolist(), top.tolist(), loss.tolist(), strict=True)):
-            ids = flat[last:stop]
-            if k in strange:
-                ids = self._ids([(s, int(p)) for s, p in enumerate(path[k]) if p != -2], c)
-            self._add(c, ids, x, y)
-            last = stop
+        counts = used.sum(axis=1)
+        strange = np.flatnonzero((path == -1).any(axis=1))
+        if len(strange):  # words with characters outside the vocabulary, which become bytes
+            plain = np.ones(rows, dtype=bool)
+            plain[strange] = False
+            for k in strange.tolist():
+                ids = np.frombuffer(self._ids([(s, int(p)) for s, p in enumerate(path[k]) if p != -2], group[k]), dtype=np.int32)
+                self._add([group[k]], ids, np.array([len(ids)]), top[k : k + 1], loss[k : k + 1])
+            group = [group[k] for k in np.flatnonzero(plain).tolist()]
+            used, path, counts, top, loss = used[plain], path[plain], counts[plain], top[plain], loss[plain]
+        self._add(group, path[used].astype(np.int32), counts, top, loss)
 
     def _ending(self, word: str, e: int) -> list[tuple[int, int, float]]:
         """(start, piece, score) of the edges that end at ``e``, longest first; piece -1 is an unknown character."""
@@ -289,23 +305,25 @@ class NBest:
 
     def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
         """(score, ids) of the N best segmentations, best first."""
-        words = self.t.words(text)
-        self.learn(set(words))
-        return self._encode(words)
+        return next(self.encode_many([text]))
 
     def encode_many(self, texts: list[str | None], chars: int = 2_000_000):
         """encode() of each, in groups of texts of about so many characters."""
         for part in grouped(texts, chars):
             cut = [self.t.words(t) for t in part]
             self.learn(set().union(*cut))
+            at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
+            lo = 0
             for words in cut:
-                yield self._encode(words)
+                yield self._encode(words, at[lo : lo + len(words)])
+                lo += len(words)
 
-    def _encode(self, words: list[str]) -> list[tuple[float, np.ndarray]]:
-        at = list(map(self.index.__getitem__, words))
+    def _encode(self, words: list[str], at: np.ndarray) -> list[tuple[float, np.ndarray]]:
         numbers = self.numbers[at]
         score = float(numbers[:, 0].sum())
-        best = np.frombuffer(b"".join(map(self.ids.__getitem__, at)), dtype=np.int32)
+        counts = numbers[:, 2].astype(np.int64)
+        ends = np.cumsum(counts)
+        best = self.ids[np.repeat(self.first[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
         if self.n == 1 or not words:
             return [(score, best)]
         losses = numbers[:, 1]
@@ -324,7 +342,7 @@ class NBest:
             for j, (extra, _) in enumerate(options[at - 1]):
                 count += 1
                 heapq.heappush(heap, (loss + extra, count, at - 1, (j, *picks)))
-        starts = np.concatenate([[0], np.cumsum(numbers[:, 2])]).astype(np.int64) if where else None
+        starts = np.concatenate([[0], ends])
         out = []
         for loss, picks in found:
             parts, last = [], 0
