@@ -1,20 +1,35 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after a number are
-typed placeholders, case and punctuation go. Windows of ``window`` template tokens are hash-joined with
-those of the benchmark. Matches that lie on one diagonal and follow one another form a run; in a run,
-what stands in the benchmark's slots and what stands in the document's must map one to one. Equal values
-make the run ``exact``, a consistent mapping ``reparameterised``; inconsistent runs are no evidence.
-
-A document is contaminated by an item if a run has at least ``min_run`` tokens (all tokens of a shorter
-item). Windows with fewer than ``min_literals`` literal tokens are templates of anything and don't count.
-Items with fewer than ``window`` tokens match nothing. Null and empty texts match nothing; rows with null
-ids are left out; repeated rows of an item or document give the same result once.
+typed placeholders, case and punctuation go. Windows of ``window`` tokens are hash-joined with those of the
+benchmark, as templates (every window with at least ``min_literals`` literal tokens; others are templates of
+anything) and as plain lower-cased words (so that other case or punctuation, which make a word a name or
+not, hide nothing). A match names a diagonal: an item laid beside a document at one offset. Each diagonal is
+then read as a whole, token by token. Two tokens agree if their words are equal or both are slots of one type.
+
+A document is contaminated by an item if there is a stretch of at least ``min_run`` tokens (all tokens of a
+shorter item) on one diagonal
+- whose words are equal (``exact``), or
+- whose tokens agree, whose slots map one to one between item and document, and which has at least
+  ``min_literals`` literal tokens, on a diagonal that a template window found (``reparameterised``).
+Where slots contradict one another the diagonal is cut, and what is consistent on either side counts for itself.
+Items with fewer than ``min_run`` tokens are met with a window of their own length, so a very short item
+contaminates each text that has its words in a row.
+
+Equal words take a run of ``min_run``, so documents' plain windows are taken at every
+(min_run - window + 1)th token only: such a run always has one of these. Hashes of 64 bits stand for windows.
+
+Null and empty texts match nothing; rows with null ids are left out. Rows that share an id are judged text by
+text: contaminated() names the id if one of its texts is, clean() takes out that text alone. Repeated rows give
+the same result once. An empty table on either side contaminates nothing. Texts are read whole, however long;
+other columns are not read, so they clash with nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.shared import written
@@ -40,59 +55,109 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(text, UNIT_AFTER, f"$1{UNIT}$2")
 
 
-def windows(table: DataFrame, key: str, window: int) -> DataFrame:
-    """key, words, template, h: the tokens, and the hash of each template window (null: too few), as arrays.
+def _tokens(table: DataFrame, key: str) -> DataFrame:
+    """key, text_key (a hash of the text), words (marked), plain, template: token arrays of every row with a key and a token."""
+    rows = table.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("id"), F.xxhash64("text").alias("text_key"), marked(F.col("text")).alias("t")).where("t <> ''")
+    return rows.select("id", "text_key", F.split("t", " ").alias("words"), F.split(_plain(F.col("t")), " ").alias("plain"), F.split(F.regexp_replace("t", SLOT, "$1"), " ").alias("template"))
+
+
+def _plain(x: Column) -> Column:
+    return F.translate(x, NUM + NAME + UNIT, "")
+
+
+def _is_slot(x: Column) -> Column:
+    return F.substring(x, 1, 1).isin(NUM, NAME, UNIT)
+
+
+def _windows(tokens: str, length: int, step: int = 1) -> Column:
+    """Hash and place (from 0) of each window of ``length`` tokens; null if there are too few. Templates and plain words never meet."""
+    starts = F.when(F.size(tokens) >= length, F.sequence(F.lit(0), F.size(tokens) - length, F.lit(step)))  # a sequence to -1 would count down
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(tokens), F.slice(tokens, i + 1, length)).alias("h"), i.alias("pos")))
+
 
-    Explode h with outer and filter afterwards: for a plain explode, Spark infers a filter on h and pushes
-    it below, where all of marked() would be computed again for every window.
-    """
-    text = table.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, marked(F.col("text")).alias("t"))
-    words = text.select(key, F.split("t", " ").alias("words"), F.split(F.regexp_replace("t", SLOT, "$1"), " ").alias("template"))
-    starts = F.when(F.size("template") >= window, F.sequence(F.lit(1), F.size("template") - window + 1))  # a sequence to 0 would count down
-    return words.select(key, "words", "template", F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, window))).alias("h"))
+def _both(arrays: list[Column]) -> Column:
+    return reduce(F.concat, [F.coalesce(a, F.array().cast("array<struct<h:bigint,pos:int>>")) for a in arrays])
 
 
-def _slots(words: str, pos: str, window: int) -> Column:
-    return F.filter(F.slice(words, F.col(pos) + 1, window), lambda w: F.substring(w, 1, 1).isin(NUM, NAME, UNIT))
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int = 13, min_literals: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, item_id, run_tokens (the longest stretch), kind of each contaminated pair."""
+    found = _found(docs, benchmark, window, min_run, min_literals, broadcast_bytes)
+    return found.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("run_tokens").cast("long").alias("run_tokens"), F.when(F.bool_or("exact"), "exact").otherwise("reparameterised").alias("kind"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int = 13, min_literals: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, item_id, run_tokens, matched_windows, kind of each contaminated pair."""
-    items = windows(benchmark, "item_id", window).select("item_id", "words", "template", F.size("words").alias("item_tokens"), F.posexplode_outer("h").alias("ipos", "h")).where("h IS NOT NULL")
-    literals = F.size(F.filter(F.slice("template", F.col("ipos") + 1, window), lambda w: ~w.isin(NUM, NAME, UNIT)))
-    items = written(items.where(literals >= min_literals).select("item_id", "item_tokens", "ipos", "h", _slots("words", "ipos", window).alias("islots")).distinct(), "benchmark_windows")
+def _found(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int = 13, min_literals: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """id, text_key, item_id, run_tokens, exact of each contaminated text and diagonal."""
+    items = written(_tokens(benchmark, "item_id").dropDuplicates(["id", "text_key"]).select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "words", "plain", "template", F.size("words").alias("n")), "items")
+    facts = items.agg(F.collect_set(F.when(F.col("n") < min_run, F.col("n"))).alias("short"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.length(F.concat_ws(" ", "words"))), F.lit(0)).alias("chars")).first()
+    short = sorted(facts["short"])  # at most min_run - 1 lengths
+    plain = F.when(F.col("n") >= min_run, _windows("plain", window))
+    template = F.when(F.col("n") >= window, _windows("template", window))
+    for n in short:
+        plain = F.when(F.col("n") == n, _windows("plain", n)).otherwise(plain)
+        template = F.when(F.col("n") == n, _windows("template", n)).otherwise(template) if n < window else template
+    literals = lambda w: F.size(F.filter(F.slice("template", w["pos"] + 1, window), lambda x: ~_is_slot(x))) >= min_literals
+    seeds = items.select("item_id", "item_key", "n", F.explode_outer(_both([F.transform(plain, lambda w: w), F.filter(template, literals)])).alias("w")).where("w IS NOT NULL")
+    kinds = items.select("item_id", "item_key", F.explode_outer(F.filter(template, literals)).alias("w")).where("w IS NOT NULL").select("w.h").distinct().withColumn("by_template", F.lit(True))
+    seeds = seeds.select("item_id", "item_key", "n", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos")).distinct().join(kinds, "h", "left")
+    seeds = written(seeds.withColumn("by_template", F.coalesce("by_template", F.lit(False))), "benchmark_windows")
 
-    cut = windows(docs, "doc_id", window).select("doc_id", "words", F.posexplode_outer("h").alias("pos", "h")).where("h IS NOT NULL")
-    if items.count() <= broadcast_rows:
-        # the benchmark's windows were counted: they fit in every task, and the documents' are not shuffled
-        met = cut.join(F.broadcast(items), "h").select("doc_id", "pos", "item_id", "item_tokens", "ipos", "islots", _slots("words", "pos", window).alias("slots"))
+    # explode with outer and filter afterwards: for a plain explode, Spark infers a filter on the windows and
+    # pushes it below, where all of marked() would be computed again for every window
+    words = _tokens(docs, "doc_id")
+    hashes = _both([_windows("template", window), _windows("plain", window, max(1, min_run - window + 1)), *[_windows("plain", n) for n in short], *[_windows("template", n) for n in short if n < window]])
+    cut = words.select("id", "text_key", "words", F.explode_outer(hashes).alias("w")).where("w IS NOT NULL").select("id", "text_key", "words", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
+    diagonal = ["id", "text_key", "item_id", "item_key", "n", "offset"]
+    beside = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", F.col("offset") + i)).alias("beside")
+    if 64 * seeds.count() <= broadcast_bytes:
+        # the benchmark's windows were counted, at 64 bytes each: they fit in every task, and the documents' are not shuffled
+        met = cut.join(F.broadcast(seeds), "h").withColumn("offset", F.col("pos") - F.col("ipos")).select(*diagonal, "by_template", beside)
+        lines = met.groupBy(*diagonal).agg(F.max("by_template").alias("by_template"), F.first("beside").alias("beside"))
     else:
-        met = cut.select("doc_id", "pos", "h", _slots("words", "pos", window).alias("slots")).join(items, "h").drop("h")
-    hits = written(met.distinct(), "hits")
-
-    diagonal = ["doc_id", "item_id", "offset"]
-    runs = hits.withColumn("offset", F.col("pos") - F.col("ipos")).withColumn("run", F.col("ipos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("ipos")))
-    pairs = runs.where(F.size("slots") > 0).select(*diagonal, "run", F.explode(F.arrays_zip("islots", "slots")).alias("z")).select(*diagonal, "run", F.col("z.islots").alias("x"), F.col("z.slots").alias("y")).distinct()
-    fits = pairs.groupBy(*diagonal, "run").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"), F.bool_and(F.col("x") == F.col("y")).alias("same")
-    )
-    found = runs.groupBy(*diagonal, "run", "item_tokens").agg(F.count(F.lit(1)).alias("w")).join(fits, [*diagonal, "run"], "left")
-    found = found.withColumn("tokens", F.col("w") + window - 1).where(F.col("n").isNull() | ((F.col("n") == F.col("nx")) & (F.col("n") == F.col("ny"))))
-    found = found.where(F.col("tokens") >= F.least(F.lit(min_run), F.col("item_tokens")))
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max("tokens").cast("long").alias("run_tokens"), F.sum("w").cast("long").alias("matched_windows"),
-        F.when(F.bool_or(F.coalesce("same", F.lit(True))), "exact").otherwise("reparameterised").alias("kind"),
-    )
+        met = cut.select("id", "text_key", "h", "pos").join(seeds, "h").withColumn("offset", F.col("pos") - F.col("ipos"))
+        lines = met.groupBy(*diagonal).agg(F.max("by_template").alias("by_template"))
+        lines = lines.join(words.select("id", "text_key", "words").dropDuplicates(["id", "text_key"]), ["id", "text_key"]).select(*diagonal, "by_template", beside)
+    lines = written(lines, "diagonals")
+    texts = items.select("item_id", "item_key", F.col("words").alias("item"))
+    both = lines.join(F.broadcast(texts) if facts["chars"] + 16 * facts["tokens"] <= broadcast_bytes else texts, ["item_id", "item_key"])
+    return _read(both, min_run, min_literals)
+
+
+def _read(lines: DataFrame, min_run: int, min_literals: int) -> DataFrame:
+    """Each diagonal token by token: ``item`` and ``beside`` are marked words, null where the document has none."""
+
+    def token(a: Column, b: Column) -> Column:
+        equal = F.coalesce(_plain(a) == _plain(b), F.lit(False))
+        alike = F.coalesce(_is_slot(a) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)), F.lit(False))
+        slot = F.coalesce(_is_slot(a) | _is_slot(b), F.lit(False))
+        return F.struct(_plain(a).alias("x"), _plain(b).alias("y"), equal.alias("equal"), (equal | alike).alias("agrees"), slot.alias("slot"))
+
+    lines = lines.withColumn("z", F.zip_with("item", "beside", token))
+    lines = lines.withColumn("z", F.transform("z", lambda t, i: t.withField("i", i)))
+    # the slots that agree are few: each looks for the last one before it that contradicts it
+    lines = lines.withColumn("slots", F.filter("z", lambda t: t["slot"] & t["agrees"]))
+    against = lambda t: F.array_max(F.transform(F.filter("slots", lambda q: (q["i"] < t["i"]) & ((q["x"] == t["x"]) != (q["y"] == t["y"]))), lambda q: q["i"]))
+    none = F.lit(-1)
+    lines = lines.withColumn("stop", F.transform("z", lambda t: F.when(~t["agrees"], t["i"]).when(t["slot"], F.coalesce(against(t), none)).otherwise(none)))
+    lines = lines.withColumn("differs", F.transform("z", lambda t: F.when(t["equal"], none).otherwise(t["i"])))
+    lines = lines.withColumn("since", F.transform("stop", lambda c, j: F.array_max(F.slice("stop", 1, j + 1)))).withColumn("same", F.transform("differs", lambda c, j: j - F.array_max(F.slice("differs", 1, j + 1))))
+    need = F.least(F.lit(min_run), F.col("n"))
+    literal = lambda b, j: F.size(F.filter(F.slice("z", b + 2, j - b), lambda t: ~t["slot"]))
+    # a slice is never empty where it is asked for: stretches of the length needed alone are looked into
+    held = F.array_max(F.transform("since", lambda b, j: F.when((j - b >= need) & (literal(b, F.greatest(j, b + 1)) >= min_literals), j - b)))
+    lines = lines.withColumn("same", F.array_max("same")).withColumn("held", F.when(F.col("by_template"), held))
+    lines = lines.withColumn("exact", F.col("same") >= need).where("exact OR held IS NOT NULL")
+    return lines.select("id", "text_key", "item_id", F.greatest(F.when(F.col("exact"), F.col("same")), "held").alias("run_tokens"), "exact")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """Rows of docs that no item contaminates, all columns."""
-    bad = contaminated(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Rows of docs whose text no item contaminates, all columns. The verdict is the text's, so it holds for rows that share an id, or have none, one by one."""
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = _found(by_text, benchmark, **how).select("text_key").distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["text_key"], "left_anti").select(docs.columns)
 
 
 def sql(window: int = 8, min_run: int = 13, min_literals: int = 5) -> str:
-    """contaminated() over ``documents`` and ``benchmark`` in DuckDB SQL."""
+    """contaminated() over ``documents`` and ``benchmark`` in DuckDB SQL: a row for each token of a diagonal."""
     def q(x: str) -> str:
         for c in (NUM, NAME, UNIT, "\n"):
             x = x.replace(c, f"\\x{ord(c):02x}")
@@ -106,22 +171,38 @@ def sql(window: int = 8, min_run: int = 13, min_literals: int = 5) -> str:
         t = f"regexp_replace({t}, '{q(pattern)}', {put(f'\\{a}{mark}\\{b}')}, 'g')"
     t = f"trim(lower(regexp_replace({t}, '{q(STRIP)}', ' ', 'g')))"
     t = f"regexp_replace({t}, '{q(UNIT_AFTER)}', {put(f'\\1{UNIT}\\2')}, 'g')"
-    w = f"""list_transform(range(1, len(template) - {window - 2}), lambda p: {{'p': p, 'h': array_to_string(template[p:p+{window - 1}], ' '),
-      's': list_filter(words[p:p+{window - 1}], lambda x: x[1:1] IN (chr(1), chr(2), chr(3)))}})"""
-    cut = f"""SELECT id, tokens, w.p AS p, w.h AS h, w.s AS s FROM (SELECT id, len(words) AS tokens, unnest({w}) AS w FROM
-      (SELECT id, string_split(t, ' ') AS words, string_split(regexp_replace(t, '{q(SLOT)}', '\\1', 'g'), ' ') AS template FROM (SELECT id, {t} AS t FROM (%s))) WHERE len(template) >= {window})"""
+    marks = "chr(1) || chr(2) || chr(3)"
+    words = f"""SELECT row_number() OVER () AS k, id, w, len(w) AS n, list_transform(w, lambda x: translate(x, {marks}, '')) AS p,
+      list_transform(w, lambda x: CASE WHEN x[1:1] IN (chr(1), chr(2), chr(3)) THEN x[1:1] ELSE x END) AS m
+      FROM (SELECT id, string_split(t, ' ') AS w FROM (SELECT id, {t} AS t FROM (SELECT DISTINCT %s AS id, text FROM %s WHERE text IS NOT NULL AND %s IS NOT NULL)) WHERE t <> '')"""
+    cut = "SELECT k, s, array_to_string({what}[s:s+{n}-1], ' ') AS h FROM (SELECT k, {what}, unnest(range(1, n - {n} + 2)) AS s FROM {table} WHERE {where})"
+    literal = f"len(list_filter(m[p:p+{{n}}-1], lambda x: x NOT IN (chr(1), chr(2), chr(3)))) >= {min_literals}"
+    parts, doc_parts = [], []
+    for n in range(1, min_run):
+        parts.append(f"SELECT k, 1 AS s, false AS t, {n} AS l, array_to_string(p, ' ') AS h FROM b WHERE n = {n}")
+        doc_parts.append(f"SELECT k, s, false AS t, {n} AS l, h FROM ({cut.format(what='p', n=n, table='d', where=f'n >= {n} AND EXISTS (SELECT 1 FROM b WHERE b.n = {n})')})")
+        if n < window:
+            parts.append(f"SELECT k, 1 AS s, true AS t, {n} AS l, array_to_string(m, ' ') AS h FROM b WHERE n = {n} AND len(list_filter(m, lambda x: x NOT IN (chr(1), chr(2), chr(3)))) >= {min_literals}")
+            doc_parts.append(f"SELECT k, s, true AS t, {n} AS l, h FROM ({cut.format(what='m', n=n, table='d', where=f'n >= {n} AND EXISTS (SELECT 1 FROM b WHERE b.n = {n})')})")
+    parts.append(f"SELECT k, s, false AS t, {window} AS l, h FROM ({cut.format(what='p', n=window, table='b', where=f'n >= {min_run}')})")
+    parts.append(f"SELECT k, p AS s, true AS t, {window} AS l, array_to_string(m[p:p+{window}-1], ' ') AS h FROM (SELECT k, m, unnest(range(1, n - {window} + 2)) AS p FROM b WHERE n >= {window}) WHERE {literal.format(n=window)}")
+    doc_parts += [f"SELECT k, s, {'true' if what == 'm' else 'false'} AS t, {window} AS l, h FROM ({cut.format(what=what, n=window, table='d', where=f'n >= {window}')})" for what in "pm"]
     return f"""
-WITH b AS ({cut % 'SELECT DISTINCT item_id AS id, text FROM benchmark WHERE text IS NOT NULL'}),
-i AS (SELECT DISTINCT id AS item_id, tokens AS item_tokens, p AS ipos, h, s AS islots FROM b WHERE {window} - len(s) >= {min_literals}),
-d AS ({cut % 'SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL'}),
-m AS (SELECT DISTINCT d.id AS doc_id, d.p AS pos, item_id, item_tokens, ipos, islots, d.s AS slots, d.p - ipos AS o FROM d JOIN i USING (h)),
-r AS (SELECT *, ipos - row_number() OVER (PARTITION BY doc_id, item_id, o ORDER BY ipos) AS run FROM m),
-z AS (SELECT DISTINCT doc_id, item_id, o, run, unnest(islots) AS x, unnest(slots) AS y FROM r WHERE len(slots) > 0),
-f AS (SELECT doc_id, item_id, o, run, count(*) AS n, count(DISTINCT x) AS nx, count(DISTINCT y) AS ny, bool_and(x = y) AS same FROM z GROUP BY ALL),
-g AS (SELECT doc_id, item_id, o, run, item_tokens, count(*) AS w FROM r GROUP BY ALL)
-SELECT doc_id, item_id, CAST(max(w + {window - 1}) AS BIGINT) AS run_tokens, CAST(sum(w) AS BIGINT) AS matched_windows,
-       CASE WHEN bool_or(coalesce(same, true)) THEN 'exact' ELSE 'reparameterised' END AS kind
-FROM g LEFT JOIN f USING (doc_id, item_id, o, run)
-WHERE (n IS NULL OR (n = nx AND n = ny)) AND w + {window - 1} >= least({min_run}, item_tokens)
-GROUP BY doc_id, item_id
+WITH b AS MATERIALIZED ({words % ("item_id", "benchmark", "item_id")}), d AS MATERIALIZED ({words % ("doc_id", "documents", "doc_id")}),
+i AS ({" UNION ALL ".join(parts)}), c AS ({" UNION ALL ".join(doc_parts)}),
+g AS (SELECT c.k AS dk, i.k AS bk, c.s - i.s AS o, bool_or(t) AS t FROM c JOIN i USING (t, l, h) GROUP BY ALL),
+z AS (SELECT g.*, n, j, x, y, u, v, coalesce(x = y, false) AS e, coalesce(u[1:1] IN (chr(1), chr(2), chr(3)) AND u[1:1] = v[1:1], false) AS a,
+             coalesce(u[1:1] IN (chr(1), chr(2), chr(3)) OR v[1:1] IN (chr(1), chr(2), chr(3)), false) AS s
+      FROM (SELECT g.*, b.n AS n, j, b.w[j + 1] AS u, b.p[j + 1] AS x, CASE WHEN o + j >= 0 THEN d.w[o + j + 1] END AS v, CASE WHEN o + j >= 0 THEN d.p[o + j + 1] END AS y
+            FROM g JOIN b ON b.k = bk JOIN d ON d.k = dk, unnest(range(b.n)) AS r(j)) AS g),
+f AS (SELECT l.dk, l.bk, l.o, l.j, max(f.j) AS stop FROM z l JOIN z f ON f.dk = l.dk AND f.bk = l.bk AND f.o = l.o AND f.j < l.j
+      WHERE l.s AND f.s AND (l.e OR l.a) AND (f.e OR f.a) AND (f.x = l.x) <> (f.y = l.y) GROUP BY ALL),
+w AS (SELECT z.*, max(CASE WHEN NOT (e OR a) THEN j ELSE coalesce(stop, -1) END) OVER p AS since, max(CASE WHEN e THEN -1 ELSE j END) OVER p AS eb,
+             CAST(sum(CASE WHEN s THEN 0 ELSE 1 END) OVER p AS BIGINT) AS lits
+      FROM z LEFT JOIN f USING (dk, bk, o, j) WINDOW p AS (PARTITION BY dk, bk, o ORDER BY j)),
+r AS (SELECT w.dk, w.bk, w.j - w.eb AS same, w.n, CASE WHEN w.t AND w.j - w.since >= least({min_run}, w.n) AND w.lits - coalesce(q.lits, 0) >= {min_literals} THEN w.j - w.since END AS held
+      FROM w LEFT JOIN w q ON q.dk = w.dk AND q.bk = w.bk AND q.o = w.o AND q.j = w.since)
+SELECT d.id AS doc_id, b.id AS item_id, CAST(max(greatest(CASE WHEN same >= least({min_run}, r.n) THEN same END, held)) AS BIGINT) AS run_tokens,
+       CASE WHEN bool_or(same >= least({min_run}, r.n)) THEN 'exact' ELSE 'reparameterised' END AS kind
+FROM r JOIN d ON d.k = dk JOIN b ON b.k = bk WHERE same >= least({min_run}, r.n) OR held IS NOT NULL GROUP BY d.id, b.id
 """

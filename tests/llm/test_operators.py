@@ -290,19 +290,87 @@ def test_reader_drops_an_archive_inside_a_payload(tmp_path):
         assert [x["warc-record-id"] for _, _, x in warc.scan(f, 1, len(raw))] == ["<urn:page:7>"]
 
 
+def tokens_of(text):
+    """(word, slot type or None) of each token: the rules of marked() read word by word."""
+    import regex
+
+    for pattern, (a, mark, b) in decontam.MARKS:
+        text = regex.sub(pattern, lambda m: m[a] + mark + m[b], text)
+    text = regex.sub(decontam.STRIP, " ", text).lower().strip()
+    text = regex.sub(decontam.UNIT_AFTER, lambda m: m[1] + decontam.UNIT + m[2], text)
+    return [(w.lstrip("\x01\x02\x03"), w[0] if w[0] in "\x01\x02\x03" else None) for w in text.split(" ") if w]
+
+
+def slow_contaminated(docs, items, window=8, min_run=13, min_literals=5):
+    out = {}
+    for d, text in docs:
+        t = tokens_of(text or "")
+        for k, item in items:
+            u = tokens_of(item or "")
+            need = min(min_run, len(u))
+            for o in range(-len(u), len(t)):
+                pairs = [(j, x, t[o + j]) for j, x in enumerate(u) if 0 <= o + j < len(t)]
+                fits = lambda x, y: x[0] == y[0] or (x[1] and x[1] == y[1])
+                size = min(window, len(u))
+                plain = lambda z: [w if m is None else m for w, m in z]
+                seed = any(o + j >= 0 and o + j + size <= len(t) and plain(u[j : j + size]) == plain(t[o + j : o + j + size]) and sum(m is None for _, m in u[j : j + size]) >= min_literals for j in range(len(u) - size + 1))
+                for lo in range(len(pairs)):
+                    for hi in range(lo + need, len(pairs) + 1):
+                        part = pairs[lo:hi]
+                        if all(x[0] == y[0] for _, x, y in part):
+                            out[d, k] = "exact", max(out.get((d, k), ("", 0))[1], len(part))
+                        elif seed and all(fits(x, y) for _, x, y in part):
+                            slots = [(x[0], y[0]) for _, x, y in part if x[1] or y[1]]
+                            one = all((p[0] == q[0]) == (p[1] == q[1]) for p in slots for q in slots)
+                            if one and sum(not (x[1] or y[1]) for _, x, y in part) >= min_literals:
+                                kind, n = out.get((d, k), ("reparameterised", 0))
+                                out[d, k] = kind, max(n, len(part))
+    return out
+
+
+def check_contaminated(spark, rows, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, 0) for i, t in rows], DOCS)
+    want = slow_contaminated([x for x in rows if x[0] is not None], [x for x in items if x[0] is not None])
+    for how in ({}, {"broadcast_bytes": 0}):
+        got = {(r["doc_id"], r["item_id"]): (r["kind"], r["run_tokens"]) for r in decontam.contaminated(d, bench, **how).collect()}
+        assert got == want, {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)}
+    return d, bench, want
+
+
 def test_decontamination(spark, none):
     rng = random.Random(5)
     item = "In the shop Anna bought 12 apples and then 30 pears and gave 12 of them to the old man at 5 km from the river bank"
-    other = item.replace("Anna", "Boris").replace("12", "77").replace("30", "41")
-    broken = item.replace("12 apples", "12 apples").replace("gave 12", "gave 99")
-    bench = spark.createDataFrame([(1, item), (2, words(rng, 30)), (3, "too short"), (None, item), (4, None), (1, item)], "item_id long, text string")
-    rows = [(0, None), (1, ""), (2, words(rng, 50) + ". " + item), (3, words(rng, 9) + ". " + other + " more"), (4, broken), (5, words(rng, 500)), (6, item.upper()), (6, item)]
-    d = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, 0) for i, t in rows], DOCS)
-    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(d, bench).collect()}
-    assert got[2, 1] == "exact" and got[3, 1] == "reparameterised" and (4, 1) not in got and not any(k[0] in (0, 1, 5) for k in got)
-    assert got == {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(d, bench, broadcast_rows=0).collect()}
-    assert {r["doc_id"] for r in decontam.clean(d, bench).collect()} == {0, 1, 4, 5} and decontam.clean(d, bench).columns == d.columns
-    assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(d, bench.limit(0)).count() == 0
+    other = item.replace("Anna", "Boris").replace("12", "77").replace("30", "41").replace("5 km", "6 km")
+    broken = item.replace("gave 12", "gave 99")
+    dense = "On Monday Alice Smith paid Bob Jones 40 dollars and Carol White 35 dollars before Dan Brown gave Eve Black 12 euros or 9 cents"
+    long = " ".join(f"item{j}" for j in range(20)) + " 12 " + " ".join(f"more{j}" for j in range(20)) + " 12 and so on"
+    items = [(1, item), (2, words(rng, 30)), (3, "too short 7"), (None, item), (4, None), (1, item), (5, dense), (6, long), (7, ""), (8, "?!"), (9, "five words are not many"), (1, "the same id with another text that nobody ever copied anywhere at all")]
+    rows = [(0, None), (1, ""), (2, words(rng, 50) + ". " + item), (3, words(rng, 9) + ". " + other + " more"), (4, broken), (5, words(rng, 500)), (6, item.upper()), (7, item), (7, words(rng, 20)), (None, item)]
+    rows += [(8, item.title()), (9, "".join(c for c in item if c.isalnum() or c == " ")), (10, dense), (11, dense.lower()), (12, long.replace("12", "15", 1)), (13, "aha, too short 7!"), (14, "too short 8"), (15, "Five words are not many")]
+    rows += [(16, " ".join(item.split()[:12])), (17, " ".join(item.split()[5:18])), (18, "x " * 3000 + item + " y" * 3000), (19, item.replace("Anna", "Boris") + " " + item)]
+    d, bench, got = check_contaminated(spark, rows, items)
+    assert all(got[i, 1][0] == "exact" for i in (2, 4, 6, 7, 8, 9, 17, 18, 19)) and got[3, 1][0] == "reparameterised" and (16, 1) not in got
+    assert got[10, 5][0] == got[11, 5][0] == got[12, 6][0] == got[13, 3][0] == got[15, 9][0] == "exact" and (14, 3) not in got
+    assert not any(k[0] in (0, 1, 5) for k in got)
+    left = decontam.clean(d, bench)
+    assert left.columns == d.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == [(False, i) for i in (0, 1, 5, 7, 14, 16)]
+    assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(d, bench.limit(0)).count() == 0 and decontam.clean(none, bench).count() == 0
+
+
+def test_decontamination_of_random_templates(spark):
+    rng = random.Random(15)
+    word = lambda: rng.choice(["Anna", "Bob", "7", "12", "5", "km", "the", "cat", "ran", "to", "a", "of"])
+    items = [(k, " ".join(word() for _ in range(rng.choice([4, 7, 9, 14, 20, 30])))) for k in range(8)]
+    rows = []
+    for i in range(60):
+        w = rng.choice(items)[1].split()
+        lo = rng.randrange(max(1, len(w) - 12))
+        w = w[lo : lo + rng.choice([8, 13, 16, 30])]
+        swap = {x: word() if rng.random() < 0.5 else x for x in ("Anna", "Bob", "7", "12", "5")}
+        w = [swap.get(x, x) if rng.random() < 0.95 else word() for x in w]
+        rows.append((i, " ".join([*(word() for _ in range(rng.randrange(9))), *w, *(word() for _ in range(rng.randrange(9)))])))
+    check_contaminated(spark, rows, items)
 
 
 def slow_groups(texts):
