@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.components import components
+from kinweave.llm.sieve import bloom, passes
 from kinweave.shared import discard, written
 
 SLICE = 1 << 16
@@ -64,7 +65,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def _hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte and 64-bit hash of each word: differences of one running polynomial, moved to the same power and mixed."""
     b = np.frombuffer(raw, dtype=np.uint8)
     gap = SPACES[b]
@@ -84,7 +85,7 @@ def shingle_sets(texts: list[str | None], n: int = 5, most: int = 1 << 21):
             raws.append((texts[lo + len(raws)] or "").encode("utf-8", "replace"))
             size += len(raws[-1]) + 1
         lo += len(raws)
-        starts, h = _hashed_words(b"\n".join(raws))
+        starts, h = hashed_words(b"\n".join(raws))
         stops = np.cumsum([len(r) + 1 for r in raws])
         of = np.searchsorted(stops, starts, side="right")  # each word's text
         last = np.searchsorted(of, np.arange(len(raws)), side="right")
@@ -194,29 +195,6 @@ def _must_match(size: str, other: str, percent: int):
     return tuple(F.greatest(F.lit(1), overlap - F.ceil(percent * x / 100 - F.lit(1e-9)) + 1) for x in (a, b))
 
 
-def _sieve(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
-    """A Bloom filter of the ids' hashes as a bit array: 16 bits an id or ``most_bits`` in all; it never misses one."""
-    size = 1 << min(most_bits.bit_length() - 1, max(16, (16 * ids.count()).bit_length()))
-
-    def mark(batches):
-        bits = np.zeros(size, dtype=bool)
-        for pdf in batches:
-            for k in _places(pdf["h"].to_numpy(), size):
-                bits[k] = True
-        yield pd.DataFrame({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
-
-    out = np.zeros(size // 8, dtype=np.uint8)
-    for r in ids.select(F.xxhash64("doc_id").alias("h")).mapInPandas(mark, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
-    return out
-
-
-def _places(hashes: np.ndarray, size: int) -> list[np.ndarray]:
-    x = hashes.astype(np.int64).view(np.uint64)
-    mask = np.uint64(size - 1)
-    return [((x >> np.uint64(s)) & mask).astype(np.int64) for s in (0, 29, 35)]
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link exactly.
 
@@ -225,16 +203,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     """
     pairs = written(pairs, "pairs")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(_sieve(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select(F.xxhash64("doc_id").alias("h"))))
 
     def sets(batches):
         sieve = shared.value
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            keep = np.ones(len(h), dtype=bool)
-            for k in _places(h, 8 * len(sieve)):
-                keep &= (sieve[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1
-            part = batch.filter(pa.array(keep))
+            part = batch.filter(pa.array(passes(sieve, batch.column("h").to_numpy())))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)], pa.binary())], ["doc_id", "s"])
 
     hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")

@@ -1,17 +1,30 @@
 """Exact substring deduplication with a logarithmic family of suffix arrays.
 
 Removed is each byte covered by a string of ``length`` bytes that starts at two places or more, in one
-document or in several. Equal texts are one text here, counted; if it is long enough all of it goes.
-
-Two equal strings have the same smallest gram hash at the same place in their middle half, so they hang on
-anchors with the same surroundings. Only the stretches around anchors whose surroundings occur twice are
-cut out and dealt by anchor fingerprint. Each task builds an index over its stretches in batches: a
-new batch's starts are sorted into a suffix array (by leading bytes, then a 64-bit fingerprint of all
-``length`` bytes: equality at that length is all a match needs), merge-scanned against the existing levels
-for matches, and stored as a new level; levels of like size merge, so there are O(log n) of them.
-
-Null texts are empty. Rows may repeat or share ids: each row comes back with its own text's result.
-Anchors and matches are told by 64-bit hashes (a match needs both to agree).
+document or in several. Beside that, words covered by a string of ``words`` words that starts at two places
+or more are counted (case of ASCII letters and the kind of white space make no difference): a passage of
+over 50 words may be shorter than ``length`` bytes. Equal texts are one text here, counted; if it is long
+enough all of it goes.
+
+Both are repeats in a sequence of symbols, bytes or hashes of words:
+
+1. Two equal strings have the same smallest gram hash at the same place of their middle part, so they hang on
+   anchors with the same surroundings. Anchors' fingerprints are counted over all texts.
+2. Around anchors whose fingerprint occurs twice the stretch that holds all strings of that anchor is cut out.
+   Stretches that are equal as a whole repeat as a whole; that is an aggregation by digest, pre-aggregated.
+3. Different stretches with one fingerprint are dealt by fingerprint, one of each kind. Each task builds an index
+   over its stretches in batches: a new batch's starts are sorted into a suffix array (by leading bytes, then
+   a 64-bit fingerprint of the whole string: equality at that length is all a match needs), scanned against the
+   existing levels for matches, and stored as a new level; levels of like size merge, so there are O(log n).
+4. Where a fingerprint has more than ``hot`` different stretches (the end of a passage that a great part of all
+   documents share) the batches' strings are merged across tasks instead, by an aggregation of their hashes.
+
+Only texts that hold such anchors are shuffled, once each: a Bloom filter of bounded size holds back the rest.
+
+Null texts are empty; empty texts and texts shorter than a string lose nothing unless covered. Rows may repeat
+or share ids, or have none: each row comes back with its own text's result. Other columns are not read, so
+they clash with nothing; no rows give no rows. Very long texts are read whole, a segment at a time. Anchors and
+matches are told by 64-bit hashes (a match needs two to agree), texts by 128 bits of their SHA-256.
 """
 
 from __future__ import annotations
@@ -21,13 +34,21 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.shared import written
+from kinweave.llm.jaccard import hashed_words
+from kinweave.llm.sieve import bloom, passes
+from kinweave.shared import discard, written
 
-GRAM = 16
+BYTES, WORDS = 0, 1
+GRAMS = {BYTES: 16, WORDS: 4}
+DTYPES = {BYTES: np.uint8, WORDS: np.uint64}
+#: Bytes of stretches in an outgoing batch.
+FLUSH = 4 << 20
+COLUMNS = {"sha": pa.binary(), "unit": pa.int8(), "lo": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "is_hot": pa.bool_(), "digest": pa.binary(), "piece": pa.binary(), "h": pa.int64()}
 LOW = np.uint64((1 << 24) - 1)
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -41,7 +62,7 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def string_hashes(raw: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes from each place on; doubling lengths, put together by the bits of ``length``."""
+    """A 64-bit hash of the ``length`` symbols from each place on; doubling lengths, put together by the bits of ``length``."""
     n = len(raw) - length + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -65,28 +86,30 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def anchors(raw: bytes, length: int, segment: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, fingerprint) of the runs of string starts that share an anchor. Covers every start once."""
-    b = np.frombuffer(raw, dtype=np.uint8)
-    margin = length // 4
-    w = length - 2 * margin
-    lows, highs, fps = [], [], []
-    starts = len(b) - length + 1
+def symbols(raw: bytes, unit: int) -> np.ndarray:
+    return hashed_words(raw)[1] if unit == WORDS else np.frombuffer(raw, dtype=np.uint8)
+
+
+def anchors(seq: np.ndarray, length: int, unit: int = BYTES, segment: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, fingerprint) of the runs of string starts that share an anchor. Covers every start once."""
+    gram, margin = GRAMS[unit], length // 8
+    w = length - 2 * margin - gram + 1
+    view, k = memoryview(np.ascontiguousarray(seq)).cast("B"), seq.itemsize
+    lows, counts, fps = [], [], []
+    starts = len(seq) - length + 1
     for base in range(0, max(0, starts), segment):
         m = min(segment, starts - base)
-        part = b[base : base + m + length - 1]
-        g = string_hashes(part[margin : margin + m + w - 1 + GRAM - 1], GRAM)
+        g = string_hashes(seq[base + margin : base + margin + m + w - 1 + gram - 1], gram)
         key = (g & ~LOW) | np.arange(len(g), dtype=np.uint64)
         at = (sliding_min(key, w) & LOW).astype(np.int64)
         cut = np.flatnonzero(np.diff(at, prepend=-1))
-        x = at[cut] + margin + base
         lows.append(cut + base)
-        highs.append(np.append(cut[1:], m) - 1 + base)
-        fps.append(np.fromiter((xxhash.xxh3_64_intdigest(raw[i - margin : i + margin]) for i in x.tolist()), dtype=np.uint64, count=len(x)).view(np.int64))
+        counts.append(np.diff(cut, append=m))
+        fps.append(np.fromiter((xxhash.xxh3_64_intdigest(view[(i - margin) * k : (i + margin) * k], seed=unit) for i in (at[cut] + margin + base).tolist()), dtype=np.uint64, count=len(cut)).view(np.int64))
     if not lows:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    return np.concatenate(lows), np.concatenate(highs), np.concatenate(fps)
+    return np.concatenate(lows), np.concatenate(counts), np.concatenate(fps)
 
 
 class SuffixFamily:
@@ -99,7 +122,10 @@ class SuffixFamily:
         self.n = 0
 
     def add(self, keys: np.ndarray) -> None:
-        """keys: one S16 for each start of the batch; starts are numbered on from the last batch."""
+        """keys: one S16 for each start of the batch; starts are numbered on from the last batch.
+
+        The batch is sorted, scanned against each level in the order that both share, and becomes a level.
+        """
         own = self.n + np.arange(len(keys))
         self.n += len(keys)
         while self.n > len(self.twice):
@@ -129,133 +155,211 @@ class SuffixFamily:
             self.levels.append((keys, own))
 
 
-def _suffix_keys(pieces: list[bytes], length: int) -> np.ndarray:
-    """Keys of the starts of each piece (all but its last length - 1 bytes)."""
-    raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+def _suffix_keys(pieces: list[np.ndarray], length: int) -> np.ndarray:
+    """Keys of the starts of each piece (all but its last length - 1 symbols)."""
+    seq = np.concatenate(pieces)
     size = np.array([len(p) for p in pieces])
     starts = size - length + 1
     begin = np.cumsum(size) - size
     at = np.repeat(begin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
     key = np.empty((len(at), 2), dtype=">u8")
     lead = np.zeros(len(at), dtype=np.uint64)
-    for k in range(8):
-        lead = (lead << np.uint64(8)) | raw[at + k].astype(np.uint64)
-    key[:, 0], key[:, 1] = lead, string_hashes(raw, length)[at]
+    for k in range(8 // seq.itemsize):
+        lead = (lead << np.uint64(8 * seq.itemsize % 64)) | seq[at + k].astype(np.uint64)
+    key[:, 0], key[:, 1] = lead, string_hashes(seq, length)[at]
     return key.view("S16").ravel()
 
 
-def _repeated(batches, length: int, group: int = 2000):
-    """Rows sha, lo, hi of starts that occur twice, from rows fp, sha, lo, piece."""
-    family = SuffixFamily(length)
-    shas: list[bytes] = []
-    lows: list[int] = []
-    firsts: list[int] = []
-    whole: dict[tuple, int] = {}
-    full: set[int] = set()
-    out = []
+RANGES = "sha binary, unit int, lo long, hi long"
+
+
+def _ranges(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["sha", "unit", "lo", "hi"]).astype({"unit": "int32", "lo": "int64", "hi": "int64"})
+
+
+def _repeated(batches, lengths: dict[int, int], group: int = 2000):
+    """Rows sha, unit, lo, hi of starts that occur twice, from rows unit, sha, lo, piece."""
+    families = {unit: SuffixFamily(length) for unit, length in lengths.items()}
+    held: dict[int, list[tuple[bytes, int, int]]] = {unit: [] for unit in lengths}  # text, place and first start of each piece
     for pdf in batches:
         for at in range(0, len(pdf), group):
-            part = pdf.iloc[at : at + group]
-            new = []
-            for fp, sha, lo, piece in zip(part["fp"], part["sha"], part["lo"], part["piece"], strict=True):
-                key = (fp, len(piece), xxhash.xxh3_128_digest(piece))
-                if key in whole:  # the same stretch again: all its starts occur twice
-                    full.add(whole[key])
-                    out.append((sha, lo, lo + len(piece) - length))
-                    continue
-                whole[key] = len(shas)
-                shas.append(sha)
-                lows.append(lo)
-                firsts.append(family.n + sum(len(p) - length + 1 for p in new))
-                new.append(piece)
-            if new:
-                family.add(_suffix_keys(new, length))
+            for unit, part in pdf.iloc[at : at + group].groupby("unit"):
+                new = [np.frombuffer(piece, dtype=DTYPES[unit]) for piece in part["piece"]]
+                counts = np.array([len(p) for p in new]) - lengths[unit] + 1
+                firsts = families[unit].n + np.cumsum(counts) - counts
+                held[unit] += zip(part["sha"], part["lo"], firsts.tolist(), strict=True)
+                families[unit].add(_suffix_keys(new, lengths[unit]))
+    for unit, family in families.items():
+        ends = [h[2] for h in held[unit][1:]] + [family.n] * bool(held[unit])
+        out = []
+        for (sha, lo, first), end in zip(held[unit], ends, strict=True):
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], family.twice[first:end].view(np.int8), [0]])))
+            out += [(sha, unit, lo + int(a), lo + int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
             if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["sha", "lo", "hi"])
+                yield _ranges(out)
                 out = []
-    firsts.append(family.n)
-    for k, (sha, lo) in enumerate(zip(shas, lows, strict=True)):
-        n = firsts[k + 1] - firsts[k]
-        flags = np.ones(n, dtype=bool) if k in full else family.twice[firsts[k] : firsts[k + 1]]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-        out += [(sha, lo + int(a), lo + int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    yield pd.DataFrame(out, columns=["sha", "lo", "hi"]).astype({"lo": "int64", "hi": "int64"})
+        yield _ranges(out)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) for every row."""
+def _covered(found, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of symbols that the strings starting in the ranges cover."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((r["lo"], r["hi"] + length) for r in found):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _list(values: list[np.ndarray], stops: list[int], kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(values) if values else [], kind))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_text: bool = False, hot: int = 2000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (and kept, the remaining bytes) for every row."""
+    lengths = {BYTES: length, WORDS: words}
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
-    rows = rows.select("doc_id", "raw", F.unhex(F.sha2("raw", 256)).alias("sha"))
+    rows = rows.select("doc_id", "raw", F.unhex(F.sha2("raw", 256)).alias("sha256"))
+    spark = docs.sparkSession
+    names = ["unit", "lo", "n", "fp"]
+    kinds = [COLUMNS[c] for c in names]
+    arrays = "unit array<tinyint>, lo array<long>, n array<int>, fp array<long>"
 
     def cut(batches):
         for batch in batches:
-            n, stops, cols = [], [0], ([], [], [])
-            for raw in batch.column("raw").to_pylist():
-                got = anchors(raw, length)
-                n.append(len(raw))
-                stops.append(stops[-1] + len(got[0]))
-                for c, x in zip(cols, got, strict=True):
-                    c.append(x)
-            lists = [pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(c) if c else [], pa.int64())) for c in cols]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(n, pa.int64()), *lists], ["doc_id", "sha", "n_bytes", "lo", "hi", "fp"])
-
-    lists = written(rows.mapInArrow(cut, f"doc_id {kind}, sha binary, n_bytes long, lo array<long>, hi array<long>, fp array<long>"), "anchors")
-    texts = written(lists.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes")), "texts")
-    # one row of each text is enough for the index
-    once = lists.select("sha", "lo", "hi", "fp").dropDuplicates(["sha"])
-    places = once.select("sha", F.explode(F.arrays_zip("lo", "hi", "fp")).alias("a")).select("sha", "a.lo", "a.hi", "a.fp")
-    # written, so that the join's sides are plain exchanges and Spark can split a fingerprint that many rows share
-    common = written(places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "common")
-    spots = places.join(common, "fp").groupBy("sha").agg(F.collect_list(F.struct("lo", "hi", "fp")).alias("spots"))
-    held = written(rows.select("sha", "raw").join(spots, "sha").dropDuplicates(["sha"]), "held")
-
-    def stretches(batches):
+            n_bytes, n_words, tag, stops, cols, twice, twice_stops = [], [], [], [0], ([], [], [], []), [], [0]
+            for raw, sha in zip(batch.column("raw"), batch.column("sha256"), strict=True):
+                raw = raw.as_py()
+                total = 0
+                for unit in (BYTES, WORDS):
+                    seq = symbols(raw, unit)
+                    got = anchors(seq, lengths[unit], unit)
+                    (n_words if unit else n_bytes).append(len(seq))
+                    total += len(got[0])
+                    for c, x in zip(cols, (np.full(len(got[0]), unit, dtype=np.int8), *got), strict=True):
+                        c.append(x)
+                stops.append(stops[-1] + total)
+                fps = np.sort(np.concatenate(cols[3][-2:]))
+                twice.append(np.unique(fps[1:][fps[1:] == fps[:-1]]))
+                twice_stops.append(twice_stops[-1] + len(twice[-1]))
+                tag.append(int.from_bytes(sha.as_py()[:8], "little", signed=True))
+            lists = [_list(c, stops, t) for c, t in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha256"), pa.array(tag, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_words, pa.int64()), *lists, _list(twice, twice_stops, pa.int64())], ["doc_id", "sha256", "tag", "n_bytes", "n_words", *names, "twice"])
+
+    lists = written(rows.mapInArrow(cut, f"doc_id {kind}, sha256 binary, tag long, n_bytes long, n_words long, {arrays}, twice array<long>"), "anchors")
+    texts = written(lists.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words")), "texts")
+
+    # fingerprints of two texts (copies of a text are one by its tag), or twice in one, which count as another text's
+    met = lists.select("tag", F.explode("fp").alias("fp")).union(lists.select(F.bitwise_not("tag"), F.explode("twice")))
+    common = written(met.groupBy("fp").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("fp"), "common")
+    members = spark.sparkContext.broadcast(bloom(common.select(F.col("fp").alias("h"))))
+
+    def held_back(batches):
+        for batch in batches:
+            fp, parents = batch.column("fp").flatten().to_numpy(), pc.list_parent_indices(batch.column("fp")).to_numpy()
+            keep = passes(members.value, fp)
+            counts = np.bincount(parents[keep], minlength=batch.num_rows)
+            some = counts > 0
+            stops = np.concatenate([[0], np.cumsum(counts[some])])
+            picked = [_list([batch.column(c).flatten().to_numpy()[keep]], stops, t) for c, t in zip(names, kinds, strict=True)]
+            mask = pa.array(some)
+            yield pa.RecordBatch.from_arrays([batch.column("sha256").filter(mask), batch.column("tag").filter(mask), *picked], ["sha256", "tag", *names])
+
+    spots = lists.select("sha256", "tag", *names).mapInArrow(held_back, f"sha256 binary, tag long, {arrays}")
+    spots = written(spots.groupBy(F.substring("sha256", 1, 16).alias("sha")).agg(F.first("tag").alias("tag"), *[F.first(c).alias(c) for c in names]), "spots")
+    wanted = spark.sparkContext.broadcast(bloom(spots.select(F.col("tag").alias("h"))))
+
+    def fetched(batches):
         for batch in batches:
-            sha, lo, fp, piece = [], [], [], []
-            for s, raw, spots in zip(batch.column("sha").to_pylist(), batch.column("raw").to_pylist(), batch.column("spots").to_pylist(), strict=True):
-                for x in spots:
-                    sha.append(s)
-                    lo.append(x["lo"])
-                    fp.append(x["fp"])
-                    piece.append(raw[x["lo"] : x["hi"] + length])
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(sha, pa.binary()), pa.array(lo, pa.int64()), pa.array(piece, pa.binary())], ["fp", "sha", "lo", "piece"])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = held.mapInArrow(stretches, "fp long, sha binary, lo long, piece binary").repartition(parts, "fp")
-    ranges = pieces.mapInPandas(lambda batches: _repeated(batches, length), "sha binary, lo long, hi long")
-    ranges = ranges.groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+            tag = np.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column("sha256").to_pylist()], dtype=np.int64)
+            yield batch.filter(pa.array(passes(wanted.value, tag)))
+
+    # of copies only one a task leaves it
+    whole = rows.select("sha256", "raw").mapInArrow(fetched, "sha256 binary, raw binary").groupBy(F.substring("sha256", 1, 16).alias("sha")).agg(F.first("raw").alias("raw"))
+    held = written(whole.join(spots.drop("tag"), "sha"), "held")
+
+    def stretches(columns: list[str], made: str):
+        """A row for each spot of each text: its digest, or the stretch itself."""
+
+        def run(batches):
+            for batch in batches:
+                out: dict[str, list] = {c: [] for c in ("sha", *columns, made)}
+                size = 0
+                for k in range(batch.num_rows):
+                    row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                    seqs = {u: symbols(row["raw"], u) for u in set(row["unit"])}
+                    for u, lo, n in zip(row["unit"], row["lo"], row["n"], strict=True):
+                        piece = seqs[u][lo : lo + n - 1 + lengths[u]].tobytes()
+                        out[made].append(xxhash.xxh3_128_digest(piece) if made == "digest" else piece)
+                        size += len(out[made][-1])
+                    out["sha"] += [row["sha"]] * len(row["lo"])
+                    for c in columns:
+                        out[c] += row[c]
+                    if size > FLUSH:
+                        yield pa.RecordBatch.from_pydict({c: pa.array(x, COLUMNS[c]) for c, x in out.items()})
+                        out, size = {c: [] for c in out}, 0
+                yield pa.RecordBatch.from_pydict({c: pa.array(x, COLUMNS[c]) for c, x in out.items()})
+
+        return run
+
+    found = written(held.mapInArrow(stretches(names, "digest"), "sha binary, unit tinyint, lo long, n int, fp long, digest binary"), "found")
+    kinds_of = written(found.groupBy("unit", "fp", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("sha", "lo", "n")).alias("owner")), "kinds")
+    # stretches that occur again as a whole
+    full = found.join(kinds_of.where("times > 1").select("unit", "fp", "digest"), ["unit", "fp", "digest"]).select("sha", F.col("unit").cast("int").alias("unit"), "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
+    several = kinds_of.groupBy("unit", "fp").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+    owners = kinds_of.join(several, ["unit", "fp"]).select("owner.*", "unit", "fp", (F.col("different") > hot).alias("is_hot"))
+    asked = owners.groupBy("sha").agg(F.collect_list(F.struct(*names, "is_hot")).alias("a")).select("sha", *[F.col(f"a.{c}").alias(c) for c in (*names, "is_hot")])
+    pieces = held.select("sha", "raw").join(asked, "sha").mapInArrow(stretches([*names, "is_hot"], "piece"), "sha binary, unit tinyint, lo long, n int, fp long, is_hot boolean, piece binary")
+    pieces = written(pieces, "pieces")
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.where("NOT is_hot").select("unit", "fp", "sha", "lo", "piece").repartition(parts, "fp")
+    near = dealt.mapInPandas(lambda batches: _repeated(batches, lengths), RANGES)
+
+    def strings(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                pieces = [np.frombuffer(x, dtype=DTYPES[u]) for x, u in zip(part.column("piece").to_pylist(), part.column("unit").to_pylist(), strict=True)]
+                hashes = [string_hashes(x, lengths[u]) for x, u in zip(pieces, part.column("unit").to_pylist(), strict=True)]
+                of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+                nth = np.concatenate([np.arange(len(h)) for h in hashes])
+                some = part.take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([some.column("unit"), some.column("fp"), pa.array(np.concatenate(hashes).view(np.int64)), some.column("sha"), pc.add(some.column("lo"), pa.array(nth))], ["unit", "fp", "h", "sha", "lo"])
+
+    strung = pieces.where("is_hot").select("unit", "fp", "sha", "lo", "piece")
+    spread = written(strung.mapInArrow(strings, "unit tinyint, fp long, h long, sha binary, lo long"), "strings")
+    twice = written(spread.groupBy("unit", "fp", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("unit", "fp", "h"), "twice")
+    far = spread.join(twice, ["unit", "fp", "h"]).select("sha", F.col("unit").cast("int").alias("unit"), "lo", F.col("lo").alias("hi"))
+    ranges = near.union(full).union(far).groupBy("sha").agg(F.collect_set(F.struct("unit", "lo", "hi")).alias("ranges"))
 
     def strip(batches):
         for pdf in batches:
             out = []
             for s, raw, found in zip(pdf["sha"], pdf["raw"], pdf["ranges"], strict=True):
-                kept, last, removed, spans, end = [], 0, 0, 0, -1
-                for r in sorted(found, key=lambda r: r["lo"]):
-                    lo, hi = r["lo"], r["hi"] + length
-                    if lo > end:
-                        spans += 1
-                        kept.append(raw[last:lo])
-                        removed -= lo
-                        removed += hi
-                    else:
-                        removed += max(0, hi - end)
-                    end = last = max(end, hi)
-                kept = b"".join([*kept, raw[last:]])
-                out.append((s, removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-            out = pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "kept_sha256", "kept"])
+                gone = _covered([r for r in found if r["unit"] == BYTES], length)
+                edges = [0, *(x for run in gone for x in run), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                passages = sum(b - a for a, b in _covered([r for r in found if r["unit"] == WORDS], words))
+                out.append((s, len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), passages, kept))
+            out = pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "kept_sha256", "passages", "kept"])
             yield out if keep_text else out.drop(columns="kept")
 
-    done = held.select("sha", "raw").join(ranges, "sha").mapInPandas(strip, "sha binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
-    done = texts.join(done, "sha", "left")
+    done = held.select("sha", "raw").join(ranges, "sha").mapInPandas(strip, "sha binary, n_removed long, n_spans long, kept_sha256 string, passages long" + ", kept binary" * keep_text)
+    done = texts.withColumn("sha", F.substring("sha256", 1, 16)).join(done, "sha", "left")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     done = done.select(
-        "sha", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        "sha256", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        F.when(copied, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha256")))).alias("kept_sha256"),
+        F.when((F.col("copies") > 1) & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.coalesce("passages", F.lit(0))).cast("long").alias("n_passage_words"),
         *([F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
     )
-    out = lists.select("doc_id", "sha", "n_bytes").join(done, "sha")
+    out = lists.select("doc_id", "sha256", "n_bytes").join(done, "sha256")
     if keep_text:  # a text that lost nothing is its row's own
-        out = out.join(rows.select("sha", "raw").dropDuplicates(["sha"]), "sha").withColumn("kept", F.coalesce("kept", "raw"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text)
+        out = out.join(rows.groupBy("sha256").agg(F.first("raw").alias("raw")), "sha256").withColumn("kept", F.coalesce("kept", "raw"))
+    out = written(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", *["kept"] * keep_text), "stripped")
+    discard(lists, texts, common, spots, held, found, kinds_of, pieces, spread, twice)
+    return out

@@ -429,25 +429,54 @@ def test_components_of_nothing(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def slow_removal(texts, length):
-    raws = [(t or "").encode() for t in texts]
-    seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+def slow_runs(sequences, length):
+    """Of each sequence which symbols are covered by a string that starts elsewhere too."""
+    seen = Counter(tuple(r[i : i + length]) if isinstance(r, list) else r[i : i + length] for r in sequences for i in range(len(r) - length + 1))
     out = []
-    for r in raws:
+    for r in sequences:
         gone = bytearray(len(r))
         for i in range(len(r) - length + 1):
-            if seen[r[i : i + length]] > 1:
+            if seen[tuple(r[i : i + length]) if isinstance(r, list) else r[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        out.append(gone)
+    return out
+
+
+def slow_removal(texts, length=400, n_words=51):
+    raws = [(t or "").encode() for t in texts]
+    sequences = [WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    out = []
+    for r, gone, passages in zip(raws, slow_runs(raws, length), slow_runs(sequences, n_words), strict=True):
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
-        out.append((len(r), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(r, gone, strict=True) if not g)).hexdigest()))
+        out.append((len(r), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(r, gone, strict=True) if not g)).hexdigest(), sum(passages)))
     return out
 
 
-def test_repeated_substrings(spark, docs, texts, none):
-    cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    got = {r["doc_id"]: tuple(r[c] for c in cols) for r in substrings.remove_repeats(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == slow_removal(texts, 400)
-    assert substrings.remove_repeats(none).count() == 0
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeated_substrings(spark, docs, texts, none, hot):
+    cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
+    got = {r["doc_id"]: tuple(r[c] for c in cols) for r in substrings.remove_repeats(docs, hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_removal(texts)
+    if hot == 1:
+        assert substrings.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_passages_in_many_texts(spark, hot):
+    rng = random.Random(31)
+    passage, short = words(rng, 150), " ".join("a%d" % rng.randrange(99) for _ in range(60))  # the second is under 400 bytes
+    assert len(short.encode()) < 400
+    texts = [words(rng, rng.randrange(90)) + " " + passage + " " + words(rng, rng.randrange(90)) for _ in range(25)]
+    texts += [words(rng, 70) + " " + short.upper() + "\n" + words(rng, rng.randrange(9)) for _ in range(9)] + [words(rng, 100) for _ in range(9)]
+    texts += ["row " * 3000, "row " * 3000 + "x", words(rng, 40000, 10**9), texts[0], texts[0], texts[40], None, "", "  "]
+    texts += [texts[45 - 1][:9000] + texts[3]] + [passage[k : k + 500 + k] for k in range(0, 300, 20)]
+    kept = [(None if i % 5 == 0 else i // 2, i, t) for i, t in enumerate(texts)]  # ids repeat or are null
+    d = spark.createDataFrame([(i, t, str(k), "s", 1, 0.0, 0) for i, k, t in kept], DOCS)
+    rows = substrings.remove_repeats(d, hot=hot, keep_text=True).collect()
+    want = slow_removal(texts)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage_words"]) for r in rows) == sorted((i is None, i or 0, *want[k]) for i, k, _ in kept)
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows)
+    assert all(want[k][4] >= 51 and want[k][1] == 0 for k in range(25, 34))
 
 
 def test_suffix_family_levels():
