@@ -6,7 +6,10 @@ SVD. The labelled latent vectors (at most ``max_labelled`` x ``rank`` floats, so
 defaults whatever the corpus size) go to every task; each document's vector is compared exactly with
 all of them in blocks, and the ``k`` nearest labels vote with their similarity as weight.
 
-Nulls and empty texts have a vector of their own and so get a score; documents never leave or repeat.
+Nulls and empty texts have a vector of their own and so get a score, as do rows without an id or with one that
+others have: a score is the text's. Repeated rows come back as often as they went in; no rows give no rows. Whole
+texts are read, however long. Neighbours that tie for the last of the k places share what is left of them, so no
+order among labelled rows decides. Other columns are not read, so they clash with nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,9 +110,13 @@ class Voter:
             part = texts[lo : lo + block]
             v = _unit((np.stack([terms(t) for t in part]) * self.idf) @ self.basis)
             sims = v @ self.vectors.T
-            near = np.argpartition(-sims, self.k - 1, axis=1)[:, : self.k]
-            weight = np.clip(np.take_along_axis(sims, near, axis=1), 1e-6, 1).astype(np.float64) ** self.power
-            out[lo : lo + len(part)] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+            last = np.partition(sims, sims.shape[1] - self.k, axis=1)[:, sims.shape[1] - self.k, None]
+            above, tied = sims > last, sims == last
+            share = (self.k - above.sum(axis=1, keepdims=True)) / tied.sum(axis=1, keepdims=True)
+            weight = np.zeros(sims.shape)
+            weight[above | tied] = np.clip(sims[above | tied], 1e-6, 1).astype(np.float64) ** self.power
+            weight *= above + tied * share
+            out[lo : lo + len(part)] = (weight @ self.labels.astype(np.float64)) / weight.sum(axis=1)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -119,7 +127,8 @@ def held_out(doc_id: Column) -> Column:
 def fit_voter(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **how) -> Voter | None:
     """Fit on at most ``max_labelled`` labelled rows outside the held-out fold, chosen by a hash of doc_id.
 
-    Rows without doc_id or label are no examples; of several labels of a document the smallest counts.
+    Rows without doc_id or label are no examples; of several labels of a document the smallest counts, and of
+    several texts with its id the one with the smallest hash, so no more than ``max_labelled`` rows come to the driver.
     None: there is no labelled text at all.
     """
     marked = (
@@ -134,7 +143,8 @@ def fit_voter(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **ho
         for pdf in batches:
             yield pd.DataFrame({"quality": pdf["quality"], "x": [terms(t).astype(np.float16).tobytes() for t in pdf["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "quality").mapInPandas(features, "quality int, x binary").collect()
+    one = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("text", "quality").mapInPandas(features, "quality int, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (bytes(r["x"]), r["quality"]))  # the same model whatever order the tasks end in
@@ -161,3 +171,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_lab
     """doc_id, held_out, score, predicted of every document."""
     scored = score_documents(docs, fit_voter(docs, labels, max_labelled))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = 3000, group: int = 1000) -> DataFrame:
+    """The rows of docs, all columns, that the classifier does not reject. Each row is judged by its own text; nothing is shuffled."""
+    voter = fit_voter(docs, labels, max_labelled)
+    if voter is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(voter)
+    at = docs.schema.fieldNames().index("text")
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, group):
+                part = batch.slice(lo, group)
+                yield part.filter(pa.array(shared.value.scores(part.column(at).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -66,6 +66,36 @@ def test_quality_scores_every_row_and_learns(spark, docs, none):
     assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_votes_against_brute_force():
+    rng = random.Random(2)
+    labelled = [words(rng, rng.randrange(1, 60), 30) for _ in range(90)] + ["same text here"] * 40 + ["", None]
+    labels = np.array([rng.random() < 0.5 for _ in labelled], dtype=np.float32)
+    voter = quality.Voter.fit(np.stack([quality.terms(t) for t in labelled]), labels, rank=20, k=15)
+    texts = [*labelled[::7], words(rng, 40, 30), "x" * 5000, None, "", "same text here"]
+    got = voter.scores(texts, block=4)
+    for t, score in zip(texts, got, strict=True):
+        v = (quality.terms(t) * voter.idf) @ voter.basis
+        v = v / (np.sqrt((v * v).sum()) or 1)
+        near = sorted(((float(v @ x), float(y)) for x, y in zip(voter.vectors, labels, strict=True)), reverse=True)
+        last = near[14][0]
+        above, tied = [x for x in near if x[0] > last + 1e-6], [x for x in near if abs(x[0] - last) <= 1e-6]
+        share = (15 - len(above)) / len(tied)
+        weigh = [(max(s, 1e-6) ** 8, y) for s, y in above] + [(share * max(s, 1e-6) ** 8, y) for s, y in tied]
+        assert score == pytest.approx(sum(w * y for w, y in weigh) / sum(w for w, _ in weigh), abs=1e-3)
+
+
+def test_quality_bound_and_rejection(spark, none):
+    rng = random.Random(5)
+    rows = [(7, words(rng, 30), "en", "s", 1, 0.0, 0) for _ in range(50)] + [(i, words(rng, 30) if i % 2 else "### " * 30, "en", None, 1, 0.0, 0) for i in range(100, 200)] + [(None, "### " * 40, "en", "s", 1, 0.0, 0), (None, None, "en", "s", 1, 0.0, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (7, *range(100, 200))], "doc_id long, quality int, toxic int")
+    voter = quality.fit_voter(docs, labels)
+    assert len(voter.labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (7, *range(100, 200)))  # one text of each id
+    left = quality.kept(docs, labels)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} >= {7, 101} and not any("#" in (r["text"] or "") for r in left.collect())
+    assert quality.kept(none, labels).count() == 0 and quality.kept(docs, labels.limit(0)).count() == docs.count()
+
+
 def brute_nbest(table, text, n):
     t = table.normalise(text)
     paths = [(0.0, (), 0)]
