@@ -6,8 +6,6 @@ import pytest
 
 import corpus_pipeline
 
-
-
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -56,6 +54,33 @@ def test_whole_pipeline(spark, folder):
     assert set(range(120)) <= set(ids) and not {120, 179, 180, 181, 182} & set(ids) and 183 in ids and len(ids) == len(set(ids))
 
 
+def test_rows_that_share_ids_and_odd_columns(spark, folder):
+    rng = random.Random(77)
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    good = [words(rng, 80) for _ in range(6)]
+    bad = " ".join(w + "###" for w in words(rng, 80).split())
+    long = words(rng, 60_000) + " mail a.b@example.com"
+    rows = [(1, good[0]), (1, bad), (1, good[1]), (2, good[0]), (None, good[0]), (None, good[2]), (None, good[2]), (3, good[3]), (3, good[3]), (4, good[4] + " " + item), (4, good[5]), (5, None), (5, ""), (None, None), (6, long), (7, "  \n")]
+    rows += [(20 + k, words(rng, 80)) for k in range(40)] + [(130 + k, " ".join(w + "###" for w in words(rng, 80).split())) for k in range(40)]  # to learn from
+    docs = spark.createDataFrame([(i, t, {"k": str(n)}, n, n, "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, _first map<string,string>, h long, component_id long, who string")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def texts(name):
+        got = stages[name](spark, docs, folder)
+        assert got.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+
+    def but(*gone):
+        return sorted((x for k, x in enumerate(rows) if k not in gone), key=repr)
+
+    assert (1, bad) not in texts("quality classifier") and {(1, good[0]), (1, good[1])} <= set(texts("quality classifier"))
+    assert texts("n-gram jaccard join") == but(3, 4, 6, 8)
+    assert texts("benchmark decontamination") == but(9)
+    assert texts("pii") == sorted(((i, t and t.replace("a.b@example.com", "<email>")) for i, t in rows), key=repr)
+    encoded = stages["sentencepiece encoding"](spark, docs, folder).collect()
+    assert sorted((r["doc_id"] or 0) for r in encoded) == sorted((i or 0) for i, _ in rows) and all(r["decoded_ok"] for r in encoded)
+
+
 def test_pipeline_without_rows(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
