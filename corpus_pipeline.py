@@ -1,7 +1,11 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's docs.
 
-Every stage works on all rows that its predecessor kept. Rows with null doc_id can't be named by a verdict
-and stay; all stages but the last return the columns of documents.
+Every stage works on all rows that its predecessor kept, and judges rows by their texts, so rows that share an
+id, or have none, are judged one by one. Null and empty texts are scored by the classifier like any other, are
+near duplicates of nothing, hold no benchmark item and no personal data, and have one segmentation, the empty
+one. Repeated rows (id and text) are near duplicates of one another: one stays. Very long texts are read whole.
+No documents, labels or benchmark items give no rejections. All stages but the last return the columns of
+documents, whatever else these hold; the last returns columns of its own, so none can clash.
 """
 
 from __future__ import annotations
@@ -11,23 +15,36 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import decontam, jaccard, nbest, pieces, pii, quality
 from kinweave.llm.queries import TOKENIZERS
-from kinweave.shared import drop_path, scratch_path, table
+from kinweave.shared import drop_path, scratch_path, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id, and one row of it."""
-    grouped = jaccard.near_duplicates(docs)
-    kept = grouped.where("component_id = doc_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy([F.asc_nulls_first(c) for c in docs.columns if c != "doc_id"]))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near duplicates stays: the one with the smallest doc_id (a null one last), and one row of it.
+
+    Groups are made of texts, told by a 64-bit hash. Texts without words are in no group and stay.
+    """
+    h = F.xxhash64("text")
+    grouped = jaccard.near_duplicates(docs.select(h.alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("h"), "component_id").distinct()
+    who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    rows = docs.select(who.alias("who"), h.alias("h"))
+    first = rows.groupBy("h").agg(F.min("who").alias("who")).join(grouped, "h").groupBy("component_id").agg(F.min(F.struct("who", "h")).alias("first"))
+    first = written(first.select("first.who", "first.h"), "first_of_groups")
+    here = (docs["doc_id"].eqNullSafe(first["who.doc_id"])) & (F.xxhash64(docs["text"]) == first["h"])
+    stay = docs.join(first, here, "left_semi")
+    twice = written(rows.groupBy("who", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(first, ["who", "h"], "left_semi").select("who", "h"), "repeated_rows")
+    if not twice.isEmpty():  # rows with one id and one text: the first one as JSON, so that any type of column can be in it
+        name = "_" + "_".join(docs.columns)  # a name that no column has
+        there = (stay["doc_id"].eqNullSafe(twice["who.doc_id"])) & (F.xxhash64(stay["text"]) == twice["h"])
+        nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.to_json(F.struct(*docs.columns))))
+        again = stay.join(twice, there, "left_semi").withColumn(name, nth).where(F.col(name) == 1).select(docs.columns)
+        stay = stay.join(twice, there, "left_anti").unionByName(again)
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return stay.select(docs.columns).unionByName(docs.where(wordless))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
