@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; one is set only where none is (tests, local mode)."""
+    """The cluster's ``spark.checkpoint.dir``; one is set only where none is and all tasks run on this machine (tests, local mode)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.sparkContext.setCheckpointDir(there)
         spark.conf.set("spark.checkpoint.dir", there)
