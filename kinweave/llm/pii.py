@@ -1,14 +1,20 @@
 """Personal data: exact base patterns, and a character-level BiLSTM with CRF transitions for what they miss.
 
 Base spans are the leftmost non-overlapping matches of four patterns, found in linear time. The model is
-trained in numpy from labelled spans (:func:`labelled_examples`, seeded) and reads the surroundings of every
-``@`` and digit in the whole text, in overlapping windows: a span of these kinds can't be without one, so no
-other place can hold a span. Windows are decoded by Viterbi and reconciled over the whole text: a span seen
-by several windows is taken from the one where it lies furthest inside, and of spans that overlap the one
-with the larger margin to "outside" wins. Model spans must hold what their kind holds (digits, checksum)
-and never touch a base span; base spans always stay.
-
-Null texts are empty. Each row is its own; offsets are code points, ends are exclusive.
+trained in numpy from labelled spans (:func:`labelled_examples`, seeded): the base forms, written variants that
+the patterns miss (spaced or bracketed signs, dotted cards, national numbers), spelt-out forms ("name at host dot
+com", numbers digit by digit in words), and credentials, a kind of its own (``secret``) that no pattern knows.
+
+It reads the surroundings of every trigger in the whole text, in overlapping windows. A trigger is a digit, an
+"@", a run of digits in words, or an "at" with a "dot" behind it: every form that is labelled has one (a test
+holds the generator to that), so no other place can hold a span that the model knows. Windows are decoded by
+Viterbi and reconciled over the whole text: a span seen by several windows is taken from the one where it lies
+furthest inside, and of spans that overlap the one with the larger margin to "outside" wins. Model spans must
+hold what their kind holds (digits, checksum, signs said in words) and never touch a base span; base spans always stay.
+
+Null texts are empty and, like texts without a trigger, have no spans. Each row is its own: repeated rows, ids that
+are shared or null change nothing; no rows give no rows. Very long texts are read whole. Offsets are code
+points, ends are exclusive. detect() reads doc_id and text alone, masked() keeps all other columns as they are.
 """
 
 from __future__ import annotations
@@ -25,12 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the model finds: the base kinds, then its own.
+MODEL_KINDS = (*KINDS, "secret")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]+")
+DIGIT_OR_AT = re.compile("[0-9@]")
+#: The digits in words.
+SAID = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+WORD = "(?:" + "|".join(SAID) + ")"
+TRIGGER = re.compile(rf"[0-9@]+|(?i:\b{WORD}(?:[ -]{WORD}){{3,}}\b|\bat\b(?=.{{1,64}}\bdot\b)|\bdot\b)")
 
 
 def luhn(digits: str) -> bool:
@@ -47,7 +59,7 @@ def _digits(x: str) -> str:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """By kind as listed, then by start."""
-    if not TRIGGER.search(text):
+    if not DIGIT_OR_AT.search(text):
         return []
     out, end, at = [], 0, text.find("@")
     while at >= 0:
@@ -73,58 +85,106 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
-    order = {k: i for i, k in enumerate(KINDS)}
+    order = {k: i for i, k in enumerate(MODEL_KINDS)}
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1], s[2])))
 
 
-def labelled_examples(n: int = 3000, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Texts with labelled spans: the base forms, written variants that the patterns miss, and numbers that are nothing."""
+#: Words between the spans of training texts, so that the model meets more than invented ones.
+COMMON = (
+    "the of and to in is was for on with as by at from or that this be are it you we he she they his her have has had will can please not but all one two when who what there here "
+    "my your our their now then ok me so if out up was am pm dot log server mail phone card number call write reach contact send paid used after before until last next first "
+    "der die das und ist nicht ein eine mit von zu bitte an oder auf schreiben mein wir ich er sie "
+    "le la les et est pas un une avec de du vous nous ou sur il elle mon appelez el los y es no con por para una su mi llame o"
+).split()
+
+
+def labelled_examples(n: int = 6000, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Texts with labelled spans: the base forms, written and spelt-out variants that the patterns miss, credentials, and numbers that are nothing."""
     rng = np.random.default_rng(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
 
     def word(lo: int = 2, hi: int = 9) -> str:
-        return "".join(letters[i] for i in rng.integers(0, 26, rng.integers(lo, hi)))
+        made = "".join(letters[i] for i in rng.integers(0, 26, rng.integers(lo, hi)))
+        return made if made not in ("at", "dot") else "a" + made
+
+    def context() -> str:
+        return COMMON[rng.integers(0, len(COMMON))] if rng.random() < 0.6 else word()
 
     def digits(k: int) -> str:
-        return "".join(map(str, rng.integers(0, 10, k)))
+        few = rng.integers(0, 10, 1 + rng.integers(0, 2)) if rng.random() < 0.2 else np.arange(10)
+        return "".join(map(str, rng.choice(few, k)))
 
     def card() -> str:
         d = str(rng.integers(3, 7)) + digits(14)
         return next(d + str(c) for c in range(10) if luhn(d + str(c)))
 
+    names = list(SAID)
+
+    def said(x: str) -> str:
+        return " ".join(names[int(c) + 1 if c != "0" else int(rng.integers(0, 2))] for c in x if c.isdigit())
+
+    def any_case(x: str) -> str:
+        v = rng.random()
+        return x if v < 0.8 else x.upper() if v < 0.9 else x.capitalize()
+
     def value(kind: str) -> str:
         v = rng.random()
         if kind == "email":
-            who, host = f"{word()}{rng.choice(['', '.', '_'])}{word()}{rng.choice(['', digits(2)])}", f"{word()}.{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
-            return f"{who}@{host}" if v < 0.6 else f"{who} @ {host}" if v < 0.8 else f"{who}@{host.replace('.', ' . ')}"
+            who, host = f"{word()}{rng.choice(['', '.', '_'])}{word()}{rng.choice(['', digits(2)])}", f"{word()}{rng.choice(['', '.' + word(), digits(1)])}.{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
+            if v < 0.4:
+                return any_case(f"{who}@{host}")
+            if v < 0.6:
+                return f"{who} @ {host}" if v < 0.5 else f"{who}@{host.replace('.', ' . ')}"
+            at, dot = [(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" AT ", " DOT "), ("(at)", ".")][rng.integers(0, 5)]
+            return any_case(f"{who.replace('.', dot) if dot != '.' else who}{at}{host.replace('.', dot)}") if at != "(at)" else f"{who}{at}{host.replace('.', ' dot ')}"
         if kind == "ip":
             parts = [str(x) for x in rng.integers(1, 256, 4)]
-            return ".".join(parts) if v < 0.6 else " . ".join(parts) if v < 0.8 else "[.]".join(parts)
+            return ".".join(parts) if v < 0.5 else " . ".join(parts) if v < 0.7 else "[.]".join(parts) if v < 0.85 else " dot ".join(parts)
         if kind == "card":
             d = card()
             four = [d[i : i + 4] for i in range(0, 16, 4)]
-            return d if v < 0.4 else " ".join(four) if v < 0.6 else ".".join(four) if v < 0.8 else " - ".join(four)
+            return d if v < 0.3 else " ".join(four) if v < 0.5 else ".".join(four) if v < 0.65 else " - ".join(four) if v < 0.8 else any_case(said(d))
+        if kind == "secret":
+            d = "".join(rng.choice(list("0123456789abcdef"), int(rng.choice([32, 40, 64])))) if v < 0.5 else "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), int(rng.integers(20, 44))))
+            return d if any(c.isdigit() for c in d) and any(c.isalpha() for c in d) else "a1" + d
         area, a, b = digits(3), digits(3), digits(4)
-        return f"+1 ({area}) {a}-{b}" if v < 0.4 else f"+{rng.integers(20, 99)} {area} {a} {b}" if v < 0.6 else f"({area}) {a}-{b}" if v < 0.8 else f"00{rng.integers(20, 99)} {area} {a} {b}"
+        if v > 0.85:
+            return any_case(f"{rng.choice(['', 'plus '])}{said(rng.choice(['1', '49', '33']) + area + a + b)}")
+        return f"+1 ({area}) {a}-{b}" if v < 0.35 else f"+{rng.integers(20, 99)} {area} {a} {b}" if v < 0.5 else f"({area}) {a}-{b}" if v < 0.7 else f"00{rng.integers(20, 99)} {area} {a} {b}"
+
+    def before(kind: str) -> tuple[str, str]:
+        """What stands before and behind the span, and is not of it."""
+        if kind != "secret":
+            return "", ""
+        quote = str(rng.choice(["", '"', "'"]))
+        key = any_case(str(rng.choice(["token", "api_key", "apikey", "secret", "password", "access_token", "client_secret", "auth_token", "api key", "private_key"])))
+        return key + str(rng.choice([" = ", "=", ": ", ":"])) + quote, quote
 
     def nothing() -> str:
-        return str(rng.choice([digits(int(rng.integers(1, 9))), f"{digits(1)}.{digits(2)}", f"19{digits(2)}-0{rng.integers(1, 10)}-1{rng.integers(0, 10)}", f"version {digits(1)}.{digits(1)}.{digits(1)}", f"no. {digits(12)}", f"{digits(2)}:{digits(2)}", "@" + word(), f"token = {hashlib.md5(digits(9).encode()).hexdigest()}", f"${digits(3)}.{digits(2)}"]))
+        hexed = hashlib.sha256(digits(9).encode()).hexdigest()
+        plain = [
+            digits(int(rng.integers(1, 9))), f"{digits(1)}.{digits(2)}", f"19{digits(2)}-0{rng.integers(1, 10)}-1{rng.integers(0, 10)}", f"version {digits(1)}.{digits(1)}.{digits(1)}",
+            f"no. {digits(12)}", f"{digits(2)}:{digits(2)}", "@" + word(), f"${digits(3)}.{digits(2)}", f"commit {hexed[:40]}", f"sha256 {hexed}", f"{word()}/{hexed[:32]}.png",
+            f"token of {digits(3)}", f"at {context()} the dot {context()}", f"at the dot of {context()}", f"a dot at {digits(2)}", f"{context()} at {context()} {context()}", f"at {digits(2)} on the dot", f"{said(digits(int(rng.integers(4, 7))))}", f"one or two {word()}", f"secret {word()} {digits(4)}", f"password {word()}", f"id={hexed[:24]}",
+        ]
+        return plain[rng.integers(0, len(plain))]
 
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(rng.integers(1, 4)):
-            text += " ".join(word() for _ in range(rng.integers(1, 6))) + " "
-            kind = str(rng.choice([*KINDS, "none"]))
+            text += " ".join(context() for _ in range(rng.integers(1, 6))) + " "
+            kind = str(rng.choice([*MODEL_KINDS, "none", "none"]))
             got = nothing() if kind == "none" else value(kind)
+            head, tail = before(kind)
             if kind != "none":
-                spans.append((kind, len(text), len(text) + len(got)))
-            text += got + str(rng.choice([" ", ", ", ". ", "\n"]))
-        out.append((text + " ".join(word() for _ in range(rng.integers(0, 4))), spans))
+                spans.append((kind, len(text + head), len(text + head) + len(got)))
+            text += head + got + tail + str(rng.choice([" ", ", ", ". ", "\n"]))
+        out.append((text + " ".join(context() for _ in range(rng.integers(0, 4))), spans))
     return out
 
 
-TAGS = 1 + 2 * len(KINDS)  # outside; then begin and inside of each kind
+TAGS = 1 + 2 * len(MODEL_KINDS)  # outside; then begin and inside of each kind
 CHARS = 128 + 4
 
 
@@ -144,7 +204,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Embedding, LSTM in both directions, linear scores, CRF. Arrays are (time, batch, width); masks hide the padding."""
 
-    def __init__(self, embed: int = 12, hidden: int = 20, seed: int = 3):
+    def __init__(self, embed: int = 12, hidden: int = 24, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.h = hidden
         n = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
@@ -153,7 +213,7 @@ class Tagger:
             self.p |= {f"w{d}": n(embed + hidden, 4 * hidden), f"b{d}": np.repeat(np.array([0, 1, 0, 0], np.float32), hidden)}
         # an inside tag follows its own begin or inside alone
         self.allowed = np.zeros((TAGS, TAGS), np.float32)
-        for k in range(len(KINDS)):
+        for k in range(len(MODEL_KINDS)):
             bad = np.ones(TAGS, bool)
             bad[[1 + 2 * k, 2 + 2 * k]] = False
             self.allowed[bad, 2 + 2 * k] = -1e4
@@ -265,7 +325,7 @@ class Tagger:
 def tags_of(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
     out = np.zeros(len(text), np.int64)
     for kind, lo, hi in spans:
-        out[lo:hi] = 2 + 2 * KINDS.index(kind)
+        out[lo:hi] = 2 + 2 * MODEL_KINDS.index(kind)
         out[lo] -= 1
     return out
 
@@ -279,15 +339,15 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=4)
-def trained(steps: int = 140, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Tagger:
+def trained(steps: int = 700, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Tagger:
     """Adam over seeded examples; the same model on every call."""
     examples = [(char_ids(t), tags_of(t, s)) for t, s in labelled_examples(seed=seed)]
     rng, model = np.random.default_rng(seed), Tagger()
     m, v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(examples), batch)
-        ids, lengths = padded([examples[i][0][:96] for i in pick])
-        tags, _ = padded([examples[i][1][:96] for i in pick])
+        ids, lengths = padded([examples[i][0][:160] for i in pick])
+        tags, _ = padded([examples[i][1][:160] for i in pick])
         _, grad = model.gradients(ids, lengths, tags)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         for k, g in grad.items():
@@ -298,17 +358,28 @@ def trained(steps: int = 140, batch: int = 48, rate: float = 0.02, seed: int = 5
     return model
 
 
+def unsaid(x: str) -> str:
+    """Signs and digits for the words that say them."""
+    x = re.sub(r"\s*[\[(]?\s*\bat\b\s*[\])]?\s*", "@", x, flags=re.I)
+    x = re.sub(r"\s*[\[(]?\s*\bdot\b\s*[\])]?\s*", ".", x, flags=re.I)
+    x = re.sub(r"\bplus\s+", "+", x, flags=re.I)
+    return re.sub(rf"\b{WORD}\b", lambda m: SAID[m[0].lower()], x, flags=re.I)
+
+
 def holds(kind: str, x: str) -> bool:
-    d = _digits(x)
+    if kind == "secret":
+        return len(x) >= 16 and bool(re.fullmatch(r"[A-Za-z0-9+/=_.~-]+", x)) and bool(re.search("[0-9]", x)) and bool(re.search("[A-Za-z]", x))
+    y = unsaid(x)
+    d = _digits(y)
     if kind == "email":
-        who, at, host = x.partition("@")
-        return bool(who.strip()) and at == "@" and "@" not in host and bool(re.search(r"[A-Za-z0-9]\s*\.\s*[A-Za-z]", host))
+        who, at, host = y.partition("@")
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+ -]+", who)) and bool(who.strip()) and at == "@" and "@" not in host and bool(re.search(r"[A-Za-z0-9]\s*\.\s*[A-Za-z]", host))
     if kind == "ip":
-        parts = re.findall(r"[0-9]+", x)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[A-Za-z]", x)
+        parts = re.findall(r"[0-9]+", y)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[A-Za-z]", y)
     if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d) and not re.search(r"[A-Za-z]", x)
-    return 9 <= len(d) <= 15 and not re.search(r"[A-Za-z]", x) and bool(re.match(r"[+(]|00", x))
+        return 13 <= len(d) <= 19 and luhn(d) and not re.search(r"[A-Za-z]", y)
+    return 9 <= len(d) <= 15 and not re.search(r"[A-Za-z]", y) and (y != x or bool(re.match(r"[+(]|00", y)))
 
 
 def windows(text: str, reach: int = 40, size: int = 640, step: int = 320) -> list[tuple[int, int]]:
@@ -370,8 +441,8 @@ def model_spans(texts: list[str], model: Tagger, batch: int = 256) -> list[list[
                 a += 1
             while a < b and text[b - 1] in " \t\n.,;:":
                 b -= 1
-            if a < b and holds(KINDS[kind], text[a:b]) and all(b <= x or y <= a for _, x, y in taken):
-                taken.append((KINDS[kind], a, b))
+            if a < b and holds(MODEL_KINDS[kind], text[a:b]) and all(b <= x or y <= a for _, x, y in taken):
+                taken.append((MODEL_KINDS[kind], a, b))
         out.append(taken)
     return out
 
@@ -393,7 +464,7 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, model: Tagger | None = None, group: int = 500) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added: one row for each of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added (the model's), n_spans: one row for each of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -405,12 +476,12 @@ def detect(docs: DataFrame, model: Tagger | None = None, group: int = 500) -> Da
                 out = []
                 for text, (base, added) in zip(texts, find(texts, shared.value), strict=True):
                     spans = base + added
-                    out.append((*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(added)))
-                out = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                    out.append((*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(added), len(spans)))
+                out = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def masked(docs: DataFrame, model: Tagger | None = None, group: int = 500) -> DataFrame:

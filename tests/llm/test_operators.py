@@ -248,10 +248,58 @@ def test_windows_hold_long_spans_whole():
 
 
 def test_tagger_on_held_out_examples():
-    examples = pii.labelled_examples(300, seed=77)
+    examples = pii.labelled_examples(400, seed=77)
+    for text, spans in examples:  # no labelled form is without a trigger, and each holds what its kind holds
+        triggers = [m.span() for m in pii.TRIGGER.finditer(text)]
+        for kind, a, b in spans:
+            assert any(x < b and y > a for x, y in triggers) and pii.holds(kind, text[a:b]), text[a:b]
     found = pii.model_spans([t for t, _ in examples], pii.trained())
-    right = sum(len(set(f) & set(s)) for f, (_, s) in zip(found, examples, strict=True))
-    assert right >= 0.9 * sum(map(len, found)) and right >= 0.85 * sum(len(s) for _, s in examples)
+    for kind in pii.MODEL_KINDS:
+        got = [{s for s in f if s[0] == kind} for f in found]
+        want = [{s for s in spans if s[0] == kind} for _, spans in examples]
+        right = sum(len(g & w) for g, w in zip(got, want, strict=True))
+        assert right >= 0.93 * sum(map(len, got)) and right >= 0.85 * sum(map(len, want)), kind
+
+
+#: Written by hand, apart from the generator: what is between the brackets is a span of the kind before the colon.
+PLANTED = [
+    "You can reach {email:jane.doe at example dot com} until Friday.",
+    "Bitte an {email:info (at) firma (dot) de} schreiben.",
+    "Contact {email:bob_smith @ mail.example.org} or call {phone:(212) 555-0187}.",
+    "The server {ip:10 . 0 . 0 . 17} was down, then {ip:192[.]168[.]1[.]44} too.",
+    "She paid with {card:4111.1111.1111.1111} last week.",
+    "Call {phone:plus one two one two five five five oh one nine nine} after noon.",
+    "Her number is {phone:0049 301 234 5678}, he said.",
+    'config: api_key = "{secret:9f8b2c1d4e5a6f7089b1c2d3e4f5a6b7}" and more',
+    "password={secret:Zk39vQp81LmXr7TgBn2s} was in the log",
+    "my card is {card:four one one one one one one one one one one one one one one one} ok",
+    "write to {email:first.last@company . com} please",
+    "export TOKEN='{secret:a94a8fe5ccb19ba61c4c0873d391e987982fbbd3}' then run",
+]
+CLEAN = [
+    "In 1998 there were 1200 people at the dot of noon.", "We met at ten, one or two of us late.", "Version 2.0.1 came out on 2021-04-05.", "See commit 9f8b2c1d4e5a6f7089b1c2d3e4f5a6b7c8d9e0f1 for more.",
+    "The ratio was 3.14 to 2.72 in 12:30 minutes.", "It costs $19.99 at the shop.", "A password is needed for the token ring.", "Flight 1234567 left gate 17.",
+]
+
+
+def test_spans_that_no_generator_made():
+    texts, wants = [], []
+    for line in PLANTED:
+        text, spans = "", []
+        for part in re.split(r"(\{[a-z]+:[^}]*\})", line):
+            if part.startswith("{"):
+                kind, value = part[1:-1].split(":", 1)
+                spans.append((kind, len(text), len(text) + len(value)))
+                part = value
+            text += part
+        texts.append(text)
+        wants.append(spans)
+    # far apart in one long text too: nothing depends on where a span lies
+    found = pii.find([*texts, *CLEAN, ("lorem ipsum " * 300).join(texts)], pii.trained())
+    caught = sum(any(k == kind and a < y and x < b for k, x, y in base + added) for spans, (base, added) in zip(wants, found, strict=False) for kind, a, b in spans)
+    assert caught >= 0.85 * sum(map(len, wants))
+    assert sum(bool(base or added) for base, added in found[len(texts) : -1]) <= 1
+    assert len(found[-1][0]) + len(found[-1][1]) >= 0.85 * sum(map(len, wants))
 
 
 def test_gradients_are_right():
