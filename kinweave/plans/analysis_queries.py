@@ -211,17 +211,6 @@ def workspace_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "claims").groupBy("object_id").agg(g.alias("gap"))
 
 
-@query("layered_package", with_relations(""" SELECT layer, count(*) AS n FROM (SELECT 'source statement' AS layer FROM statements UNION ALL SELECT 'research claim' FROM claims UNION ALL SELECT 'tree interpretation' FROM parent_of UNION ALL SELECT 'open question' FROM conversations WHERE role = 'user') GROUP BY layer""", "statements", "claims", "parent_of"))
-def layered_package(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence by epistemic layer."""
-    parts = (("source statement", relation(spark, sf_dir, "statements")), ("research claim", relation(spark, sf_dir, "claims")), ("tree interpretation", relation(spark, sf_dir, "parent_of")), ("open question", table(spark, sf_dir, "conversations").where("role = 'user'")))
-    layers = [df.select(F.lit(name).alias("layer")) for name, df in parts]
-    out = layers[0]
-    for x in layers[1:]:
-        out = out.union(x)
-    return out.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("statement_review_counts", with_relations(" SELECT source_id, count(*) AS passages, count(*) FILTER (WHERE review_status = 'accepted') AS accepted, count(*) FILTER (WHERE review_status = 'rejected') AS rejected, count(*) FILTER (WHERE review_status IS NULL) AS unseen FROM passages LEFT JOIN statements USING (passage_id) GROUP BY source_id", "passages", "statements"))
 def statement_review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("review_status")

@@ -48,13 +48,6 @@ def tree_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("tree").agg(F.max(F.struct("version_id", "edges", "unresolved")).alias("x")).select("tree", F.col("x.version_id").alias("latest"), "x.edges", "x.unresolved")
 
 
-@query("run_history", """SELECT o_orderkey AS run_id, count(l_linenumber) AS evidence, count(DISTINCT l_suppkey) AS sources, max(l_shipdate) AS last_seen FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1""")
-def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("run_id"))
-    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("l_linenumber").alias("evidence"), F.countDistinct("l_suppkey").alias("sources"), F.max("l_shipdate").alias("last_seen"))
-    return o.join(e, "run_id", "left").select("run_id", F.coalesce("evidence", F.lit(0)).alias("evidence"), F.coalesce("sources", F.lit(0)).alias("sources"), "last_seen")
-
-
 @query("dictionary_index", """SELECT kind, name, count(*) AS uses FROM (SELECT 'person' AS kind, p_name AS name FROM part UNION ALL SELECT 'family', p_brand FROM part UNION ALL SELECT 'branch', p_type FROM part UNION ALL SELECT 'tribe', c_mktsegment FROM customer) GROUP BY ALL""")
 def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("person", "p_name"), ("family", "p_brand"), ("branch", "p_type"))])
@@ -74,14 +67,6 @@ def subject_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "visits").where("person_id = 3 AND year(seen_at) BETWEEN 2020 AND 2030").select("visit_id", "place_id", "seen_at").orderBy("seen_at", "visit_id").limit(50)
 
 
-@query("source_search", with_relations(" SELECT source_id, CAST(max(CASE WHEN source_id = 'src7' THEN 100.0 WHEN contains(body, 'tion') THEN 60.0 ELSE 0.0 END) AS DOUBLE) AS score FROM passages p JOIN sources s USING (source_id) WHERE visibility = 'public' GROUP BY source_id HAVING score > 0 ORDER BY score DESC, source_id LIMIT 20", "passages", "sources"))
-def source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Public sources by title, else by what their passages hold."""
-    p = relation(spark, sf_dir, "passages").join(relation(spark, sf_dir, "sources").where("visibility = 'public'"), "source_id", "left_semi")
-    score = F.when(F.col("source_id") == "src7", 100.0).when(F.col("body").contains("tion"), 60.0).otherwise(0.0)
-    return p.groupBy("source_id").agg(F.max(score).alias("score")).where("score > 0").orderBy(F.desc("score"), "source_id").limit(20)
-
-
 @query("extraction_scores", """WITH x AS (SELECT l_returnflag AS kind, l_linenumber % 2 = 0 AS expected, l_quantity > 25 AS found FROM lineitem), s AS (SELECT kind, count(*) FILTER (WHERE expected AND found) AS tp, count(*) FILTER (WHERE found) AS pp, count(*) FILTER (WHERE expected) AS p FROM x GROUP BY kind)
 SELECT kind, round(tp / pp, 6) AS precision, round(tp / p, 6) AS recall, round(2 * tp / (pp + p), 6) AS f1 FROM s""")
 def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is the same result in DuckDB, where SQL can say it."""
 
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is there already")
         QUERIES[name] = f
         if sql:
             ORACLE[name] = sql

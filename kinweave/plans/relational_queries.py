@@ -12,12 +12,6 @@ from kinweave.shared import table
 from kinweave.sources.domain import relation, with_relations
 
 
-@query("people_browse", with_relations(""" SELECT person_id, name FROM people p WHERE contains(lower(name), 'ring') AND EXISTS (SELECT 1 FROM claims c WHERE c.object_id = p.person_id AND c.status = 'supported') ORDER BY name, person_id LIMIT 50""", "people", "claims"))
-def people_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claimed = relation(spark, sf_dir, "claims").where("status = 'supported'").select(F.col("object_id").alias("person_id"))
-    return relation(spark, sf_dir, "people").where(F.lower("name").contains("ring")).join(claimed, "person_id", "left_semi").select("person_id", "name").orderBy("name", "person_id").limit(50)
-
-
 @query("lateral_best_statement", with_relations(""" SELECT c.c_custkey AS person_id, b.claim_id, b.status FROM customer c LEFT JOIN LATERAL
  (SELECT claim_id, status FROM claims JOIN orders ON order_id = o_orderkey WHERE o_custkey = c.c_custkey ORDER BY status, claim_id LIMIT 1) b ON true""", "claims"))
 def lateral_best_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,11 +239,6 @@ def visible_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id").join(linked, "conv_id", "left_semi").union(c.where("owner_id = 1").select("conv_id")).distinct()
 
 
-@query("multi_parent_findings", with_relations(""" SELECT object_id AS child_id, count(DISTINCT subject_id) AS parents FROM claims WHERE predicate = 'A' GROUP BY object_id HAVING count(DISTINCT subject_id) >= 2""", "claims"))
-def multi_parent_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, "claims").where("predicate = 'A'").groupBy(F.col("object_id").alias("child_id")).agg(F.countDistinct("subject_id").alias("parents")).where("parents >= 2")
-
-
 @query("chronology_contradictions", with_relations(""" SELECT edge_id, CASE WHEN parent_from > child_to THEN 'parent_born_after_child' ELSE 'parent_died_too_early' END AS finding FROM intervals WHERE parent_from > child_to OR parent_to < child_from - 100""", "intervals"))
 def chronology_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = relation(spark, sf_dir, "intervals")
@@ -257,11 +246,6 @@ def chronology_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("edge_id", finding.alias("finding")).where("finding IS NOT NULL")
 
 
-@query("duplicate_identity", with_relations(""" SELECT tree_id, name, count(DISTINCT person_id) AS people, min(person_id) AS first_person FROM people GROUP BY tree_id, name HAVING count(DISTINCT person_id) >= 2""", "people"))
-def duplicate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, "people").groupBy("tree_id", "name").agg(F.countDistinct("person_id").alias("people"), F.min("person_id").alias("first_person")).where("people >= 2")
-
-
 @query("statement_contradictions", """WITH b AS (SELECT item_id, list_sort(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark WHERE contains(lower(text), ' is '))
 SELECT a.item_id AS a, b.item_id AS b FROM b a JOIN b ON a.item_id < b.item_id AND a.w <> b.w""")
 def statement_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,57 +27,6 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "people").select("name").distinct()
 
 
-@query("passage_search", with_relations(f"""
-SELECT passage_id, source_id, score FROM (SELECT passage_id, source_id,
-  greatest(CASE WHEN lower(body) = '{PHRASE}' THEN 100.0 ELSE 0.0 END, round(80.0 * {sets('g', 'q')}, 6), CASE WHEN contains(lower(body), '{PHRASE}') THEN 65.0 ELSE 0.0 END) AS score
-  FROM (SELECT *, {grams('body')} AS g, {grams(f"'{PHRASE}'")} AS q FROM passages)) WHERE score > 0 ORDER BY score DESC, passage_id LIMIT 20""", "passages"))
-def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.passages(relation(spark, sf_dir, "passages"), PHRASE)
-
-
-@query("name_search_union", f"""
-WITH n AS (SELECT 'person' AS kind, p_partkey AS id, p_name AS name, p_brand AS alias FROM part
- UNION ALL SELECT 'family', s_suppkey, s_name, NULL FROM supplier UNION ALL SELECT 'tribe', n_nationkey, n_name, NULL FROM nation
- UNION ALL SELECT 'place', r_regionkey, r_name, NULL FROM region UNION ALL SELECT 'branch', c_custkey, c_mktsegment, NULL FROM customer),
-s AS (SELECT kind, id, name, greatest(CASE WHEN lower(name) = 'red widget' THEN 100.0 ELSE 0.0 END, CASE WHEN alias = 'Brand#7' THEN 90.0 ELSE 0.0 END, round(70.0 * {sets('g', 'q')}, 6)) AS score
-      FROM (SELECT *, {grams('name')} AS g, {grams("'red widget'")} AS q FROM n)),
-t AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, name, kind, id LIMIT 20)
-SELECT t.kind, t.id, t.name, t.score, p_brand AS first_alias FROM t LEFT JOIN part ON t.kind = 'person' AND p_partkey = t.id""")
-def name_search_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five kinds in one ranking; the second alias is looked up after the limit."""
-    none = F.lit(None).cast("string")
-    kinds = (("person", "part", "p_partkey", "p_name", F.col("p_brand")), ("family", "supplier", "s_suppkey", "s_name", none), ("tribe", "nation", "n_nationkey", "n_name", none), ("place", "region", "r_regionkey", "r_name", none), ("branch", "customer", "c_custkey", "c_mktsegment", none))
-    found = None
-    for kind, t, key, name, alias in kinds:
-        part = table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(name).alias("name"), alias.alias("alias"))
-        found = part if found is None else found.unionByName(part)
-    score = F.greatest(F.when(F.lower("name") == "red widget", 100.0).otherwise(0.0), F.when(F.col("alias") == "Brand#7", 90.0).otherwise(0.0), F.round(70.0 * T.similarity(F.col("name"), F.lit("red widget")), 6))
-    best = search.top(found.select("kind", "id", "name", score.alias("score")).where("score > 0"), "score", "name", "kind", "id")
-    aliases = table(spark, sf_dir, "part").select(F.lit("person").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("first_alias"))
-    return best.join(aliases, ["kind", "id"], "left")
-
-
-@query("claim_search", with_relations(f"""
-SELECT claim_id, score FROM (SELECT claim_id, CAST(greatest(CASE WHEN predicate = 'R' THEN 100.0 ELSE 0.0 END, CASE WHEN status = 'contested' THEN 60.0 ELSE 0.0 END) AS DOUBLE) AS score FROM claims c
- WHERE EXISTS (SELECT 1 FROM people p WHERE p.person_id = c.object_id AND p.name = 'red widget') AND year(claimed_at) <= 1996 AND year(claimed_at) >= 1995)
-WHERE score > 0 ORDER BY score DESC, claim_id LIMIT 20""", "claims", "people"))
-def claim_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims about a person of a name, within years."""
-    people = relation(spark, sf_dir, "people").where("name = 'red widget'").select(F.col("person_id").alias("object_id"))
-    claims = relation(spark, sf_dir, "claims").where("year(claimed_at) <= 1996 AND year(claimed_at) >= 1995").join(people, "object_id", "left_semi")
-    score = F.greatest(F.when(F.col("predicate") == "R", 100.0).otherwise(0.0), F.when(F.col("status") == "contested", 60.0).otherwise(0.0))
-    return search.top(claims.select("claim_id", score.alias("score")).where("score > 0"), "score", "claim_id")
-
-
-@query("question_search", f"""
-SELECT conv_id, turn, score FROM (SELECT conv_id, turn, greatest(CASE WHEN lower(text) = '{PHRASE}' THEN 100.0 ELSE 0.0 END, round(70.0 * {sets('g', 'q')}, 6), CASE WHEN contains(lower(text), 'the') THEN 55.0 ELSE 0.0 END) AS score
- FROM (SELECT *, {grams('text')} AS g, {grams(f"'{PHRASE}'")} AS q FROM conversations WHERE role = 'user')) WHERE score > 0 ORDER BY score DESC, conv_id, turn LIMIT 20""")
-def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
-    score = F.greatest(F.when(F.lower("text") == PHRASE, 100.0).otherwise(0.0), F.round(70.0 * T.similarity(F.col("text"), F.lit(PHRASE)), 6), F.when(F.lower("text").contains("the"), 55.0).otherwise(0.0))
-    return search.top(asked.select("conv_id", "turn", score.alias("score")).where("score > 0"), "score", "conv_id", "turn")
-
-
 NEAREST = """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings"""
 
 
@@ -86,17 +35,6 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(table(spark, sf_dir, "embeddings"), 0)
 
 
-@query("hybrid_fusion", f"""
-WITH l AS (SELECT doc_id AS id, score FROM (SELECT doc_id, round({sets('g', 'q')}, 6) AS score FROM (SELECT doc_id, {grams('text')} AS g, {grams(f"'{PHRASE}'")} AS q FROM documents)) WHERE score > 0 ORDER BY score DESC, id LIMIT 50),
-v AS (SELECT vec_id AS id, score FROM ({NEAREST}) WHERE score > 0 ORDER BY score DESC, id LIMIT 50)
-SELECT id, l.score AS lex, v.score AS vec, round(CASE WHEN l.score IS NOT NULL AND v.score IS NOT NULL THEN 0.55 * l.score + 0.45 * v.score ELSE coalesce(l.score, v.score) END, 6) AS score
-FROM l FULL JOIN v USING (id) ORDER BY score DESC, id LIMIT 30""")
-def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.round(T.similarity(F.col("text"), F.lit(PHRASE)), 6).alias("score")).where("score > 0")
-    vectors = search.nearest(table(spark, sf_dir, "embeddings"), 0, k=50).withColumnRenamed("vec_id", "id")
-    return search.fuse(search.top(docs, "score", "id", k=50), vectors, "id")
-
-
 @query("lexical_rerank", f"""
 WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS d, ['the', 'ing', 'and', 'that', 'tion'] AS q FROM benchmark),
 s AS (SELECT item_id, round(len(list_intersect(q, d)) / len(q), 4) AS rerank FROM w)
@@ -242,13 +180,6 @@ def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("passage_id", F.explode("hits").alias("place"))
 
 
-@query("word_similarity_questions")
-def word_similarity_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best-extent trigram similarity of a phrase with each question; there is no SQL for it."""
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return asked.select("conv_id", "turn", F.round(T.word_similarity(F.lit("thea tion"), F.col("text")), 6).alias("score")).where("score >= 0.15")
-
-
 @query("hash_embedding")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed hash vector of each benchmark text."""
