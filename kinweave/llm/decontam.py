@@ -44,7 +44,7 @@ MARKS = (
 )
 STRIP = f"[^\\p{{L}}\\p{{N}}{NUM}{NAME}]+"
 UNIT_AFTER = f"({NUM}[^ ]+ )((?:{'|'.join(UNITS)})(?: |$))"
-SLOT = f"([{NUM}{NAME}{UNIT}])[^ ]+"
+SLOTS = (1, 2, 3)  # the marks as numbers, which stand for their slots in templates
 
 
 def marked(text: Column) -> Column:
@@ -56,9 +56,11 @@ def marked(text: Column) -> Column:
 
 
 def _tokens(table: DataFrame, key: str) -> DataFrame:
-    """key, text_key (a hash of the text), words (marked), plain, template: token arrays of every row with a key and a token."""
+    """id, text_key (a hash of the text), words (marked), plain, template: a hash for each token, as a word and as a template; every row with a key and a token."""
     rows = table.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("id"), F.xxhash64("text").alias("text_key"), marked(F.col("text")).alias("t")).where("t <> ''")
-    return rows.select("id", "text_key", F.split("t", " ").alias("words"), F.split(_plain(F.col("t")), " ").alias("plain"), F.split(F.regexp_replace("t", SLOT, "$1"), " ").alias("template"))
+    words = rows.select("id", "text_key", F.split("t", " ").alias("words"), F.split(_plain(F.col("t")), " ").alias("w"))
+    template = F.zip_with("words", "w", lambda m, w: F.when(F.length(m) > F.length(w), F.ascii(m).cast("long")).otherwise(F.xxhash64(w)))
+    return words.select("id", "text_key", "words", F.transform("w", lambda w: F.xxhash64(w)).alias("plain"), template.alias("template"))
 
 
 def _plain(x: Column) -> Column:
@@ -70,13 +72,26 @@ def _is_slot(x: Column) -> Column:
 
 
 def _windows(tokens: str, length: int, step: int = 1) -> Column:
-    """Hash and place (from 0) of each window of ``length`` tokens; null if there are too few. Templates and plain words never meet."""
-    starts = F.when(F.size(tokens) >= length, F.sequence(F.lit(0), F.size(tokens) - length, F.lit(step)))  # a sequence to -1 would count down
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(tokens), F.slice(tokens, i + 1, length)).alias("h"), i.alias("pos")))
+    """Hash of each window of ``length`` tokens, from every ``step``th place on; null if there are too few. Templates and plain words never meet."""
+    starts = F.when(F.size(tokens) >= length, F.sequence(F.lit(1), F.size(tokens) - length + 1, F.lit(step)))  # a sequence to 0 would count down
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(tokens), F.slice(tokens, i, length)))
 
 
-def _both(arrays: list[Column]) -> Column:
-    return reduce(F.concat, [F.coalesce(a, F.array().cast("array<struct<h:bigint,pos:int>>")) for a in arrays])
+def _placed(windows: Column) -> Column:
+    """Windows from every place on, with their places from 0."""
+    return F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("pos")))
+
+
+def _all_windows(parts: list[tuple[str, int, int]]) -> tuple[Column, Column]:
+    """The windows of several kinds (tokens, length, step) in one array, and the place of its ``i``th."""
+    empty = F.array().cast("array<long>")
+    place, before = None, F.lit(0)
+    for tokens, length, step in parts:
+        count = F.greatest(F.lit(0), F.floor((F.col("n_words") - length) / step).cast("int") + 1)
+        here = (F.col("i") - before) * step
+        place = F.when(F.col("i") < before + count, here) if place is None else place.when(F.col("i") < before + count, here)
+        before = before + count
+    return F.concat(*[F.coalesce(_windows(*p), empty) for p in parts]), place
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int = 13, min_literals: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -90,22 +105,22 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int
     items = written(_tokens(benchmark, "item_id").dropDuplicates(["id", "text_key"]).select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "words", "plain", "template", F.size("words").alias("n")), "items")
     facts = items.agg(F.collect_set(F.when(F.col("n") < min_run, F.col("n"))).alias("short"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.length(F.concat_ws(" ", "words"))), F.lit(0)).alias("chars")).first()
     short = sorted(facts["short"])  # at most min_run - 1 lengths
-    plain = F.when(F.col("n") >= min_run, _windows("plain", window))
-    template = F.when(F.col("n") >= window, _windows("template", window))
+    plain = F.when(F.col("n") >= min_run, _placed(_windows("plain", window)))
+    template = F.when(F.col("n") >= window, _placed(_windows("template", window)))
     for n in short:
-        plain = F.when(F.col("n") == n, _windows("plain", n)).otherwise(plain)
-        template = F.when(F.col("n") == n, _windows("template", n)).otherwise(template) if n < window else template
-    literals = lambda w: F.size(F.filter(F.slice("template", w["pos"] + 1, window), lambda x: ~_is_slot(x))) >= min_literals
-    seeds = items.select("item_id", "item_key", "n", F.explode_outer(_both([F.transform(plain, lambda w: w), F.filter(template, literals)])).alias("w")).where("w IS NOT NULL")
-    kinds = items.select("item_id", "item_key", F.explode_outer(F.filter(template, literals)).alias("w")).where("w IS NOT NULL").select("w.h").distinct().withColumn("by_template", F.lit(True))
-    seeds = seeds.select("item_id", "item_key", "n", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos")).distinct().join(kinds, "h", "left")
-    seeds = written(seeds.withColumn("by_template", F.coalesce("by_template", F.lit(False))), "benchmark_windows")
+        plain = F.when(F.col("n") == n, _placed(_windows("plain", n))).otherwise(plain)
+        template = F.when(F.col("n") == n, _placed(_windows("template", n))).otherwise(template) if n < window else template
+    literals = lambda w: F.size(F.filter(F.slice("template", w["pos"] + 1, window), lambda x: ~x.isin(*SLOTS))) >= min_literals
+    kind = lambda windows, by: items.select("item_id", "item_key", "n", F.explode_outer(windows).alias("w"), F.lit(by).alias("by_template")).where("w IS NOT NULL").select("item_id", "item_key", "n", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos"), "by_template")
+    seeds = written(kind(plain, False).union(kind(F.filter(template, literals), True)).distinct(), "benchmark_windows")
 
     # explode with outer and filter afterwards: for a plain explode, Spark infers a filter on the windows and
     # pushes it below, where all of marked() would be computed again for every window
     words = _tokens(docs, "doc_id")
-    hashes = _both([_windows("template", window), _windows("plain", window, max(1, min_run - window + 1)), *[_windows("plain", n) for n in short], *[_windows("template", n) for n in short if n < window]])
-    cut = words.select("id", "text_key", "words", F.explode_outer(hashes).alias("w")).where("w IS NOT NULL").select("id", "text_key", "words", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
+    kinds = [("template", window, 1), ("plain", window, max(1, min_run - window + 1)), *[("plain", n, 1) for n in short], *[("template", n, 1) for n in short if n < window]]
+    hashes, place = _all_windows(kinds)
+    cut = words.select("id", "text_key", "words", F.size("words").alias("n_words"), F.posexplode_outer(hashes).alias("i", "h")).where("h IS NOT NULL")
+    cut = cut.select("id", "text_key", "words", "h", place.alias("pos"))
     diagonal = ["id", "text_key", "item_id", "item_key", "n", "offset"]
     beside = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", F.col("offset") + i)).alias("beside")
     if 64 * seeds.count() <= broadcast_bytes:
