@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
-Z95 = 1.96
+#: Two sites of the 95 % interval use two roundings.
+Z95, Z95_LONG = 1.96, 1.959964
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -16,10 +17,10 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
-    """Lower and upper bound of a rate; 0 and 1 for no trials."""
+    """Lower and upper bound of a rate; both 0 for no trials. The half width is cut where it would leave 0 to 1."""
     p, d = hits / n, 1 + z * z / n
     mid, half = (p + z * z / (2 * n)) / d, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(1.0)
+    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(0.0)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import numbers, text
+from kinweave.operators.ranking import global_rank
 
 
 def top(df: DataFrame, score: str, *ids: str, k: int = 20) -> DataFrame:
@@ -13,21 +14,6 @@ def top(df: DataFrame, score: str, *ids: str, k: int = 20) -> DataFrame:
     return df.orderBy(F.desc(score), *ids).limit(k)
 
 
-def lexical_score(body: Column, query: str, exact: float = 100.0, similar: float = 80.0, contains: float = 65.0) -> Column:
-    q = F.lit(query)
-    return F.greatest(
-        F.when(F.lower(body) == query.lower(), exact).otherwise(0.0),
-        F.round(similar * text.set_similarity(text.trigrams(body), text.trigrams(q)), 6),
-        F.when(F.lower(body).contains(query.lower()), contains).otherwise(0.0),
-    )
-
-
-def passages(df: DataFrame, query: str, k: int = 20) -> DataFrame:
-    """passage_id, source_id, score of the best passages."""
-    scored = df.select("passage_id", "source_id", lexical_score(F.col("body"), query).alias("score")).where("score > 0")
-    return top(scored, "score", "passage_id", k=k)
-
-
 def nearest(vectors: DataFrame, query_id: int, k: int = 20, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """key, score by cosine with the vector of ``query_id``; only positive scores; the query itself is a candidate."""
     query = vectors.where(F.col(key) == query_id).select(F.col(column).alias("q")).limit(1)
@@ -35,15 +21,8 @@ def nearest(vectors: DataFrame, query_id: int, k: int = 20, key: str = "vec_id",
     return top(scored, "score", key, k=k)
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, key: str, weights: tuple[float, float] = (0.55, 0.45), k: int = 30) -> DataFrame:
-    """Two scored legs on one key: weighted where both speak, else the one score."""
-    both = lexical.select(key, F.col("score").alias("lex")).join(vector.select(key, F.col("score").alias("vec")), key, "full_outer")
-    mixed = F.when(F.col("lex").isNotNull() & F.col("vec").isNotNull(), weights[0] * F.col("lex") + weights[1] * F.col("vec")).otherwise(F.coalesce("lex", "vec"))
-    return top(both.select(key, "lex", "vec", F.round(mixed, 6).alias("score")), "score", key, k=k)
-
-
 def rerank(df: DataFrame, query: str, body: str, key: str) -> DataFrame:
     """Share of the query's words that a text has, four decimals; ties by key."""
     q = F.array_distinct(text.words(F.lit(query)))
     score = F.round(F.size(F.array_intersect(q, F.array_distinct(text.words(F.col(body))))) / F.size(q), 4)
-    return df.select(key, score.alias("rerank"), F.row_number().over(Window.orderBy(F.desc(score), key)).alias("place"))
+    return global_rank(df.select(key, score.alias("rerank")), F.desc("rerank"), key)

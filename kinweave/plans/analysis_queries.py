@@ -6,11 +6,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.operators import geo, resolution, rules
+from kinweave.functions.numbers import haversine_km
+from kinweave.operators import geo, resolution
+from kinweave.operators.components import components
+from kinweave.operators.ranking import global_rank
+from kinweave.operators.setjoin import similar_sets
 from kinweave.plans.registry import query
 from kinweave.plans.text_queries import grams, sets
 from kinweave.functions import text as T
-from kinweave.shared import table
+from kinweave.shared import table, written
 from kinweave.sources.domain import relation, with_relations
 
 BLOCKS = """, k AS (SELECT person_id, 'name' AS kind, name AS key FROM people UNION ALL SELECT person_id, 'tree', CAST(tree_id AS VARCHAR) FROM people UNION ALL SELECT person_id, 'place_decade', concat_ws('/', place, decade, father) FROM people)"""
@@ -18,26 +22,6 @@ PAIRS = BLOCKS + """, m AS (SELECT *, row_number() OVER (PARTITION BY kind, key
 pr AS (SELECT DISTINCT x.person_id AS a, y.person_id AS b FROM m x JOIN m y USING (kind, key) WHERE x.person_id < y.person_id ORDER BY a, b LIMIT 1000)"""
 
 
-@query("er_blocks", with_relations(BLOCKS + " SELECT kind, key, count(*) AS members FROM k GROUP BY kind, key", "people"))
-def er_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.blocks(relation(spark, sf_dir, "people")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members"))
-
-
-@query("er_pairs_capped", with_relations(PAIRS + " SELECT a, b FROM pr", "people"))
-def er_pairs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.pairs(resolution.blocks(relation(spark, sf_dir, "people")))
-
-
-@query("er_scores_classified", with_relations(PAIRS + """, s AS (SELECT a, b, x.father <> y.father OR greatest(0, x.birth_from - y.birth_to, y.birth_from - x.birth_to) > 40 AS conflict,
- (0.30 * CASE WHEN x.name = y.name THEN 1 ELSE greatest(1 - levenshtein(x.name, y.name) / greatest(len(x.name), len(y.name)), len(list_intersect(string_split(x.name, ' '), string_split(y.name, ' '))) / len(list_distinct(list_concat(string_split(x.name, ' '), string_split(y.name, ' '))))) END
-  + 0.25 * (x.father = y.father)::INT + 0.10 * (x.place = y.place)::INT + 0.10 * greatest(0, 1 - greatest(0, x.birth_from - y.birth_to, y.birth_from - x.birth_to) / 80)) / 0.75 AS raw
- FROM pr JOIN people x ON x.person_id = a JOIN people y ON y.person_id = b), f AS (SELECT a, b, round(CASE WHEN conflict AND raw >= 0.78 THEN 0.49 ELSE raw END, 6) AS score FROM s)
-SELECT a, b, score, CASE WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.55 THEN 'possible' ELSE 'likely_different' END AS class FROM f""", "people"))
-def er_scores_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = relation(spark, sf_dir, "people")
-    return resolution.scored(resolution.pairs(resolution.blocks(p)), p)
-
-
 @query("fuzzy_match_topn", with_relations(f""", n AS (SELECT DISTINCT name, {grams('name')} AS g FROM people), q AS (SELECT x AS query, {grams('x')} AS g FROM unnest(['red wigdet', 'smal ring', 'larg gear']) AS t(x))
 SELECT query, name, score, CAST(place AS INT) AS place FROM (SELECT query, name, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS place FROM (SELECT query, name, round({sets('n.g', 'q.g')}, 6) AS score FROM n JOIN q ON list_has_any(n.g, q.g)) WHERE score >= 0.2) WHERE place <= 3""", "people"))
 def fuzzy_match_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,17 +56,25 @@ def map_layer_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("k", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("n"), "place_id"))).where("k <= 10").drop("k")
 
 
-@query("proximity_clusters", with_relations(""", p AS (SELECT place_id, min(lat) AS lat, min(lon) AS lon, count(*) AS n FROM visits GROUP BY place_id HAVING count(*) > (SELECT count(*) / count(DISTINCT place_id) FROM visits)),
-e AS (SELECT a.place_id AS a, b.place_id AS b FROM p a JOIN p b ON a.place_id <> b.place_id AND abs(a.place_id - b.place_id) <= 1),
-r AS (SELECT place_id AS node, place_id AS reach FROM p UNION SELECT node, b FROM r JOIN e ON reach = a), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY node)
-SELECT cluster, count(*) AS places, CAST(sum(n) AS BIGINT) AS visits, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM c JOIN p ON node = place_id GROUP BY cluster HAVING count(*) >= 2""", "visits", recursive=True))
+RADIUS = 420.0
+PLACES_KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"
+
+
+@query("proximity_clusters", with_relations(f""", p AS (SELECT place_id, min(lat) AS lat, min(lon) AS lon, count(*) AS n FROM visits WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY place_id),
+e AS (SELECT a.place_id AS a, b.place_id AS b FROM p a JOIN p b ON a.place_id <> b.place_id AND {PLACES_KM} <= {RADIUS}),
+r AS (SELECT place_id AS node, place_id AS reach FROM p UNION SELECT node, b FROM r JOIN e ON reach = a), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY node),
+m AS (SELECT cluster, count(*) AS places, CAST(sum(n) AS BIGINT) AS visits, sum(lat * n) / sum(n) AS lat, sum(lon * n) / sum(n) AS lon FROM c JOIN p ON node = place_id GROUP BY cluster HAVING count(*) >= 2 AND sum(n) >= 2)
+SELECT a.cluster, a.places, a.visits, round(a.lat, 6) AS lat, round(a.lon, 6) AS lon, round(max({PLACES_KM}), 3) AS radius_km FROM m a JOIN c ON c.cluster = a.cluster JOIN p b ON b.place_id = c.node GROUP BY ALL""", "visits", recursive=True))
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring busy places (more visits than the mean) joined into runs: places lie on one line here, so a run is a difference of ranks."""
-    v = relation(spark, sf_dir, "visits")
-    p = v.groupBy("place_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count(F.lit(1)).alias("n"))
-    p = p.where(F.col("n") > v.agg(F.count(F.lit(1)) / F.countDistinct("place_id")).scalar())
-    run = p.withColumn("run", F.col("place_id") - F.row_number().over(Window.orderBy("place_id")))
-    return run.groupBy("run").agg(F.min("place_id").alias("cluster"), F.count(F.lit(1)).alias("places"), F.sum("n").alias("visits"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon")).where("places >= 2").drop("run")
+    """Places within the radius of one another are joined into clusters of two places and two visits at least: centre of all visits, and how far the furthest lies."""
+    p = relation(spark, sf_dir, "visits").where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("place_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count(F.lit(1)).alias("n"))
+    p = written(p, "places")
+    near = geo.within(p, "place_id", RADIUS)
+    found = components(near.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    c = p.join(found.select(F.col("node").cast("int").alias("place_id"), F.col("component").cast("int").alias("cluster")), "place_id")
+    mid = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("visits"), (F.sum(F.col("lat") * F.col("n")) / F.sum("n")).alias("mlat"), (F.sum(F.col("lon") * F.col("n")) / F.sum("n")).alias("mlon")).where("places >= 2 AND visits >= 2")
+    far = c.join(mid, "cluster").groupBy("cluster", "places", "visits", "mlat", "mlon").agg(F.max(haversine_km(F.col("mlat"), F.col("mlon"), F.col("lat"), F.col("lon"))).alias("r"))
+    return far.select("cluster", "places", "visits", F.round("mlat", 6).alias("lat"), F.round("mlon", 6).alias("lon"), F.round("r", 3).alias("radius_km"))
 
 
 @query("shared_claim_sources", with_relations(", x AS (SELECT DISTINCT order_id % 20 AS source, object_id FROM claims) SELECT a.source AS a, b.source AS b, count(*) AS shared FROM x a JOIN x b ON a.object_id = b.object_id AND a.source < b.source GROUP BY ALL HAVING count(*) >= 2", "claims"))
@@ -91,15 +83,16 @@ def shared_claim_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumnRenamed("source", "a").join(x.withColumnRenamed("source", "b"), "object_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
-@query("near_duplicate_passages", with_relations(f""", g AS (SELECT source_id, {grams('body')} AS g, list_max(list_transform(list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: {{'n': len(w), 'w': w}})).w AS block FROM (SELECT DISTINCT source_id, body FROM passages WHERE n_chars >= 80))
-SELECT a.source_id AS a, b.source_id AS b, count(*) AS pairs FROM g a JOIN g b ON a.source_id < b.source_id AND a.block = b.block AND {sets('a.g', 'b.g')} >= 0.86 GROUP BY ALL""", "passages"))
+@query("near_duplicate_passages", with_relations(f""", g AS (SELECT row_number() OVER (ORDER BY source_id, body) AS k, source_id, {grams('body')} AS g FROM (SELECT DISTINCT source_id, body FROM passages WHERE n_chars >= 80)), n AS (SELECT k, source_id, g, len(g) AS n FROM g)
+SELECT a.source_id AS a, b.source_id AS b, count(*) AS pairs FROM n a JOIN n b ON a.source_id < b.source_id AND least(a.n, b.n) >= 0.86 * greatest(a.n, b.n) AND {sets('a.g', 'b.g')} >= 0.86 GROUP BY ALL""", "passages"))
 def near_duplicate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of different sources whose trigrams agree, among those that share their longest word."""
+    """Pairs of passages of different sources, 80 characters long at least, whose trigrams agree to 0.86: every such pair."""
     p = relation(spark, sf_dir, "passages").where("n_chars >= 80").select("source_id", "body").distinct()
-    longest = F.array_max(F.transform(T.words(F.col("body")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    p = p.select("source_id", longest.alias("block"), T.trigrams(F.col("body")).alias("g"))
-    a, b = (p.select(F.col("source_id").alias(s), F.col("g").alias(f"g{s}"), "block") for s in "ab")
-    return a.join(b, "block").where("a < b").where(T.set_similarity(F.col("ga"), F.col("gb")) >= 0.86).groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"))
+    p = written(p.select(F.monotonically_increasing_id().alias("k"), "source_id", T.trigrams(F.col("body")).alias("g")), "passages")
+    found = similar_sets(p, "k", "g", 0.86)
+    side = lambda s: p.select(F.col("k").alias(s), F.col("source_id").alias(f"s{s}"))
+    sources = found.join(side("a"), "a").join(side("b"), "b").where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+    return sources.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query("corroborators", with_relations(" SELECT object_id, count(DISTINCT order_id % 20) AS sources, count(*) FILTER (WHERE status = 'supported') AS support, count(*) FILTER (WHERE status = 'contested') AS counter FROM claims GROUP BY object_id HAVING count(DISTINCT order_id % 20) >= 3", "claims"))
@@ -149,32 +142,25 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)), 6).alias("success_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-@query("paired_bootstrap", """WITH v AS (SELECT doc_id, quality - toxic AS d, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels),
-r AS (SELECT k, (k * 7919 + j * 104729 + k * j) % n AS i FROM (SELECT unnest(range(0, 50)) AS k) , (SELECT i AS j, n FROM v)), m AS (SELECT k, avg(d) AS m FROM r JOIN v USING (i) GROUP BY k)
-SELECT round(min(m), 6) AS low, round(max(m), 6) AS high, round(avg(m), 6) AS mean FROM m""")
-def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty deterministic resamples of paired differences: a row's draws are looked up by index."""
-    v = table(spark, sf_dir, "labels").select((F.col("quality") - F.col("toxic")).alias("d"), (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"))
-    n = v.agg(F.count(F.lit(1))).scalar()
-    draws = v.select(F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k")).select("k", ((F.col("k") * 7919 + F.col("j") * 104729 + F.col("k") * F.col("j")) % n).alias("i"))
-    m = draws.join(v, "i").groupBy("k").agg(F.avg("d").alias("m"))
-    return m.agg(F.round(F.min("m"), 6).alias("low"), F.round(F.max("m"), 6).alias("high"), F.round(F.avg("m"), 6).alias("mean"))
-
-
-@query("box_overlap", """WITH b AS (SELECT p_partkey AS id, p_partkey % 25 AS page, p_size AS x, p_partkey % 40 AS y, 10 + p_size % 7 AS w, 12 AS h FROM part)
+@query("box_overlap", """WITH b AS (SELECT p_partkey AS id, CAST(floor(p_partkey / 80) AS BIGINT) AS page, p_size AS x, p_partkey % 40 AS y, 10 + p_size % 7 AS w, 12 AS h FROM part)
 SELECT a, b, round(iou, 6) AS iou FROM (SELECT a.id AS a, b.id AS b, (greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) AS i, i / (a.w * a.h + b.w * b.h - i) AS iou FROM b a JOIN b ON a.page = b.page AND a.id < b.id) WHERE iou >= 0.5""")
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of one page with half of their union in common."""
     b = boxes(spark, sf_dir)
-    a = b.select("page", *[F.col(c).alias(f"{c}a") for c in ("id", "x", "y", "w", "h")])
+    # boxes meet on the cells of a grid that they touch; a pair that shares several meets in the one that holds the corner of their overlap
+    cell = 16
+    steps = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell)))
+    b = b.select("*", steps("x", "w").alias("cx")).select("*", steps("y", "h").alias("cy"))
+    a = b.select("page", "cx", "cy", *[F.col(c).alias(f"{c}a") for c in ("id", "x", "y", "w", "h")])
+    first = (F.floor(F.greatest("xa", "x") / cell) == F.col("cx")) & (F.floor(F.greatest("ya", "y") / cell) == F.col("cy"))
     side = lambda p, s: F.greatest(F.lit(0), F.least(F.col(f"{p}a") + F.col(f"{s}a"), F.col(p) + F.col(s)) - F.greatest(f"{p}a", p))
     inter = side("x", "w") * side("y", "h")
     iou = inter / (F.col("wa") * F.col("ha") + F.col("w") * F.col("h") - inter)
-    return a.join(b, "page").where("ida < id").where(iou >= 0.5).select(F.col("ida").alias("a"), F.col("id").alias("b"), F.round(iou, 6).alias("iou"))
+    return a.join(b, ["page", "cx", "cy"]).where("ida < id").where(first).where(iou >= 0.5).select(F.col("ida").alias("a"), F.col("id").alias("b"), F.round(iou, 6).alias("iou"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey % 25 AS page", "p_size AS x", "p_partkey % 40 AS y", "10 + p_size % 7 AS w", "12 AS h", "p_retailprice AS score")
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(floor(p_partkey / 80) AS BIGINT) AS page", "p_size AS x", "p_partkey % 40 AS y", "10 + p_size % 7 AS w", "12 AS h", "p_retailprice AS score")
 
 
 def keep_best(boxes: pd.DataFrame, most: float = 0.5) -> pd.DataFrame:

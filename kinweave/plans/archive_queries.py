@@ -146,7 +146,7 @@ def claim_search_filtered(d: Dialect) -> str:
 
 @archived
 def claim_search_of_source(d: Dialect) -> str:
-    return claim_search_of(d, "", source="src3", to_year=1850)
+    return claim_search_of(d, "", source="src4", to_year=1850)
 
 
 def passage_search_of(d: Dialect, term: str, source: str = "", k: int = 20) -> str:

@@ -69,29 +69,6 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.where(F.col("hops") == sized.agg(F.min("hops")).scalar()).orderBy("path").limit(5)
 
 
-@query("common_ancestor_paths", with_relations(""", x AS (SELECT CAST(130 AS BIGINT) AS id, 0 AS d UNION ALL SELECT parent_id, d + 1 FROM x JOIN parent_of ON child_id = id WHERE d < 3),
-y AS (SELECT CAST(140 AS BIGINT) AS id, 0 AS d UNION ALL SELECT parent_id, d + 1 FROM y JOIN parent_of ON child_id = id WHERE d < 3)
-SELECT x.id AS ancestor, CAST(min(x.d + y.d) AS INT) AS hops FROM x JOIN y ON x.id = y.id WHERE x.d + y.d <= 6 GROUP BY x.id ORDER BY hops, ancestor LIMIT 5""", "parent_of", recursive=True))
-def common_ancestor_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walks up from both people, met on the node; the shortest of each ancestor, five at most."""
-    x, y = (graph.walks(up(spark, sf_dir), roots(spark, i), 3).select(F.element_at("path", -1).alias("ancestor"), (F.size("path") - 1).alias(n)) for i, n in ((130, "dx"), (140, "dy")))
-    return x.join(y, "ancestor").where("dx + dy <= 6").groupBy("ancestor").agg(F.min(F.col("dx") + F.col("dy")).alias("hops")).orderBy("hops", "ancestor").limit(5)
-
-
-@query("evidence_connection", with_relations(""" SELECT a.object_id AS from_part, b.object_id AS to_part, min(a.claim_id) AS first_claim, count(*) AS paths FROM claims a JOIN claims b ON a.subject_id = b.subject_id AND a.claim_id <> b.claim_id WHERE a.object_id = 5 AND b.object_id <> 5 AND a.status = 'supported' AND b.status = 'supported' GROUP BY ALL""", "claims"))
-def evidence_connection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two supported claims that share a side connect their other sides; no claim twice."""
-    c = relation(spark, sf_dir, "claims").where("status = 'supported'")
-    a = c.where("object_id = 5").select(F.col("object_id").alias("from_part"), F.col("claim_id").alias("ca"), "subject_id")
-    b = c.where("object_id <> 5").select(F.col("object_id").alias("to_part"), F.col("claim_id").alias("cb"), "subject_id")
-    return a.join(b, "subject_id").where("ca <> cb").groupBy("from_part", "to_part").agg(F.min("ca").alias("first_claim"), F.count(F.lit(1)).alias("paths"))
-
-
-@query("branch_claims", with_relations(" SELECT claim_id, subject_id, object_id, status FROM claims WHERE subject_id = 3 OR object_id = 3 ORDER BY claim_id LIMIT 50", "claims"))
-def branch_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, "claims").where("subject_id = 3 OR object_id = 3").select("claim_id", "subject_id", "object_id", "status").orderBy("claim_id").limit(50)
-
-
 @query("source_entities", with_relations(" SELECT source, side, entity_id, min(claim_id) AS claim_id FROM (SELECT order_id % 20 AS source, 'subject' AS side, subject_id AS entity_id, claim_id FROM claims UNION ALL SELECT order_id % 20, 'object', object_id, claim_id FROM claims) GROUP BY ALL", "claims"))
 def source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that each source speaks of, by side, each with its first claim."""
@@ -106,42 +83,4 @@ def migration_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walks(moves, moves.select(F.col("a").alias("id")).distinct(), 2).where(F.size("path") > 1).select(F.array_join("path", ">").alias("chain"), (F.size("path") - 1).alias("steps"))
 
 
-@query("branch_structure_compare", with_relations(""", r AS (SELECT x::BIGINT AS root, x::BIGINT AS id, 0 AS depth FROM unnest([2, 5]) AS t(x) UNION SELECT root, child_id, depth + 1 FROM r JOIN parent_of ON parent_id = id WHERE depth < 3),
-l AS (SELECT root, count(*) AS nodes, CAST(max(depth) AS INT) AS depth, count(*) FILTER (WHERE id NOT IN (SELECT parent_id FROM parent_of)) AS leaves FROM r GROUP BY root)
-SELECT b.nodes - a.nodes AS nodes_delta, b.depth - a.depth AS depth_delta, b.leaves - a.leaves AS leaves_delta FROM l a JOIN l b ON a.root = 2 AND b.root = 5""", "parent_of", recursive=True))
-def branch_structure_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = down(spark, sf_dir)
-    has = d.select(F.col("a").alias("id")).distinct().withColumn("inner", F.lit(1))
-
-    def stats(root: int, sign: int) -> DataFrame:
-        n = graph.bounded_bfs(d, roots(spark, root), 3).join(has, "id", "left")
-        return n.agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.max("depth")).alias("d"), (sign * F.count_if(F.col("inner").isNull())).alias("l"))
-
-    return stats(2, -1).union(stats(5, 1)).agg(F.sum("n").alias("nodes_delta"), F.sum("d").cast("int").alias("depth_delta"), F.sum("l").alias("leaves_delta"))
-
-
 NEIGHBOURS = ", g AS (SELECT from_id, to_id, status FROM flows WHERE status <> 'rejected'), r AS (SELECT min(from_id) AS id, 0 AS depth FROM g UNION SELECT to_id, depth + 1 FROM r JOIN g ON from_id = id WHERE depth < 2), n AS (SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id)"
-
-
-@query("dependency_neighborhood", with_relations(NEIGHBOURS + " SELECT id, depth, false AS truncated FROM n", "flows", recursive=True))
-def dependency_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed, over active dependencies only."""
-    active = relation(spark, sf_dir, "flows").where("status <> 'rejected'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    return graph.bounded_bfs(active, active.agg(F.min("a").alias("id")), 2)
-
-
-@query("modularity_communities")
-def modularity_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of each region's flows: one small group a task. The nation count bounds a group; SQL has no greedy merge."""
-    flows = relation(spark, sf_dir, "flows").where("status <> 'rejected'").select(F.lit(1).alias("run"), F.col("from_id").cast("long").alias("a"), F.col("to_id").cast("long").alias("b"))
-    return flows.groupBy("run").applyInPandas(graph.modularity_communities, "community long, node long, size long")
-
-
-@query("relationship_loops")
-def relationship_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed cycles of up to three flows, each once as its sorted node set."""
-    f = relation(spark, sf_dir, "flows").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    two = f.join(f.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-    pairs = two.where("a = c").select(F.sort_array(F.array("a", "b")).alias("loop"))
-    three = two.where("a <> c").join(f.select(F.col("a").alias("c"), F.col("b").alias("a")), ["c", "a"]).select(F.sort_array(F.array("a", "b", "c")).alias("loop"))
-    return pairs.union(three).distinct().select(F.array_join("loop", ",").alias("loop"))

@@ -108,8 +108,8 @@ def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("carrier_pairs")
 def carrier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One to one by falling score, within each brand and type: a bounded group a task."""
-    p = table(spark, sf_dir, "part").selectExpr("p_brand", "p_type", "p_partkey AS id", "p_size")
-    c = p.select("p_brand", "p_type", F.col("id").alias("left"), F.col("p_size").alias("a")).join(p.select("p_brand", "p_type", F.col("id").alias("right"), F.col("p_size").alias("b")), ["p_brand", "p_type"]).where("left < right")
-    c = c.select("p_brand", "p_type", "left", "right", (1.0 / (1 + F.abs(F.col("a") - F.col("b")))).alias("score"))
-    return c.groupBy("p_brand", "p_type").applyInPandas(lambda g: matching.greedy_pairs(g), "left long, right long, score double")
+    """One to one by falling score, within each page: a page's carriers are a bounded group a task."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 80).alias("page"), F.col("p_partkey").alias("id"), "p_size", "p_type")
+    c = p.select("page", "p_type", F.col("id").alias("left"), F.col("p_size").alias("a")).join(p.select("page", "p_type", F.col("id").alias("right"), F.col("p_size").alias("b")), ["page", "p_type"]).where("left < right")
+    c = c.select("page", "p_type", "left", "right", (1.0 / (1 + F.abs(F.col("a") - F.col("b")))).alias("score"))
+    return c.groupBy("page", "p_type").applyInPandas(lambda g: matching.greedy_pairs(g), "left long, right long, score double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import numbers
 from kinweave.operators import rules
+from kinweave.operators.ranking import global_rank
 from kinweave.plans.registry import query
 from kinweave.shared import table
 from kinweave.sources.domain import relation, with_relations
@@ -27,15 +28,6 @@ def unpivot_claim_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "claims").select(sides.alias("s")).groupBy("s.side", "s.entity_id").agg(F.count(F.lit(1)).alias("claims"))
 
 
-@query("independent_sources_anti", with_relations(""" SELECT source_id FROM sources s WHERE visibility = 'public' AND NOT EXISTS
- (SELECT 1 FROM flows f WHERE f.status <> 'rejected' AND (f.from_id = CAST(substr(s.source_id, 4) AS INT) OR f.to_id = CAST(substr(s.source_id, 4) AS INT)) AND f.n > 90)""", "sources", "flows"))
-def independent_sources_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Public sources without an active dependency on either side; the OR is two anti-joins."""
-    s = relation(spark, sf_dir, "sources").where("visibility = 'public'").withColumn("k", F.expr("CAST(substr(source_id, 4) AS INT)"))
-    f = relation(spark, sf_dir, "flows").where("status <> 'rejected' AND n > 90")
-    return s.join(f.select(F.col("from_id").alias("k")), "k", "left_anti").join(f.select(F.col("to_id").alias("k")), "k", "left_anti").select("source_id")
-
-
 @query("existence_flags", with_relations(""" SELECT person_id, EXISTS (SELECT 1 FROM claims c WHERE c.object_id = person_id AND c.status = 'contested') AS contested, EXISTS (SELECT 1 FROM claims c WHERE c.object_id = person_id AND c.predicate = 'R') AS refuted FROM people""", "people", "claims"))
 def existence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = relation(spark, sf_dir, "claims").groupBy(F.col("object_id").alias("person_id")).agg(F.bool_or(F.col("status") == "contested").alias("contested"), F.bool_or(F.col("predicate") == "R").alias("refuted"))
@@ -168,12 +160,6 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.intersect(s).withColumn("side", F.lit("both")).union(c.exceptAll(s).distinct().join(s, "nation", "left_anti").withColumn("side", F.lit("customers only")))
 
 
-@query("edge_set_fingerprint", with_relations(""" SELECT version_id, sha256(string_agg(parent_id || '>' || child_id, '||' ORDER BY parent_id || '>' || child_id COLLATE BINARY)) AS fingerprint FROM parent_of GROUP BY version_id""", "parent_of").replace(" COLLATE BINARY", ""))
-def edge_set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat_ws(">", F.col("parent_id").cast("string"), F.col("child_id").cast("string"))
-    return relation(spark, sf_dir, "parent_of").groupBy("version_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(key)), "||"), 256).alias("fingerprint"))
-
-
 @query("period_format", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'غير محددة' WHEN o_orderstatus = 'O' THEN 'من ' || year(o_orderdate) WHEN o_custkey % 2 = 0 THEN 'حتى ' || year(o_orderdate) ELSE year(o_orderdate) || ' — ' || (year(o_orderdate) + o_custkey % 60) END AS period FROM orders""")
 def period_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.year("o_orderdate")
@@ -181,11 +167,12 @@ def period_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("period"))
 
 
-@query("job_claim_order", """SELECT o_orderkey AS job_id, CAST(row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS INT) AS place, CAST(pow(2, least(o_custkey % 14, 10)) AS BIGINT) AS retry_seconds FROM orders WHERE o_orderstatus = 'P'""")
+@query("job_claim_order", """SELECT o_orderkey AS job_id, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place, CAST(pow(2, least(o_custkey % 14, 10)) AS BIGINT) AS retry_seconds FROM orders WHERE o_orderstatus = 'P'""")
 def job_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue order and retry delay of waiting jobs."""
     j = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    return j.select(F.col("o_orderkey").alias("job_id"), F.row_number().over(Window.orderBy("o_orderpriority", "o_orderdate", "o_orderkey")).alias("place"), numbers.backoff_seconds(F.col("o_custkey") % 14).cast("long").alias("retry_seconds"))
+    ranked = global_rank(j.select("o_orderkey", "o_orderpriority", "o_orderdate", "o_custkey"), "o_orderpriority", "o_orderdate", "o_orderkey")
+    return ranked.select(F.col("o_orderkey").alias("job_id"), "place", numbers.backoff_seconds(F.col("o_custkey") % 14).cast("long").alias("retry_seconds"))
 
 
 @query("stale_jobs", """SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY""")
@@ -239,21 +226,6 @@ def visible_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id").join(linked, "conv_id", "left_semi").union(c.where("owner_id = 1").select("conv_id")).distinct()
 
 
-@query("chronology_contradictions", with_relations(""" SELECT edge_id, CASE WHEN parent_from > child_to THEN 'parent_born_after_child' ELSE 'parent_died_too_early' END AS finding FROM intervals WHERE parent_from > child_to OR parent_to < child_from - 100""", "intervals"))
-def chronology_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = relation(spark, sf_dir, "intervals")
-    finding = F.when(F.col("parent_from") > F.col("child_to"), "parent_born_after_child").when(F.col("parent_to") < F.date_sub("child_from", 100), "parent_died_too_early")
-    return e.select("edge_id", finding.alias("finding")).where("finding IS NOT NULL")
-
-
-@query("statement_contradictions", """WITH b AS (SELECT item_id, list_sort(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark WHERE contains(lower(text), ' is '))
-SELECT a.item_id AS a, b.item_id AS b FROM b a JOIN b ON a.item_id < b.item_id AND a.w <> b.w""")
-def statement_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements that share the term and differ in their words; the term's holders are few and meet on it."""
-    b = table(spark, sf_dir, "benchmark").where(F.lower("text").contains(" is ")).select("item_id", F.sort_array(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"), F.lit("is").alias("term"))
-    return b.select(F.col("item_id").alias("a"), F.col("w").alias("wa"), "term").join(b.select(F.col("item_id").alias("b"), F.col("w").alias("wb"), "term"), "term").where("a < b AND wa <> wb").select("a", "b")
-
-
 LADDER = "CASE WHEN returnflag = 'A' THEN 'identity_unreviewed' WHEN line > 5 THEN 'claim_unsupported' WHEN linestatus = 'O' AND line > 3 THEN 'evidence_missing' WHEN parent_from > parent_to OR child_from > child_to THEN 'dates_invalid' WHEN child_to < parent_from THEN 'chronology_invalid' ELSE 'qualified' END"
 AGES = f", q AS (SELECT *, {LADDER} AS reason FROM intervals), a AS (SELECT edge_id, band, lower, upper, (lower + upper) / 2 AS mid FROM (SELECT edge_id, band, greatest(0.0, (child_from - parent_to) / 365.2425) AS lower, (child_to - parent_from) / 365.2425 AS upper FROM q WHERE reason = 'qualified')), r AS (SELECT band, count(*) AS n, quantile_cont(mid, 0.25) AS q1, quantile_cont(mid, 0.5) AS median, quantile_cont(mid, 0.75) AS q3 FROM a GROUP BY band HAVING count(*) >= 20)"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
 from kinweave.operators import search
+from kinweave.operators.setjoin import similar_sets
 from kinweave.plans.registry import query
 from kinweave.shared import table
 from kinweave.sources.domain import relation, with_relations
@@ -38,7 +39,7 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lexical_rerank", f"""
 WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS d, ['the', 'ing', 'and', 'that', 'tion'] AS q FROM benchmark),
 s AS (SELECT item_id, round(len(list_intersect(q, d)) / len(q), 4) AS rerank FROM w)
-SELECT item_id, rerank, CAST(row_number() OVER (ORDER BY rerank DESC, item_id) AS INT) AS place FROM s""")
+SELECT item_id, rerank, row_number() OVER (ORDER BY rerank DESC, item_id) AS place FROM s""")
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rerank(table(spark, sf_dir, "benchmark"), PHRASE, "text", "item_id")
 
@@ -46,12 +47,9 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trigram_similarity_pairs", with_relations(f""", n AS (SELECT DISTINCT name, {grams('name')} AS g FROM people)
 SELECT a.name AS a, b.name AS b, round({sets('a.g', 'b.g')}, 6) AS similarity FROM n a JOIN n b ON a.name < b.name WHERE {sets('a.g', 'b.g')} >= 0.5""", "people"))
 def trigram_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that share a trigram meet on it; the shared ones are counted, not compared pair by pair."""
-    g = distinct_names(spark, sf_dir).withColumn("g", T.trigrams(F.col("name"))).withColumn("n", F.size("g"))
-    e = g.select("name", "n", F.explode("g").alias("gram"))
-    pairs = e.select(F.col("name").alias("a"), F.col("n").alias("na"), "gram").join(e.select(F.col("name").alias("b"), F.col("n").alias("nb"), "gram"), "gram").where("a < b").groupBy("a", "b", "na", "nb").count()
-    sim = F.col("count") / (F.col("na") + F.col("nb") - F.col("count"))
-    return pairs.where(sim >= 0.5).select("a", "b", F.round(sim, 6).alias("similarity"))
+    """All pairs of names over the threshold; they meet on their rare trigrams alone."""
+    g = distinct_names(spark, sf_dir).withColumn("g", T.trigrams(F.col("name")))
+    return similar_sets(g, "name", "g", 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("multiset_trigram_jaccard", with_relations(""", n AS (SELECT DISTINCT name, replace(name, ' ', '') AS t FROM people),

@@ -28,15 +28,15 @@ PAGE = ArrayType(StructType([StructField("page", IntegerType()), StructField("st
 
 
 def cut_pages(text: str | None, most: int = 3500) -> list[tuple[int, int, str]]:
-    """Pages of at most ``most`` code points; a page ends at the last white space in its last quarter, if there is one."""
+    """Pages of at most ``most`` code points; a page ends behind the last newline, space or tab in its last quarter, if there is one."""
     out, at, t = [], 0, text or ""
+    if len(t) <= most:
+        return [(0, 0, t)]
     while at < len(t):
         end = min(len(t), at + most)
         if end < len(t):
-            for k in range(end, end - most // 4, -1):
-                if t[k - 1].isspace():
-                    end = k
-                    break
+            least = at + most * 3 // 4
+            end = max((t.rfind(c, least, end) for c in "\n \t"), default=-1) + 1 or end
         out.append((len(out), at, t[at:end]))
         at = end
     return out
