@@ -57,7 +57,9 @@ def marked(text: Column) -> Column:
 
 def _tokens(table: DataFrame, key: str) -> DataFrame:
     """id, text_key (a hash of the text), words (marked), plain, template: a hash for each token, as a word and as a template; every row with a key and a token."""
-    rows = table.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("id"), F.xxhash64("text").alias("text_key"), marked(F.col("text")).alias("t")).where("t <> ''")
+    # said of the text and not of its tokens, or marked() would be computed once more to filter by
+    some = F.col(key).isNotNull() & F.col("text").rlike(f"[\\p{{L}}\\p{{N}}{NUM}{NAME}{UNIT}]")
+    rows = table.where(some).select(F.col(key).alias("id"), F.xxhash64("text").alias("text_key"), marked(F.col("text")).alias("t"))
     words = rows.select("id", "text_key", F.split("t", " ").alias("words"), F.split(_plain(F.col("t")), " ").alias("w"))
     template = F.zip_with("words", "w", lambda m, w: F.when(F.length(m) > F.length(w), F.ascii(m).cast("long")).otherwise(F.xxhash64(w)))
     return words.select("id", "text_key", "words", F.transform("w", lambda w: F.xxhash64(w)).alias("plain"), template.alias("template"))
