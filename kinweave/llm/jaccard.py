@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.components import components
+from kinweave.operators.components import components
 from kinweave.llm.sieve import bloom, passes
 from kinweave.shared import discard, written
 
 SLICE = 1 << 16
+#: Hashes in an outgoing batch.
+FLUSH = 1 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -209,22 +211,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         sieve = shared.value
         for batch in batches:
             part = batch.filter(pa.array(passes(sieve, batch.column("h").to_numpy())))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), n)], pa.binary())], ["doc_id", "s"])
+            found, first, size = [], 0, 0
+            for k, s in enumerate(shingle_sets(part.column("text").to_pylist(), n), 1):
+                found.append(s)
+                size += len(s)
+                if size > FLUSH or k == part.num_rows:
+                    stops = np.cumsum([0, *map(len, found)])
+                    lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, len(found)), lists], ["doc_id", "s"])
+                    found, first, size = [], k, 0
 
     hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
-    made = written(hashed.mapInArrow(sets, f"doc_id {kind}, s binary"), "sets")
-
-    def overlap(batches):
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
+    made = written(hashed.mapInArrow(sets, f"doc_id {kind}, s array<long>"), "sets")
+    # sets meet row by row in the JVM: two long ones are all that a task holds
     both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    links = written(both.mapInPandas(overlap, f"a {kind}, b {kind}"), "links")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = written(both.withColumn("c", common).where(100 * F.col("c") >= percent * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b"), "links")
     discard(pairs, made)
     return links
 

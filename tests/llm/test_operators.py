@@ -10,7 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kinweave.llm import components, decontam, host_rules, jaccard, nbest, pieces, pii, quality, sharding, substrings, token_counts, warc
+from kinweave.llm import decontam, host_rules, jaccard, nbest, pieces, pii, quality, sharding, substrings, token_counts, warc
+from kinweave.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
