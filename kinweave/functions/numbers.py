@@ -33,7 +33,3 @@ def cosine(a: Column, b: Column) -> Column:
 
 def backoff_seconds(attempts: Column) -> Column:
     return F.pow(F.lit(2.0), F.least(attempts, F.lit(10)))
-
-
-def years_between(a: Column, b: Column, year: float = 365.2425) -> Column:
-    return F.datediff(b, a) / year

@@ -82,53 +82,3 @@ def edit_or_token_similarity(a: Column, b: Column) -> Column:
     edit = 1 - F.levenshtein(a, b) / longest
     tokens = set_similarity(F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " ")))
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(edit, tokens))
-
-
-def char_error_rate(got: Column, gold: Column) -> Column:
-    return F.levenshtein(got, gold) / F.length(gold)
-
-
-def hash_embed(text: pd.Series) -> pd.Series:
-    """A fixed 64-number vector of each text: every word adds 1 to its bucket, every character a quarter; unit length."""
-    import hashlib
-
-    def one(t: str | None) -> list[float]:
-        v = [0.0] * 64
-        for w in (t or "").lower().split():
-            v[hashlib.sha256(w.encode()).digest()[0] % 64] += 1.0
-        for k, c in enumerate(t or ""):
-            v[hashlib.sha256(bytes([ord(c) & 255, k % 251])).digest()[0] % 64] += 0.25
-        n = sum(x * x for x in v) ** 0.5
-        return [x / n for x in v] if n else v
-
-    return text.map(one)
-
-
-def best_extent(query: set[str], ordered: list[str]) -> float:
-    """Greatest similarity of the query's trigram set with any run of the text's ordered trigrams."""
-    best = 0.0
-    places = [k for k, g in enumerate(ordered) if g in query]
-    for x, lo in enumerate(places):
-        seen: set[str] = set()
-        hit = 0
-        at = lo
-        for hi in places[x:]:
-            while at <= hi:
-                g = ordered[at]
-                if g not in seen:
-                    seen.add(g)
-                    hit += g in query
-                at += 1
-            best = max(best, hit / (len(query) + len(seen) - hit))
-    return best
-
-
-@F.pandas_udf(DoubleType())
-def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    """How well the query matches the best stretch of the text."""
-    import re
-
-    def grams(t: str) -> list[str]:
-        return [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", t.lower()) for i in range(len(w) + 1)]
-
-    return pd.Series([best_extent(set(grams(q or "")), grams(t or "")) if q and t else 0.0 for q, t in zip(query, text, strict=True)])

@@ -6,33 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row for each key: the first in order (DISTINCT ON)."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def either_join(left: DataFrame, right: DataFrame, left_keys: tuple[str, str], right_key: str) -> DataFrame:
     """Rows of left whose one or other key meets right: a union of two equi-joins, each row once."""
     found = [left.join(right.withColumnRenamed(right_key, k), k, "left_semi").select(left.columns) for k in left_keys]
     return found[0].union(found[1]).distinct()
 
 
-def upper_median(column: str) -> Column:
-    x = F.sort_array(F.collect_list(column))
-    return F.element_at(x, (F.size(x) / 2).cast("int") + 1)
-
-
-def nearest_rank(column: str, p: float) -> Column:
-    x = F.sort_array(F.collect_list(column))
-    return F.element_at(x, F.round((F.size(x) - 1) * p).cast("int") + 1)
-
-
-def visible_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Claims with public evidence and no private evidence. evidence: claim_id, visibility."""
-    seen = evidence.groupBy("claim_id").agg(F.bool_or(F.col("visibility") == "public").alias("open"), F.bool_or(F.col("visibility") == "private").alias("closed"))
-    return claims.join(seen.where("open AND NOT closed").select("claim_id"), "claim_id", "left_semi")
-
-
 def interval(parent_from: str, parent_to: str, child_from: str, child_to: str, year: float = 365.2425) -> tuple[Column, Column, Column]:
     """Lower, upper and middle age in years at the child's birth."""
     lower = F.greatest(F.lit(0.0), F.datediff(child_from, parent_to) / year)

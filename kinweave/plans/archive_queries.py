@@ -6,7 +6,8 @@ a row. Sums and ranks end in an id, so that every order is total.
 
 from __future__ import annotations
 
-from kinweave.sources.archive import Dialect, archived
+from kinweave.plans.registry import archived
+from kinweave.sources.archive import Dialect
 
 ACTOR = 7
 TERM = "red widget"

@@ -11,9 +11,9 @@ from kinweave.functions import text as T
 from kinweave.operators import evaluation, graph, matching, resolution
 from kinweave.operators.components import components
 from kinweave.operators.ranking import global_rank
-from kinweave.plans.registry import query
+from kinweave.plans.registry import archived, query
 from kinweave.shared import table
-from kinweave.sources.archive import ORACLE, Dialect, _text, archived, run
+from kinweave.sources.archive import Dialect, ORACLE, run, statement
 
 #: Facts about people: each a select of person_id and value. Parents come from claims (the subject of father_of is the child) and published edges.
 PARENTS = "(SELECT subject_id AS child, object_id AS parent FROM claims WHERE predicate = 'father_of' AND status = 'supported' UNION SELECT object_id, subject_id FROM claims WHERE predicate = 'parent_of' AND status = 'supported' UNION SELECT e.child_id, e.parent_id FROM edges e JOIN versions v ON v.version_id = e.version_id WHERE v.state = 'published' AND e.predicate = 'parent_of')"
@@ -55,18 +55,18 @@ PAIRS_SQL = f""", m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 pr AS (SELECT a, b FROM (SELECT DISTINCT x.person_id AS a, y.person_id AS b FROM m x JOIN m y USING (kind, key) WHERE x.person_id < y.person_id) ORDER BY a || '|' || b LIMIT {resolution.MOST_PAIRS})"""
 
 
-@query("er_snapshot", _text(snapshot_sql() + " SELECT person_id, normalized, gender, " + ", ".join(f"array_to_string({k}, ',') AS {k}" for k in FACTS) + " FROM snap"))
+@query("er_snapshot", statement(snapshot_sql() + " SELECT person_id, normalized, gender, " + ", ".join(f"array_to_string({k}, ',') AS {k}" for k in FACTS) + " FROM snap"))
 def er_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person in one row: names, kin by five relations, places, accepted sources, trees and branches."""
     return snapshot(spark, sf_dir).select("person_id", "normalized", "gender", *[F.array_join(k, ",").alias(k) for k in FACTS])
 
 
-@query("er_blocks", _text(snapshot_sql() + blocks_sql() + " SELECT kind, key, count(*) AS members FROM blk GROUP BY kind, key"))
+@query("er_blocks", statement(snapshot_sql() + blocks_sql() + " SELECT kind, key, count(*) AS members FROM blk GROUP BY kind, key"))
 def er_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.blocks(snapshot(spark, sf_dir)).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members"))
 
 
-@query("er_pairs_capped", _text(snapshot_sql() + blocks_sql() + PAIRS_SQL + " SELECT a, b FROM pr"))
+@query("er_pairs_capped", statement(snapshot_sql() + blocks_sql() + PAIRS_SQL + " SELECT a, b FROM pr"))
 def er_pairs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.pairs(resolution.blocks(snapshot(spark, sf_dir)))
 
@@ -92,7 +92,7 @@ def score_sql() -> str:
     SELECT a, b, {', '.join(f'round({k}, 6) AS {k}' for k in resolution.WEIGHTS)}, score, CASE WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.55 THEN 'possible' ELSE 'likely_different' END AS class, conflict FROM f"""
 
 
-@query("er_scores_classified", _text(snapshot_sql() + blocks_sql() + PAIRS_SQL + score_sql()))
+@query("er_scores_classified", statement(snapshot_sql() + blocks_sql() + PAIRS_SQL + score_sql()))
 def er_scores_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six scores, shared out over those that are there; hard conflicts hold the total down."""
     snap = snapshot(spark, sf_dir)
@@ -133,7 +133,7 @@ KIN_SQL = "kin AS (SELECT e.edge_id, e.status, e.child_id AS a, e.parent_id AS b
 
 
 def recursive(body: str) -> str:
-    return _text(body).replace("WITH ", "WITH RECURSIVE ", 1)
+    return statement(body).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("ancestor_frontier_report", recursive(f""", {KIN_SQL}, r AS (SELECT CAST(147 AS BIGINT) AS id, 0 AS depth UNION SELECT kin.b, r.depth + 1 FROM r JOIN kin ON kin.a = r.id WHERE r.depth < 4), n AS (SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id),
@@ -351,6 +351,20 @@ def digest_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", hashes.digest_embedding(F.trim(F.lower("text")), 16).alias("vector"))
 
 
+@archived
+def hash_embedding(d: Dialect) -> str:
+    """Sixty-four numbers for a text: each word adds 1 to the bucket of its digest, each character a quarter to that of its low byte and place; unit length."""
+    first = lambda digest: d.pick(f"CAST(conv(substr({digest}, 1, 2), 16, 10) AS INT) % 64", f"CAST(('0x' || substr({digest}, 1, 2)) AS INT) % 64")
+    norm = f"trim({replaced(d, f'translate({replaced(d, chr(108) + 'ower(text)', chr(91) + chr(92) + 'p{Mn}ـ]', '')}, {chr(39)}أإآٱىة{chr(39)}, {chr(39)}اااايه{chr(39)})', '[' + chr(92) + 'p{P}' + chr(92) + 's]+', ' ')})"
+    raw = d.pick("unhex(lpad(hex(ascii(substr(n, i, 1)) & 255), 2, '0') || lpad(hex(octet_length(substr(n, 1, i - 1)) % 251), 2, '0'))", "unhex(lpad(hex(unicode(substr(n, i, 1)) & 255), 2, '0') || lpad(hex(strlen(substr(n, 1, i - 1)) % 251), 2, '0'))")
+    words = d.pick(f"transform(filter(split(n, ' '), w -> w <> ''), w -> {first('sha2(w, 256)')})", f"list_transform(list_filter(string_split(n, ' '), lambda w: w <> ''), lambda w: {first('sha256(w)')})")
+    chars = d.pick(f"transform(sequence(1, length(n)), i -> {first(f'sha2({raw}, 256)')})", f"list_transform(range(1, length(n) + 1), lambda i: {first(f'sha256({raw})')})")
+    count = d.pick("transform(sequence(0, 63), k -> size(filter(ws, x -> x = k)) + 0.25e0 * size(filter(cs, x -> x = k)))", "list_transform(range(64), lambda k: len(list_filter(ws, lambda x: x = k)) + 0.25e0 * len(list_filter(cs, lambda x: x = k)))")
+    length = d.pick("sqrt(aggregate(v, 0.0e0, (s, x) -> s + x * x))", "sqrt(list_sum(list_transform(v, lambda x: x * x)))")
+    unit = d.pick("transform(v, x -> round(x / l, 6))", "list_transform(v, lambda x: round(x / l, 6))")
+    return f""", t AS (SELECT item_id, {norm} AS n FROM benchmark), b AS (SELECT item_id, {words} AS ws, {chars} AS cs FROM t WHERE n <> ''), v AS (SELECT item_id, {count} AS v FROM b), u AS (SELECT item_id, v, {length} AS l FROM v) SELECT item_id, {unit} AS embedding FROM u"""
+
+
 # evaluation
 
 

@@ -48,13 +48,6 @@ def tree_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("tree").agg(F.max(F.struct("version_id", "edges", "unresolved")).alias("x")).select("tree", F.col("x.version_id").alias("latest"), "x.edges", "x.unresolved")
 
 
-@query("dictionary_index", """SELECT kind, name, count(*) AS uses FROM (SELECT 'person' AS kind, p_name AS name FROM part UNION ALL SELECT 'family', p_brand FROM part UNION ALL SELECT 'branch', p_type FROM part UNION ALL SELECT 'tribe', c_mktsegment FROM customer) GROUP BY ALL""")
-def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("person", "p_name"), ("family", "p_brand"), ("branch", "p_type"))])
-    names = table(spark, sf_dir, "part").select(F.explode(kinds).alias("x")).select("x.kind", "x.name").union(table(spark, sf_dir, "customer").select(F.lit("tribe").alias("kind"), F.col("c_mktsegment").alias("name")))
-    return names.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("uses"))
-
-
 @query("place_detail_union", with_relations(" SELECT place_id, person_id FROM visits WHERE kind = 'signup' UNION SELECT c.subject_id % 100, c.object_id FROM claims c WHERE c.predicate = 'R'", "visits", "claims"))
 def place_detail_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = relation(spark, sf_dir, "visits").where("kind = 'signup'").select(F.col("place_id").cast("long").alias("place_id"), F.col("person_id").cast("long").alias("person_id"))

@@ -62,15 +62,6 @@ def child_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(kids, "c_custkey", "left").groupBy(F.coalesce("k", F.lit(0)).alias("children")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query("spelling_lexicon", with_relations(""", s AS (SELECT name, split_part(name, ' ', 1) AS key, count(*) AS n FROM people GROUP BY ALL)
-SELECT key, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS uses, max_by(name, n * 1000 - ascii(split_part(name, ' ', 2))) AS commonest, CAST(sum(sum(n)) OVER () AS BIGINT) AS total FROM s GROUP BY key""", "people"))
-def spelling_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spelling counts, grouped by key, with a grand total."""
-    s = relation(spark, sf_dir, "people").groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.substring_index("name", " ", 1))
-    g = s.groupBy("key").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("uses"), F.max_by("name", F.col("n") * 1000 - F.ascii(F.split_part("name", F.lit(" "), F.lit(2)))).alias("commonest"))
-    return g.withColumn("total", g.agg(F.sum("uses")).scalar())
-
-
 @query("dependency_summary", with_relations(""" SELECT from_id, count(*) AS total, count(*) FILTER (WHERE status = 'needs_review') AS needs_review, count(*) FILTER (WHERE status = 'confirmed') AS confirmed, count(*) FILTER (WHERE status = 'rejected') AS rejected FROM flows GROUP BY from_id""", "flows"))
 def dependency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["needs_review", "confirmed", "rejected"]
@@ -198,34 +189,6 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(relation(spark, sf_dir, "sources"), "source_id").select("claim_id", "visibility")
 
 
-@query("visible_claims", with_relations(EVIDENCE + """ SELECT claim_id, subject_id, object_id FROM claims WHERE claim_id IN (SELECT claim_id FROM evidence GROUP BY claim_id HAVING bool_or(visibility = 'public') AND NOT bool_or(visibility = 'private'))""", "claims", "sources"))
-def visible_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.visible_claims(relation(spark, sf_dir, "claims").select("claim_id", "subject_id", "object_id"), evidence(spark, sf_dir))
-
-
-@query("visible_people", with_relations(""" SELECT person_id, name FROM people WHERE tree_visibility = 'public' OR tree_id = 7 OR owner_id = 3""", "people"))
-def visible_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In a public tree, or a tree the reader works on, or made by the reader: ids once, then a semi-join."""
-    p = relation(spark, sf_dir, "people")
-    ids = p.where("tree_visibility = 'public'").select("person_id").union(p.where("tree_id = 7").select("person_id")).union(p.where("owner_id = 3").select("person_id")).distinct()
-    return p.select("person_id", "name").join(ids, "person_id", "left_semi")
-
-
-@query("access_classify", with_relations(""" SELECT d.x AS source_id, CASE WHEN s.source_id IS NULL THEN 'missing' WHEN visibility = 'public' THEN 'public' WHEN owner_id = 1 THEN 'owner' ELSE 'hidden' END AS access FROM (SELECT 'src' || unnest(range(0, 30)) AS x) d LEFT JOIN sources s ON s.source_id = d.x""", "sources"))
-def access_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first grant that holds for each asked id."""
-    asked = spark.range(30).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source_id"))
-    s = relation(spark, sf_dir, "sources")
-    return asked.join(s, "source_id", "left").select("source_id", F.when(F.col("visibility").isNull(), "missing").when(F.col("visibility") == "public", "public").when(F.col("owner_id") == 1, "owner").otherwise("hidden").alias("access"))
-
-
-@query("visible_questions", with_relations(""" SELECT DISTINCT conv_id FROM questions WHERE EXISTS (SELECT 1 FROM passages p JOIN sources s USING (source_id) WHERE p.passage_id = conv_id AND s.visibility = 'public') OR owner_id = 1""", "passages", "sources", "questions"))
-def visible_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = relation(spark, sf_dir, "passages").join(relation(spark, sf_dir, "sources").where("visibility = 'public'"), "source_id", "left_semi").select(F.col("passage_id").alias("conv_id"))
-    c = relation(spark, sf_dir, "questions")
-    return c.select("conv_id").join(linked, "conv_id", "left_semi").union(c.where("owner_id = 1").select("conv_id")).distinct()
-
-
 LADDER = "CASE WHEN returnflag = 'A' THEN 'identity_unreviewed' WHEN line > 5 THEN 'claim_unsupported' WHEN linestatus = 'O' AND line > 3 THEN 'evidence_missing' WHEN parent_from > parent_to OR child_from > child_to THEN 'dates_invalid' WHEN child_to < parent_from THEN 'chronology_invalid' ELSE 'qualified' END"
 AGES = f", q AS (SELECT *, {LADDER} AS reason FROM intervals), a AS (SELECT edge_id, band, lower, upper, (lower + upper) / 2 AS mid FROM (SELECT edge_id, band, greatest(0.0, (child_from - parent_to) / 365.2425) AS lower, (child_to - parent_from) / 365.2425 AS upper FROM q WHERE reason = 'qualified')), r AS (SELECT band, count(*) AS n, quantile_cont(mid, 0.25) AS q1, quantile_cont(mid, 0.5) AS median, quantile_cont(mid, 0.75) AS q3 FROM a GROUP BY band HAVING count(*) >= 20)"
 

@@ -92,27 +92,6 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 LADDER_SQL = "CASE WHEN name = 'red widget' THEN 100 WHEN replace(name, ' ', '') = 'redwidget' THEN 96 WHEN starts_with(name, 'red widget') THEN 92 WHEN starts_with(name, 'red') THEN 85 WHEN contains(name, 'red') THEN 72 - least(20, len(name) - 3) WHEN levenshtein(name, 'red widget') <= 2 THEN 66 - 8 * levenshtein(name, 'red widget') ELSE 0 END"
 
 
-@query("name_match_ladder", with_relations(f" SELECT DISTINCT name, CAST({LADDER_SQL} AS INT) AS score FROM people WHERE {LADDER_SQL} > 0", "people"))
-def name_match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rung that holds gives the score."""
-    c, d = F.col("name"), F.levenshtein(F.col("name"), F.lit("red widget"))
-    score = (
-        F.when(c == "red widget", 100).when(F.replace(c, F.lit(" "), F.lit("")) == "redwidget", 96).when(c.startswith("red widget"), 92)
-        .when(c.startswith("red"), 85).when(c.contains("red"), 72 - F.least(F.lit(20), F.length(c) - 3)).when(d <= 2, 66 - 8 * d).otherwise(0)
-    )
-    return distinct_names(spark, sf_dir).select("name", score.cast("int").alias("score")).where("score > 0")
-
-
-@query("claim_sentence_extract", with_relations(r""", s AS (SELECT passage_id, trim(x) AS sentence FROM (SELECT passage_id, unnest(regexp_split_to_array(body, '[.!?\n]+')) AS x FROM passages))
-SELECT passage_id, sentence, trim(substr(sentence, 1, instr(sentence, ' of ') - 1)) AS subject, trim(substr(sentence, instr(sentence, ' of ') + 4)) AS object FROM s WHERE contains(sentence, ' of ')""", "passages"))
-def claim_sentence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with the relation term, split at its first place."""
-    s = relation(spark, sf_dir, "passages").select("passage_id", F.explode(F.split("body", "[.!?\n]+")).alias("x")).select("passage_id", F.btrim("x").alias("sentence"))
-    s = s.where(F.col("sentence").contains(" of "))
-    at = F.instr("sentence", " of ")
-    return s.select("passage_id", "sentence", F.trim(F.substring(F.col("sentence"), F.lit(1), at - 1)).alias("subject"), F.trim(F.substring(F.col("sentence"), at + 4, F.length("sentence"))).alias("object"))
-
-
 ROUTES = (("deep", "comparison", ("that", "than", "against")), ("deep", "path", ("from", "between", "von")), ("standard", "lookup", ("the", "der", "la")), ("light", "greeting", ("hello", "thanks")))
 
 
@@ -168,22 +147,6 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("father").agg(edits.cast("long").alias("edits"), chars.cast("long").alias("gold_chars"), F.round(edits / chars, 6).alias("cer"))
 
 
-@query("place_mentions", with_relations(""", d AS (SELECT DISTINCT split_part(name, ' ', 2) AS place FROM people), u AS (SELECT passage_id, lower(body) AS b FROM passages)
-SELECT passage_id, place FROM u JOIN (SELECT * FROM (VALUES ('thea'), ('tion'), ('ment'), ('schaft'))) AS p(place) ON contains(b, ' ' || place || ' ')""", "people", "passages"))
-def place_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed dictionary of four place names against every passage; the dictionary is exploded in the row, not joined."""
-    names = [F.lit(x) for x in ("thea", "tion", "ment", "schaft")]
-    body = relation(spark, sf_dir, "passages").select("passage_id", F.lower("body").alias("b"))
-    hit = body.select("passage_id", F.filter(F.array(*names), lambda x: F.contains(F.col("b"), F.concat(F.lit(" "), x, F.lit(" ")))).alias("hits"))
-    return hit.select("passage_id", F.explode("hits").alias("place"))
-
-
-@query("hash_embedding")
-def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed hash vector of each benchmark text."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.pandas_udf(T.hash_embed, "array<double>")("text").alias("embedding"))
-
-
 @query("page_windows", """
 WITH d AS (SELECT doc_id, text, len(text) AS n FROM documents)
 SELECT doc_id, CAST(i // 3500 AS INT) AS page, CAST(i AS INT) AS start, CAST(least(i + 3500, n) AS INT) AS stop, sha256(substr(text, i + 1, 3500)) AS digest FROM (SELECT *, unnest(range(0, greatest(n, 1), 3500)) AS i FROM d)""")

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.plans.registry import query
 from kinweave.shared import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -128,7 +126,7 @@ def _needed(body: str) -> list[str]:
     return [n for n in RELATIONS if re.search(rf"\b{n}\b", body)]
 
 
-def _text(body: str) -> str:
+def statement(body: str) -> str:
     """The body behind the relations it names; a body that begins with a comma brings expressions of its own."""
     parts = ", ".join(f"{n} AS ({RELATIONS[n]})" for n in _needed(body))
     return f"WITH {parts}{body}" if parts else f"WITH {body[2:]}" if body.startswith(", ") else body
@@ -140,7 +138,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     """Plan ``body`` over the archive. Tables are views under names of their own for as long as planning takes."""
-    text, own = _text(body), uuid.uuid4().hex[:12]
+    text, own = statement(body), uuid.uuid4().hex[:12]
     tables = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)]
     for t in tables:
         table(spark, sf_dir, t).createOrReplaceTempView(f"{t}_{own}")
@@ -149,18 +147,3 @@ def run(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     finally:
         for t in tables:
             spark.catalog.dropTempView(f"{t}_{own}")
-
-
-def archive_query(name: str, body: Callable[[Dialect], str], oracle: bool = True):
-    """Register a query said in SQL over the archive; the oracle is the same statement in the other dialect."""
-
-    def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(spark, sf_dir, body(HERE))
-
-    planned.__name__, planned.__doc__ = name, body.__doc__
-    return query(name, _text(body(ORACLE)) if oracle else None)(planned)
-
-
-def archived(f: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
-    archive_query(f.__name__, f)
-    return f

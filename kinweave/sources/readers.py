@@ -57,9 +57,3 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     new = written(new.select(df.columns), "new_rows")  # what is new is settled before the table changes
     new.write.mode("append").parquet(path)
     return new.count()
-
-
-def metrics_text(df: DataFrame, name: str) -> DataFrame:
-    """Cumulative bucket rows (label, le, n) as exposition lines."""
-    return df.select(F.format_string(f'{name}_bucket{{kind="%s",le="%s"}} %d', F.col("label"), F.col("le").cast("string"), F.col("n")).alias("value"))
-

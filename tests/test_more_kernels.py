@@ -1,11 +1,23 @@
 """Readers, sinks, the stream, and kernels with an order of decisions."""
 
+import hashlib
 import json
+import math
+import random
+import re
+import unicodedata
 
+import numpy as np
 import pandas as pd
 import pytest
-
-from kinweave.operators import matching
+from pyspark.sql import functions as F
+
+import kinweave.plans  # noqa: F401
+from kinweave.functions import hashes
+from kinweave.operators import evaluation, geo, graph, indexes, matching, resolution
+from kinweave.operators.ranking import global_rank
+from kinweave.operators.setjoin import similar_sets
+from kinweave.plans import registry
 from kinweave.sources import readers
 from kinweave.streaming import activity
 
@@ -15,7 +27,7 @@ def test_pages_back_off_to_white_space():
     pages = readers.cut_pages(text, 22)
     assert "".join(p[2] for p in pages) == text and all(len(p[2]) <= 22 for p in pages)
     assert all(p[2].endswith(" ") for p in pages)
-    assert readers.cut_pages(None) == [] and [len(p[2]) for p in readers.cut_pages("x" * 50, 20)] == [20, 20, 10]
+    assert readers.cut_pages(None) == [(0, 0, "")] and [p[2] for p in readers.cut_pages("aaa\u00a0bbb\tccc", 8)] == ["aaa\u00a0bbb\t", "ccc"] and [len(p[2]) for p in readers.cut_pages("x" * 50, 20)] == [20, 20, 10]
 
 
 def test_jsonl_and_ocr(spark, tmp_path):
@@ -55,6 +67,134 @@ def test_shapes():
     assert matching.polygon_overlap(box(0), box(0)) == 1 and matching.polygon_overlap(box(0), box(1)) == pytest.approx(1 / 3, abs=0.03)
 
 
+def test_frechet_and_match():
+    line = np.array([(0.1, 0.1), (0.5, 0.2), (0.9, 0.1)])
+    assert matching.frechet(line, line) == 0 and matching.paths_match(line, line[::-1]) and not matching.paths_match(line, line + 0.1)
+    assert matching.frechet(line, line + [0.0, 0.02]) == pytest.approx(0.02) and not matching.paths_match(line[:1], line)
+    assert matching.polygon_overlap(np.array([(0, 0), (0, 1), (0, 2)]), np.array([(0, 0), (0, 1), (0, 2)])) == 0
+
+
+def test_merge_labels():
+    b = pd.DataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 1, 0, 10, 10), (1, 3, 0, 1, 10, 10), (1, 4, 50, 50, 5, 5), (1, 5, 50, 50, 3, 3)], columns=["page", "id", "x", "y", "w", "h"])
+    assert matching.merge_labels(b)[["id", "occurrences"]].to_numpy().tolist() == [[1, 3], [4, 2]]
+
+
+def test_keep_best():
+    from kinweave.plans.analysis_queries import keep_best
+
+    b = pd.DataFrame([(1, 1, 0, 0, 10, 10, 0.5), (1, 2, 1, 0, 10, 10, 0.9), (1, 3, 30, 0, 10, 10, 0.1)], columns=["page", "id", "x", "y", "w", "h", "score"])
+    assert keep_best(b)["id"].tolist() == [2, 3]
+
+
+def test_loops_of_any_length():
+    e = pd.DataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (5, 1), (7, 8), (8, 7), (9, 10)], columns=["a", "b"])
+    assert graph.loops(e) == [(1, 2, 3, 4, 5), (7, 8)]
+
+
+def test_cyclic_core(spark):
+    e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 3, 4), (1, 4, 5), (2, 1, 2), (2, 2, 2), (1, 0, 1)], "g long, a long, b long")
+    assert sorted((r["g"], r["a"], r["b"]) for r in graph.cyclic_core(e, "g").collect()) == [(1, 1, 2), (1, 2, 3), (1, 3, 1)]
+
+
+def test_budget_of_the_frontier(spark):
+    steps = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(i, 10 * i + j) for i in range(1, 6) for j in range(4)], "a long, b long")
+    root = spark.createDataFrame([(0,)], "id long")
+    got = graph.bounded_bfs(steps, root, 2, cap=9, budget=True).collect()
+    assert sorted(r["id"] for r in got) == [0, 1, 2, 3, 4, 5, 10, 11, 12] and got[0]["truncated"]
+
+
+def test_bootstrap_draws_are_the_generators():
+    state, want = evaluation.SEED, []
+    for _ in range(1000):
+        state = (state * evaluation.MULTIPLIER + evaluation.INCREMENT) % evaluation.WORD
+        want.append(state)
+    assert [int(x) for block in evaluation.draws(evaluation.SEED, 1000, 64) for x in block] == want
+    assert evaluation.jumped(evaluation.SEED, 137) == want[136]
+
+
+def test_document_bootstrap(spark):
+    rows = [(f"d{i}", i % 4, 4) for i in range(9)]
+    got = evaluation.document_bootstrap(spark.createDataFrame(rows, "document string, correct long, total long"), 50, 17).first()
+    rng, ratios = random.Random(17), []
+    for _ in range(50):
+        picks = [rows[rng.randrange(9)] for _ in rows]
+        ratios.append(sum(p[1] for p in picks) / sum(p[2] for p in picks))
+    ratios.sort()
+    assert (got["low"], got["high"]) == (ratios[int(0.025 * 49)], ratios[int(0.975 * 49)]) and got["ratio"] == sum(r[1] for r in rows) / 36
+
+
+def test_digest_vectors(spark):
+    got = spark.createDataFrame([("abc",)], "t string").select(hashes.digest_embedding(F.col("t"), 70).alias("v")).first()["v"]
+    digest = hashlib.sha512(b"abc").digest()
+    assert got == [pytest.approx(round((digest[i % 64] + digest[(i * 7 + 13) % 64]) / 255 - 1, 6)) for i in range(70)]
+
+
+def test_hash_embedding(spark, sf_dir):
+    row = registry.QUERIES["hash_embedding"](spark, sf_dir).orderBy("item_id").first()
+    text = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    plain = "".join(c for c in text.lower() if not unicodedata.category(c) == "Mn")
+    plain = re.sub(r"[\s]+", " ", "".join(" " if unicodedata.category(c).startswith("P") else c for c in plain)).strip()
+    v = [0.0] * 64
+    for w in plain.split():
+        v[hashlib.sha256(w.encode()).digest()[0] % 64] += 1
+    for k, c in enumerate(plain):
+        v[hashlib.sha256(bytes([ord(c) & 255, len(plain[:k].encode()) % 251])).digest()[0] % 64] += 0.25
+    n = sum(x * x for x in v) ** 0.5
+    assert row["embedding"] == pytest.approx([x / n for x in v], abs=1e-6)
+
+
+def test_similar_sets_loses_none(spark):
+    rng = random.Random(4)
+    sets = {k: sorted(rng.sample(range(30), rng.randrange(0, 12))) for k in range(80)}
+    got = {(r["a"], r["b"]) for r in similar_sets(spark.createDataFrame(list(sets.items()), "k long, t array<long>"), "k", "t", 0.5).collect()}
+    jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0
+    assert got == {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.5}
+
+
+def test_global_rank(spark):
+    df = spark.range(500).select(F.col("id"), (F.col("id") * 7 % 10).alias("k"))
+    got = {r["id"]: r["place"] for r in global_rank(df, "k", F.desc("id")).collect()}
+    assert got == {i: n for n, (i) in enumerate(sorted(range(500), key=lambda i: (i * 7 % 10, -i)), 1)}
+    assert global_rank(df.limit(0), "k").count() == 0
+
+
+def test_points_within(spark):
+    rng = random.Random(6)
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)] + [(200, 10.0, 179.9), (201, 10.0, -179.9), (202, 89.9, 0.0), (203, 89.9, 180.0)]
+
+    def km(p, q):
+        a, b = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(h)))
+
+    got = {(r["a"], r["b"]) for r in geo.within(spark.createDataFrame(points, "k long, lat double, lon double"), "k", 900.0).collect()}
+    assert got == {(p[0], q[0]) for p in points for q in points if p[0] < q[0] and km(p, q) <= 900}
+
+
+def test_box_is_refused():
+    with pytest.raises(ValueError):
+        indexes.in_box(None, 10, 0, -10, 5)
+
+
+def test_entity_scores(spark):
+    people = [(1, "ali", "", 0, 100, None, None), (2, "ali", "", 0, 100, None, None), (3, "omar", "male", 90000, 90100, None, None), (4, "ali", "female", None, None, 10, None), (5, "ali", "male", None, None, None, 20)]
+    p = spark.createDataFrame(people, "person_id long, normalized string, gender string, birth_from long, birth_to long, death_from long, death_to long")
+    fact = lambda rows: spark.createDataFrame(rows, "person_id long, value string")
+    facts = {k: fact([]) for k in resolution.SETS}
+    facts["fathers"] = fact([(1, "a"), (2, "b"), (4, "a"), (5, "a")])
+    snap = resolution.snapshot(p, **facts)
+    assert snap.count() == 5
+    got = {(r["a"], r["b"]): r for r in resolution.scored(spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "a long, b long"), snap).collect()}
+    # names and births agree, fathers do not: (.3 + .1) / .65, a conflict, but below the cap
+    assert got[1, 2]["score"] == pytest.approx(0.4 / 0.65, abs=1e-6) and got[1, 2]["conflict"] and got[1, 2]["class"] == "possible"
+    assert got[1, 3]["relationship"] is None and got[1, 3]["chronology"] == 0 and got[1, 3]["class"] == "likely_different"
+    # all agrees but the gender: held down
+    assert got[4, 5]["chronology"] == 0.0 or got[4, 5]["chronology"] > 0.99
+    assert got[4, 5]["score"] == 0.49 and got[4, 5]["class"] == "likely_different"
+    keys = {(r["kind"], r["key"]) for r in resolution.blocks(snap.where("person_id = 3")).collect()}
+    assert keys == {("name", "omar"), ("date", "birth:240")}
+
+
 def test_name_spans():
     text = "جاء محمد بن سعيد إلى ابن بن علي"
     assert [text[a:b] for a, b in matching.name_spans(text)] == ["بن سعيد", "بن علي"]

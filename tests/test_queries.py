@@ -19,5 +19,5 @@ def test_query(spark, sf_dir, duck, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["passage_id", "source_id", "score"]
+    assert e.entry(spark).columns == ["passage_id", "source_id", "title", "locator", "score"]
     assert set(e.oracle_sql()) <= set(e.queries())
