@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import components
+from kinweave.llm.batches import slices
 from kinweave.llm.sieve import bloom, passes
 from kinweave.shared import discard, written
 
@@ -78,7 +79,7 @@ def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lo, _mix((run[hi] - run[lo]) * _powers(BACK, len(b) + 1)[lo] + (hi - lo).astype(np.uint64))
 
 
-def shingle_sets(texts: list[str | None], n: int = 5, most: int = 1 << 21):
+def shingle_sets(texts: list[str | None], n: int = 5, most: int = 1 << 19):
     """Of each text the sorted distinct hashes of its n-word shingles, computed for about ``most`` bytes of text at a time."""
     lo = 0
     while lo < len(texts):
@@ -124,7 +125,7 @@ def _summaries(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
         for batch in batches:
             ids = batch.schema.field("doc_id").type
             size, fp, keys = [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), n):
+            for s in (s for rows in slices(batch) for s in shingle_sets(rows.column("text").to_pylist(), n)):
                 size.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(_mix(s[None, :] ^ salts[:, None]).min(axis=1).astype(np.int64).tolist() if len(s) else None)
@@ -170,7 +171,7 @@ def _index_tokens(docs: DataFrame, n: int, percent: int, levels: np.ndarray) ->
         order = shared.value
         for batch in batches:
             size, flat, stops = [], [], [0]
-            for s in shingle_sets(batch.column("text").to_pylist(), n):
+            for s in (s for rows in slices(batch) for s in shingle_sets(rows.column("text").to_pylist(), n)):
                 keep = len(s) - needed(len(s), percent) + 1 if len(s) else 0
                 key = (order[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 flat.append(s[np.argsort(key, kind="stable")[:keep]])
@@ -212,7 +213,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         for batch in batches:
             part = batch.filter(pa.array(passes(sieve, batch.column("h").to_numpy())))
             found, first, size = [], 0, 0
-            for k, s in enumerate(shingle_sets(part.column("text").to_pylist(), n), 1):
+            for k, s in enumerate((s for rows in slices(part) for s in shingle_sets(rows.column("text").to_pylist(), n)), 1):
                 found.append(s)
                 size += len(s)
                 if size > FLUSH or k == part.num_rows:

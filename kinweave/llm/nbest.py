@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import slices
 from kinweave.llm.pieces import PieceTable, grouped, tool
 
 
@@ -133,8 +134,8 @@ class NBest:
                     ids = np.frombuffer(ids, dtype=np.int32)
                     self._add([w], ids, np.array([len(ids)]), np.array([score]), np.array([loss]))
             else:
-                for lo in range(0, len(group), 20_000):
-                    self._solve_short(group[lo : lo + 20_000], n)
+                for lo in range(0, len(group), 8_000):
+                    self._solve_short(group[lo : lo + 8_000], n)
 
     def _solve_short(self, group: list[str], n: int) -> None:
         """All words of the group, none longer than ``n``; positions behind a word's end have no character that a piece holds."""
@@ -371,8 +372,8 @@ def encode_documents(docs: DataFrame, table: PieceTable, n: int = 4, key: str =
     def run(batches):
         solver = tool(NBest, shared.value, n)
         for batch in batches:
-            column, at = batch.column("text"), 0
-            for part in grouped(column.to_pylist(), 2_000_000):
+            for rows in slices(batch):
+                part = rows.column("text").to_pylist()
                 found = list(solver.encode_many(part))
                 ok = [solver.t.decode(x[-1][1].tolist(), solver.parts) == (t or "").encode("utf-8", "replace").decode("utf-8") for t, x in zip(part, found, strict=True)]
                 flat = [ids for x in found for _, ids in x]
@@ -381,8 +382,7 @@ def encode_documents(docs: DataFrame, table: PieceTable, n: int = 4, key: str =
                 digests = pa.array([hashlib.sha256(x).hexdigest() for x in flat], pa.string())
                 scores = pa.array([score for x in found for score, _ in x], pa.float64())
                 made = [_lists(pa.array(sizes, pa.int32()), counts), _lists(scores, counts), _lists(digests, counts), pa.array(ok, pa.bool_()), _lists(_lists(ids, sizes), counts)]
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, len(part)), *made], columns)
-                at += len(part)
+                yield pa.RecordBatch.from_arrays([rows.column(key), *made], columns)
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_pieces array<int>, scores array<double>, ids_sha256 array<string>, decoded_ok boolean, ids array<array<int>>"

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import slices
+
 KINDS = ("email", "ip", "card", "phone")
 #: What the model finds: the base kinds, then its own.
 MODEL_KINDS = (*KINDS, "secret")
@@ -484,7 +486,7 @@ def detect(docs: DataFrame, model: Tagger | None = None, group: int = 500) -> Da
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
-def masked(docs: DataFrame, model: Tagger | None = None, group: int = 500) -> DataFrame:
+def masked(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """docs with every span of ``text`` replaced by its kind, and ``n_chars``, where there is one, counted anew. Null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     schema = docs.schema
@@ -492,13 +494,11 @@ def masked(docs: DataFrame, model: Tagger | None = None, group: int = 500) -> Da
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            out = []
-            for lo in range(0, len(texts), group):
-                part = [t or "" for t in texts[lo : lo + group]]
-                out += [mask(t, b + a) for t, (b, a) in zip(part, find(part, shared.value), strict=True)]
-            field = batch.schema.field(at)
-            yield batch.set_column(at, field, pa.array([None if t is None else x for t, x in zip(texts, out, strict=True)], field.type))
+            for rows in slices(batch):
+                texts = rows.column(at).to_pylist()
+                hidden = [mask(t, b + a) for t, (b, a) in zip((t or "" for t in texts), find([t or "" for t in texts], shared.value), strict=True)]
+                field = rows.schema.field(at)
+                yield rows.set_column(at, field, pa.array([None if t is None else x for t, x in zip(texts, hidden, strict=True)], field.type))
 
     out = docs.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.fieldNames() else out

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import slices
+
 CLASSES, HASHED = 10, 1024
 BINS = 12
 
@@ -173,7 +175,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_lab
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = 3000, group: int = 1000) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = 3000) -> DataFrame:
     """The rows of docs, all columns, that the classifier does not reject. Each row is judged by its own text; nothing is shuffled."""
     voter = fit_voter(docs, labels, max_labelled)
     if voter is None:
@@ -183,8 +185,7 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelle
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, group):
-                part = batch.slice(lo, group)
+            for part in slices(batch):
                 yield part.filter(pa.array(shared.value.scores(part.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
