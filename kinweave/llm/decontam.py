@@ -48,21 +48,39 @@ SLOTS = (1, 2, 3)  # the marks as numbers, which stand for their slots in templa
 
 
 def marked(text: Column) -> Column:
-    """The text's tokens, space by space, slots with their type's mark before the value."""
+    """The text's tokens, space by space, slots with their type's mark before the value; units are not marked yet."""
     for pattern, (a, mark, b) in MARKS:
         text = F.regexp_replace(text, pattern, f"${a}{mark}${b}")
-    text = F.trim(F.lower(F.regexp_replace(text, STRIP, " ")))
-    return F.regexp_replace(text, UNIT_AFTER, f"$1{UNIT}$2")
+    return F.trim(F.lower(F.regexp_replace(text, STRIP, " ")))
 
 
-def _tokens(table: DataFrame, key: str) -> DataFrame:
-    """id, text_key (a hash of the text), words (marked), plain, template: a hash for each token, as a word and as a template; every row with a key and a token."""
+def with_units(tokens: Column) -> Column:
+    """marked() with units; texts without a number are left as they are."""
+    return F.when(F.contains(tokens, F.lit(NUM)), F.regexp_replace(tokens, UNIT_AFTER, f"$1{UNIT}$2")).otherwise(tokens)
+
+
+def _tokens(table: DataFrame, key: str, window: int) -> DataFrame:
+    """id, text_key (a hash of the text), words (marked), plain, template: a hash for each token, as a word and as a template; grams: of each template window. Every row with a key and a token."""
     # said of the text and not of its tokens, or marked() would be computed once more to filter by
     some = F.col(key).isNotNull() & F.col("text").rlike(f"[\\p{{L}}\\p{{N}}{NUM}{NAME}{UNIT}]")
     rows = table.where(some).select(F.col(key).alias("id"), F.xxhash64("text").alias("text_key"), marked(F.col("text")).alias("t"))
+    rows = rows.withColumn("t", with_units(F.col("t")))
     words = rows.select("id", "text_key", F.split("t", " ").alias("words"), F.split(_plain(F.col("t")), " ").alias("w"))
-    template = F.zip_with("words", "w", lambda m, w: F.when(F.length(m) > F.length(w), F.ascii(m).cast("long")).otherwise(F.xxhash64(w)))
-    return words.select("id", "text_key", "words", F.transform("w", lambda w: F.xxhash64(w)).alias("plain"), template.alias("template"))
+    template = F.transform("words", lambda m: F.when(_is_slot(m), F.ascii(m).cast("long")).otherwise(F.xxhash64(m)))
+    return _grams(words.select("id", "text_key", "words", F.transform("w", lambda w: F.xxhash64(w)).alias("plain"), template.alias("template")), window)
+
+
+def _grams(rows: DataFrame, window: int) -> DataFrame:
+    """rows with ``grams``: the hash of each template window. Windows of a power of two are put together by halves, a step a column, so that each is made once."""
+    if window & (window - 1):
+        return rows.withColumn("grams", _windows("template", window))
+    half = 1
+    rows = rows.withColumn("grams", F.col("template"))
+    while half < window:
+        kept = F.greatest(F.lit(0), F.size("grams") - half)
+        rows = rows.withColumn("grams", F.zip_with(F.slice("grams", F.lit(1), kept), F.slice("grams", F.lit(half + 1), kept), lambda a, b: F.xxhash64(a, b)))
+        half *= 2
+    return rows
 
 
 def _plain(x: Column) -> Column:
@@ -93,7 +111,7 @@ def _all_windows(parts: list[tuple[str, int, int]]) -> tuple[Column, Column]:
         here = (F.col("i") - before) * step
         place = F.when(F.col("i") < before + count, here) if place is None else place.when(F.col("i") < before + count, here)
         before = before + count
-    return F.concat(*[F.coalesce(_windows(*p), empty) for p in parts]), place
+    return F.concat(*[F.col("grams") if p[0] == "grams" else F.coalesce(_windows(*p), empty) for p in parts]), place
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int = 13, min_literals: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -104,11 +122,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int = 13, min_literals: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """id, text_key, item_id, run_tokens, exact of each contaminated text and diagonal."""
-    items = written(_tokens(benchmark, "item_id").dropDuplicates(["id", "text_key"]).select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "words", "plain", "template", F.size("words").alias("n")), "items")
+    items = written(_tokens(benchmark, "item_id", window).dropDuplicates(["id", "text_key"]).select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "words", "plain", "template", "grams", F.size("words").alias("n")), "items")
     facts = items.agg(F.collect_set(F.when(F.col("n") < min_run, F.col("n"))).alias("short"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.length(F.concat_ws(" ", "words"))), F.lit(0)).alias("chars")).first()
     short = sorted(facts["short"])  # at most min_run - 1 lengths
     plain = F.when(F.col("n") >= min_run, _placed(_windows("plain", window)))
-    template = F.when(F.col("n") >= window, _placed(_windows("template", window)))
+    template = F.when(F.col("n") >= window, _placed(F.col("grams")))
     for n in short:
         plain = F.when(F.col("n") == n, _placed(_windows("plain", n))).otherwise(plain)
         template = F.when(F.col("n") == n, _placed(_windows("template", n))).otherwise(template) if n < window else template
@@ -118,10 +136,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_run: int
 
     # explode with outer and filter afterwards: for a plain explode, Spark infers a filter on the windows and
     # pushes it below, where all of marked() would be computed again for every window
-    words = _tokens(docs, "doc_id")
-    kinds = [("template", window, 1), ("plain", window, max(1, min_run - window + 1)), *[("plain", n, 1) for n in short], *[("template", n, 1) for n in short if n < window]]
+    words = _tokens(docs, "doc_id", window)
+    kinds = [("grams", window, 1), ("plain", window, max(1, min_run - window + 1)), *[("plain", n, 1) for n in short], *[("template", n, 1) for n in short if n < window]]
     hashes, place = _all_windows(kinds)
-    cut = words.select("id", "text_key", "words", F.size("words").alias("n_words"), F.posexplode_outer(hashes).alias("i", "h")).where("h IS NOT NULL")
+    cut = words.select("id", "text_key", "words", F.size("words").alias("n_words"), hashes.alias("hashes"))
+    cut = cut.select("id", "text_key", "words", "n_words", F.posexplode_outer("hashes").alias("i", "h")).where("h IS NOT NULL")
     cut = cut.select("id", "text_key", "words", "h", place.alias("pos"))
     diagonal = ["id", "text_key", "item_id", "item_key", "n", "offset"]
     beside = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", F.col("offset") + i)).alias("beside")
