@@ -1,9 +1,10 @@
 """WARC archives: a writer for page tables and a splittable reader.
 
 Writer: each partition writes one archive of gzip members, one record each, under a name made of its
-partition number, and moves it into place when it is whole; a task that runs again writes the same bytes.
-Of records with equal payloads of at least ``least`` bytes, the one with the largest page_id is a response
-and the others are revisits of it.
+partition number, and moves it into place when it is whole; a task that runs again on the same rows writes the
+same bytes. Of records with equal payloads of at least ``least`` bytes, the one with the largest page_id is a
+response and the others are revisits of it. Where several pages have that id, one of them is the response (the
+first by url) and the others, though they bear the same id, revisit it.
 
 Reader: tasks get byte ranges. Each scans its range for gzip magic, validates a candidate by decoding the
 record header behind it, and owns the records that start inside its range, reading past its end for the
@@ -11,7 +12,9 @@ last of them. A payload can hold an archive of its own in stored blocks, so a ca
 another member is dropped afterwards: members tile a file, so it starts before the largest end so far.
 
 Null html is an empty payload. Pages with null page_id are written, sort below all others, and read back as
-null. Repeated rows are records of their own. An empty table writes no archive and reads as no rows.
+null; where all pages of a payload have none, nothing can be referred to and all are responses. Repeated rows are
+records of their own. An empty table writes no archive and reads as no rows. Very long payloads are one record,
+read back whole. Only page_id, url and html are read, so other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -62,8 +65,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     return pack.compress("\r\n".join(head).encode() + payload + b"\r\n\r\n") + pack.flush()
 
 
-def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload, size, sha, kind, refers_to. Only digests and ids are shuffled to find the groups."""
+def planned(pages: DataFrame, least: int = 0, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """page_id, url, payload, size, sha, kind, refers_to.
+
+    Groups of equal payloads are found from digests and ids alone. Where the groups of two and more, counted, fit
+    in ``broadcast_bytes``, pages stay where they are read; else they meet their group by digest, in joins that
+    Spark can split where a digest is hot.
+    """
 
     @F.pandas_udf("string")
     def sha(payload: pd.Series) -> pd.Series:
@@ -71,12 +79,22 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
 
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), sha("payload").alias("sha"))
-    # groups of one need no second look, and a hot group is one row here
-    groups = rows.where(F.col("size") >= least).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first")).where("n > 1")
-    joined = rows.join(groups.select("sha", "first"), "sha", "left")
-    # equal ids in one group: one of them is the response, by url and place
-    revisit = F.col("first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")))
-    return joined.select("page_id", "url", "payload", "size", "sha", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
+    same = rows.where(F.col("size") >= least).groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = same.groupBy("sha").agg(F.sum("n").alias("all"), F.max("page_id").alias("first"), F.max_by("n", "page_id").alias("twins"))
+    groups = written(groups.where("all > 1 AND first IS NOT NULL").select("sha", "first", "twins"), "groups")
+    small = 96 * groups.count() <= broadcast_bytes
+    joined = rows.join(F.broadcast(groups) if small else groups, "sha", "left")
+    kept = ["page_id", "url", "payload", "size", "sha"]
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    twin = (F.col("twins") > 1) & F.col("page_id").eqNullSafe(F.col("first"))
+    if groups.where("twins > 1").isEmpty():
+        out = joined.select(*kept, "first", revisit.alias("again"))
+    else:  # several pages of the largest id: the first by url is the response
+        nth = F.row_number().over(Window.partitionBy("sha", "page_id").orderBy("url"))
+        out = joined.where(~F.coalesce(twin, F.lit(False))).select(*kept, "first", revisit.alias("again")).union(joined.where(twin).select(*kept, "first", (nth > 1).alias("again")))
+    if not small:  # rows come out of a shuffle in any order
+        out = out.sortWithinPartitions("sha", "page_id", "url")
+    return out.select(*kept, F.when(F.col("again"), "revisit").otherwise("response").alias("kind"), F.when(F.col("again"), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, out: str, least: int = 0) -> DataFrame:

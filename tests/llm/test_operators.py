@@ -353,6 +353,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write_archives(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0}])
+def test_warc_of_repeated_and_missing_ids(spark, tmp_path, how):
+    rows = [(5, "b", "<p>"), (5, "a", "<p>"), (5, "a", "<p>"), (4, "c", "<p>"), (None, "d", "<p>"), (None, None, "same"), (None, "e", "same"), (7, None, "x" * 3_000_000), (8, None, "x" * 3_000_000), (9, "f", None), (9, "f", ""), (1, "g", "alone")]
+    pages = spark.createDataFrame([(*r, 1, "sha", 2, "kind") for r in rows], PAGES + ", first long, sha string, size long, kind string")
+    plan = warc.planned(pages, **how).collect()
+    assert sorted((r["page_id"] or 0, r["kind"], r["refers_to"] or 0) for r in plan) == sorted([(5, "response", 0), (5, "revisit", 5), (5, "revisit", 5), (4, "revisit", 5), (0, "revisit", 5), (0, "response", 0), (0, "response", 0), (7, "revisit", 8), (8, "response", 0), (9, "response", 0), (9, "revisit", 9), (1, "response", 0)])
+    assert [r["url"] for r in plan if r["page_id"] == 5 and r["kind"] == "response"] == ["a"]
+    got = warc.read_archives(spark, warc.write_archives(pages, f"file://{tmp_path}/twins"), 1000).collect()
+    assert sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"]) for r in got) == sorted((r["page_id"] or 0, r["size"], r["kind"]) for r in plan)
+
+
 def test_reader_drops_an_archive_inside_a_payload(tmp_path):
     import pyarrow.fs
 
