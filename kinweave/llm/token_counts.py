@@ -6,11 +6,15 @@ first wins, which is the tokenizer's own rule. Scores are added in double precis
 library adds them in single precision over the whole text and so can lose ties on long texts or after
 unknown characters, where its sums pass 2**24.
 
-Null and empty texts count 0 tokens. Characters outside the vocabulary count their UTF-8 bytes.
+Null and empty texts count 0 tokens. Characters outside the vocabulary count their UTF-8 bytes. Repeated rows, and
+ids that are shared or null, come back as often as they went in; no rows give no rows; other columns are not
+read. Very long texts, and words without a break, are counted whole.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,20 +36,21 @@ class Counter:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, complex] = {}
+        self.index: dict[str, int] = {}  # word -> place in what follows
+        self.best, self.tokens = np.empty(1024), np.empty(1024, dtype=np.int64)
 
-    def _solve(self, words: list[str]) -> list[complex]:
-        """Score and count of each as one complex number.
+    def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score and count of each.
 
         One pass of the automaton over all words, with a border that no piece holds between them; then all
         words take their steps together, by end within the word and, at one end, from the earliest start on.
+        Matches are numbers from the start: a long text has as many as it has characters, and more.
         """
         border = "\n"
         size = np.array([len(c) for c in words])
         begin = np.cumsum([0, *(size[:-1] + 1)])
-        found = list(self.automaton.iter(border.join(words)))
-        end = np.fromiter((x[0] for x in found), dtype=np.int64, count=len(found)) + 1
-        piece = np.fromiter((x[1] for x in found), dtype=np.int64, count=len(found))
+        found = np.fromiter((e << 32 | k for e, k in self.automaton.iter(border.join(words))), dtype=np.int64)
+        end, piece = (found >> 32) + 1, found & 0xFFFFFFFF
         start = end - self.lengths[piece]
         of = np.repeat(np.arange(len(words)), size + 1)[:-1]  # the word of each character
         score, width = self.scores[piece], np.zeros(len(found), dtype=np.int64) + 1
@@ -70,15 +75,19 @@ class Counter:
             got = best[s] + score[lo:hi]
             better = got > best[e]
             best[e[better]], count[e[better]] = got[better], count[s[better]] + width[lo:hi][better]
-        return (best[begin + size] + 1j * count[begin + size]).tolist()
+        return best[begin + size], count[begin + size]
 
     def learn(self, words: set[str], group: int = 20_000) -> None:
-        if len(self.words) > self.most:
+        if len(self.index) > self.most:
             self._forget()
-        new = sorted(words.difference(self.words), key=len)
+        new = sorted(words.difference(self.index), key=len)
         for lo in range(0, len(new), group):
             part = new[lo : lo + group]
-            self.words.update(zip(part, self._solve(part), strict=True))
+            k, m = len(self.index), len(part)
+            while k + m > len(self.best):
+                self.best, self.tokens = (np.concatenate([x, np.empty_like(x)]) for x in (self.best, self.tokens))
+            self.best[k : k + m], self.tokens[k : k + m] = self._solve(part)
+            self.index.update(zip(part, range(k, k + m), strict=True))
 
     def count(self, text: str | None) -> tuple[int, float]:
         """Number of tokens and score of the best segmentation."""
@@ -89,9 +98,12 @@ class Counter:
         for part in grouped(texts, chars):
             cut = [self.t.words(t) for t in part]
             self.learn(set().union(*cut))
-            for words in cut:
-                total = complex(sum(map(self.words.__getitem__, words)))
-                yield int(total.imag), total.real
+            sizes = np.array(list(map(len, cut)))
+            at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum()))
+            ends = np.cumsum(sizes)
+            tokens = np.concatenate([[0], np.cumsum(self.tokens[at])])
+            for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                yield int(tokens[hi] - tokens[lo]), float(self.best[at[lo:hi]].sum())
 
 
 def count_tokens(docs: DataFrame, table: PieceTable, key: str = "doc_id") -> DataFrame:
