@@ -5,7 +5,9 @@ failure rate is shrunk towards the corpus by a beta prior that is fitted to all
 hosts whose shrunk rate is above ``max_rate`` lose all their documents.
 
 Null and empty texts have no words and fail. Documents without a host take part in no host's rate and
-get no host verdict. Repeated rows count each time.
+get no host verdict. Repeated rows, and ids that are shared or null, count each time and come back as often. An
+empty table has no hosts and no rows. Very long texts are read whole; other columns are not read, so they clash
+with nothing. A hot host is only ever counted, with partial sums before the shuffle.
 """
 
 from __future__ import annotations

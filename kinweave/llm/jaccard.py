@@ -16,7 +16,8 @@ decides nothing, so results are the same whatever its width.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing, not even one
 another. A text with fewer words than n is one shingle. Rows with null doc_id get null components. Rows
-that share a doc_id are one node for links; each comes back with its own count.
+that share a doc_id are one node for links; each comes back with its own count. No rows give no rows. Very long
+texts are read whole, a slice of a batch at a time; other columns are not read, so they clash with nothing.
 """
 
 from __future__ import annotations
