@@ -216,6 +216,18 @@ def _list(values: list[np.ndarray], stops: list[int], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(values) if values else [], kind))
 
 
+def _by_hot_keys(left: DataFrame, right: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Inner join with ``right``, which holds each key once and how many rows of ``left`` have it.
+
+    A key of more than a hundred-thousandth of the rows (500 at least) is hot: there are at most a hundred thousand of
+    these, so they are broadcast, and their rows stay where they are. The others are joined by key.
+    """
+    least = max(500, left.count() // 100_000)
+    hot = right.where(F.col(times) > least)
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.where(F.col(times) <= least), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_text: bool = False, hot: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (and kept, the remaining bytes) for every row."""
     lengths = {BYTES: length, WORDS: words}
@@ -307,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
     found = written(held.mapInArrow(stretches(names, "digest"), "sha binary, unit tinyint, lo long, n int, fp long, digest binary"), "found")
     kinds_of = written(found.groupBy("unit", "fp", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("sha", "lo", "n")).alias("owner")), "kinds")
     # stretches that occur again as a whole
-    full = found.join(kinds_of.where("times > 1").select("unit", "fp", "digest"), ["unit", "fp", "digest"]).select("sha", F.col("unit").cast("int").alias("unit"), "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
+    full = _by_hot_keys(found, kinds_of.where("times > 1").select("unit", "fp", "digest", "times"), ["unit", "fp", "digest"], "times").select("sha", F.col("unit").cast("int").alias("unit"), "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
     several = kinds_of.groupBy("unit", "fp").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
     owners = kinds_of.join(several, ["unit", "fp"]).select("owner.*", "unit", "fp", (F.col("different") > hot).alias("is_hot"))
     asked = owners.groupBy("sha").agg(F.collect_list(F.struct(*names, "is_hot")).alias("a")).select("sha", *[F.col(f"a.{c}").alias(c) for c in (*names, "is_hot")])
@@ -351,15 +363,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
     done = texts.withColumn("sha", F.substring("sha256", 1, 16)).join(done, "sha", "left")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     done = done.select(
-        "sha256", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        "sha256", "copies", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha256")))).alias("kept_sha256"),
         F.when((F.col("copies") > 1) & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.coalesce("passages", F.lit(0))).cast("long").alias("n_passage_words"),
         *([F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
     )
-    out = lists.select("doc_id", "sha256", "n_bytes").join(done, "sha256")
+    done = written(done, "done")
+    out = _by_hot_keys(lists.select("doc_id", "sha256", "n_bytes"), done, ["sha256"], "copies")
     if keep_text:  # a text that lost nothing is its row's own
         out = out.join(rows.groupBy("sha256").agg(F.first("raw").alias("raw")), "sha256").withColumn("kept", F.coalesce("kept", "raw"))
     out = written(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", *["kept"] * keep_text), "stripped")
-    discard(lists, texts, common, spots, held, found, kinds_of, pieces, spread, twice)
+    discard(lists, texts, common, spots, held, found, kinds_of, pieces, spread, twice, done)
     return out

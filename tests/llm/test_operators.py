@@ -569,6 +569,15 @@ def test_passages_in_many_texts(spark, hot):
     assert all(want[k][4] >= 51 and want[k][1] == 0 for k in range(25, 34))
 
 
+def test_hot_texts_and_stretches(spark):
+    rng = random.Random(41)
+    copied, passage = words(rng, 110), words(rng, 105)
+    texts = [copied] * 620 + [f"{words(rng, 30)} {passage} {words(rng, 30)}" for _ in range(620)] + [words(rng, 30)] * 3
+    d = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage_words"]) for r in substrings.remove_repeats(d, hot=300).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_removal(texts)
+
+
 def test_suffix_family_levels():
     rng = np.random.default_rng(1)
     family, keys = substrings.SuffixFamily(400), []
