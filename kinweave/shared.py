@@ -35,11 +35,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation.
+
+    ``batch_rows``: for as long as the write takes, Arrow batches have that many rows at most; for plans whose Python
+    steps read whole texts, where ten thousand rows may be more than a worker should hold.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if batch_rows:
+        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     spark.sparkContext._jvm.System.gc()  # Spark's cleaner removes shuffle files that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
