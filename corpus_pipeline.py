@@ -26,14 +26,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id (a null one last), and one row of it.
 
-    Groups are made of texts, told by a 64-bit hash. Texts without words are in no group and stay.
+    Groups are made of texts. A text goes by its doc_id, or, where that is null or another text has it too, by a
+    64-bit hash that lies behind all ids. Texts without words are in no group and stay.
     """
     h = F.xxhash64("text")
-    grouped = jaccard.near_duplicates(docs.select(h.alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("h"), "component_id").distinct()
+    behind = h.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    shared = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("doc_id"), "shared_ids")
+    if shared.isEmpty():
+        texts = docs.select(F.coalesce("doc_id", behind).alias("doc_id"), "text")
+    else:
+        marked = docs.select("doc_id", "text").join(shared.withColumn("also", F.lit(True)), "doc_id", "left")
+        texts = marked.select(F.when(F.col("also"), behind).otherwise(F.coalesce("doc_id", behind)).alias("doc_id"), "text")
+    texts = texts.withColumn("h", h)
+    found = jaccard.near_duplicates(texts.select("doc_id", "text")).where("n_shingles > 0").select("doc_id", "component_id").distinct()
+    grouped = texts.groupBy("doc_id").agg(F.min("h").alias("h")).join(found, "doc_id").select("h", "component_id")
     who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     rows = docs.select(who.alias("who"), h.alias("h"))
     first = rows.groupBy("h").agg(F.min("who").alias("who")).join(grouped, "h").groupBy("component_id").agg(F.min(F.struct("who", "h")).alias("first"))
-    first = written(first.select("first.who", "first.h"), "first_of_groups")
+    first = written(first.select("first.who", "first.h").distinct(), "first_of_groups")
     here = (docs["doc_id"].eqNullSafe(first["who.doc_id"])) & (F.xxhash64(docs["text"]) == first["h"])
     stay = docs.join(first, here, "left_semi")
     twice = written(rows.groupBy("who", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(first, ["who", "h"], "left_semi").select("who", "h"), "repeated_rows")
