@@ -39,6 +39,8 @@ from kinweave.shared import discard, written
 SLICE = 1 << 16
 #: Hashes in an outgoing batch.
 FLUSH = 1 << 20
+#: Rows of an incoming batch of texts.
+BATCH_ROWS = 2000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -224,7 +226,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                     found, first, size = [], k, 0
 
     hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
-    made = written(hashed.mapInArrow(sets, f"doc_id {kind}, s array<long>"), "sets")
+    made = written(hashed.mapInArrow(sets, f"doc_id {kind}, s array<long>"), "sets", BATCH_ROWS)
     # sets meet row by row in the JVM: two long ones are all that a task holds
     both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -237,7 +239,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     """doc_id, n_shingles, component_id for every row of docs."""
     docs = docs.select("doc_id", "text")
     width = 1 << min(max_width.bit_length() - 1, max(16, (64 * docs.count()).bit_length()))
-    made = written(_summaries(docs, n, bands, width), "summaries")
+    made = written(_summaries(docs, n, bands, width), "summaries", BATCH_ROWS)
     base = made.where("slice IS NULL").select("doc_id", "n_shingles", "fp", "bands")
     levels = _levels(made.where("slice IS NOT NULL"), width)
     nodes = written(base.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "nodes")
@@ -257,7 +259,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     tokens = _index_tokens(docs, n, percent, levels).withColumnRenamed("doc_id", "node")
     postings = tokens.select("node", "tokens").join(members.join(groups.select("group", "crowd"), "group"), "node").select(F.explode("tokens").alias("token"), "node", "size", "group", "crowd").repartition("token")
     several = postings.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("token")
-    crossing = written(postings.join(several, "token", "left_semi"), "crossing")
+    crossing = written(postings.join(several, "token", "left_semi"), "crossing", BATCH_ROWS)
     matrix = crossing.groupBy("token", F.col("group").alias("other"), F.col("crowd").alias("other_crowd")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
     # of two groups the smaller one's members ask the larger one: a crowd is asked once, and does not ask every straggler
     asks = F.struct("crowd", "group") < F.struct("other_crowd", "other")

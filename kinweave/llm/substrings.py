@@ -48,6 +48,8 @@ GRAMS = {BYTES: 16, WORDS: 4}
 DTYPES = {BYTES: np.uint8, WORDS: np.uint64}
 #: Bytes of stretches in an outgoing batch.
 FLUSH = 4 << 20
+#: Rows of an incoming batch where rows are whole texts.
+BATCH_ROWS = 1000
 COLUMNS = {"sha": pa.binary(), "unit": pa.int8(), "lo": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "is_hot": pa.bool_(), "digest": pa.binary(), "piece": pa.binary(), "h": pa.int64()}
 LOW = np.uint64((1 << 24) - 1)
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -260,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
             lists = [_list(c, stops, t) for c, t in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha256"), pa.array(tag, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_words, pa.int64()), *lists, _list(twice, twice_stops, pa.int64())], ["doc_id", "sha256", "tag", "n_bytes", "n_words", *names, "twice"])
 
-    lists = written(rows.mapInArrow(cut, f"doc_id {kind}, sha256 binary, tag long, n_bytes long, n_words long, {arrays}, twice array<long>"), "anchors")
+    lists = written(rows.mapInArrow(cut, f"doc_id {kind}, sha256 binary, tag long, n_bytes long, n_words long, {arrays}, twice array<long>"), "anchors", BATCH_ROWS)
     texts = written(lists.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words")), "texts")
 
     # fingerprints of two texts (copies of a text are one by its tag), or twice in one, which count as another text's
@@ -290,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
 
     # of copies only one a task leaves it
     whole = rows.select("sha256", "raw").mapInArrow(fetched, "sha256 binary, raw binary").groupBy(F.substring("sha256", 1, 16).alias("sha")).agg(F.first("raw").alias("raw"))
-    held = written(whole.join(spots.drop("tag"), "sha"), "held")
+    held = written(whole.join(spots.drop("tag"), "sha"), "held", BATCH_ROWS)
 
     def stretches(columns: list[str], made: str):
         """A row for each spot of each text: its digest, or the stretch itself."""
@@ -316,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
 
         return run
 
-    found = written(held.mapInArrow(stretches(names, "digest"), "sha binary, unit tinyint, lo long, n int, fp long, digest binary"), "found")
+    found = written(held.mapInArrow(stretches(names, "digest"), "sha binary, unit tinyint, lo long, n int, fp long, digest binary"), "found", BATCH_ROWS)
     kinds_of = written(found.groupBy("unit", "fp", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("sha", "lo", "n")).alias("owner")), "kinds")
     # stretches that occur again as a whole
     full = _by_hot_keys(found, kinds_of.where("times > 1").select("unit", "fp", "digest", "times"), ["unit", "fp", "digest"], "times").select("sha", F.col("unit").cast("int").alias("unit"), "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
@@ -324,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
     owners = kinds_of.join(several, ["unit", "fp"]).select("owner.*", "unit", "fp", (F.col("different") > hot).alias("is_hot"))
     asked = owners.groupBy("sha").agg(F.collect_list(F.struct(*names, "is_hot")).alias("a")).select("sha", *[F.col(f"a.{c}").alias(c) for c in (*names, "is_hot")])
     pieces = held.select("sha", "raw").join(asked, "sha").mapInArrow(stretches([*names, "is_hot"], "piece"), "sha binary, unit tinyint, lo long, n int, fp long, is_hot boolean, piece binary")
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces, "pieces", BATCH_ROWS)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.where("NOT is_hot").select("unit", "fp", "sha", "lo", "piece").repartition(parts, "fp")
@@ -342,7 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
                 yield pa.RecordBatch.from_arrays([some.column("unit"), some.column("fp"), pa.array(np.concatenate(hashes).view(np.int64)), some.column("sha"), pc.add(some.column("lo"), pa.array(nth))], ["unit", "fp", "h", "sha", "lo"])
 
     strung = pieces.where("is_hot").select("unit", "fp", "sha", "lo", "piece")
-    spread = written(strung.mapInArrow(strings, "unit tinyint, fp long, h long, sha binary, lo long"), "strings")
+    spread = written(strung.mapInArrow(strings, "unit tinyint, fp long, h long, sha binary, lo long"), "strings", BATCH_ROWS)
     twice = written(spread.groupBy("unit", "fp", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("unit", "fp", "h"), "twice")
     far = spread.join(twice, ["unit", "fp", "h"]).select("sha", F.col("unit").cast("int").alias("unit"), "lo", F.col("lo").alias("hi"))
     ranges = near.union(full).union(far).groupBy("sha").agg(F.collect_set(F.struct("unit", "lo", "hi")).alias("ranges"))
@@ -369,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
         F.when((F.col("copies") > 1) & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.coalesce("passages", F.lit(0))).cast("long").alias("n_passage_words"),
         *([F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
     )
-    done = written(done, "done")
+    done = written(done, "done", BATCH_ROWS)
     out = _by_hot_keys(lists.select("doc_id", "sha256", "n_bytes"), done, ["sha256"], "copies")
     if keep_text:  # a text that lost nothing is its row's own
         out = out.join(rows.groupBy("sha256").agg(F.first("raw").alias("raw")), "sha256").withColumn("kept", F.coalesce("kept", "raw"))
