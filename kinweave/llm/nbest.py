@@ -134,8 +134,8 @@ class NBest:
                     ids = np.frombuffer(ids, dtype=np.int32)
                     self._add([w], ids, np.array([len(ids)]), np.array([score]), np.array([loss]))
             else:
-                for lo in range(0, len(group), 8_000):
-                    self._solve_short(group[lo : lo + 8_000], n)
+                for lo in range(0, len(group), 4_000):
+                    self._solve_short(group[lo : lo + 4_000], n)
 
     def _solve_short(self, group: list[str], n: int) -> None:
         """All words of the group, none longer than ``n``; positions behind a word's end have no character that a piece holds."""
