@@ -17,7 +17,9 @@ Both are repeats in a sequence of symbols, bytes or hashes of words:
    a 64-bit fingerprint of the whole string: equality at that length is all a match needs), scanned against the
    existing levels for matches, and stored as a new level; levels of like size merge, so there are O(log n).
 4. Where a fingerprint has more than ``hot`` different stretches (the end of a passage that a great part of all
-   documents share) the batches' strings are merged across tasks instead, by an aggregation of their hashes.
+   documents share) each stretch is cut into a few by how far before the anchor its strings start, and what all
+   strings of such a piece hold is its new, longer fingerprint. Pieces go on as stretches do in 2 and 3, and are cut
+   again where they are still too many; a piece of one string is its own fingerprint, so this ends.
 
 Only texts that hold such anchors are shuffled, once each: a Bloom filter of bounded size holds back the rest.
 
@@ -39,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.batches import slices
 from kinweave.llm.jaccard import hashed_words
 from kinweave.llm.sieve import bloom, passes
 from kinweave.shared import discard, written
@@ -114,6 +117,28 @@ def anchors(seq: np.ndarray, length: int, unit: int = BYTES, segment: int = 1 <<
     return np.concatenate(lows), np.concatenate(counts), np.concatenate(fps)
 
 
+def anchor_of(seq: np.ndarray, length: int, unit: int) -> int:
+    """Where in a stretch, all of whose strings share one anchor, that anchor lies."""
+    margin = length // 8
+    g = string_hashes(seq[margin : len(seq) - margin], GRAMS[unit])
+    return margin + int(((g & ~LOW) | np.arange(len(g), dtype=np.uint64)).argmin())
+
+
+def finer(piece: bytes, unit: int, fp: int, length: int, width: int):
+    """(first start, number of starts, fingerprint, piece) of the parts of a stretch whose strings start at ``width`` neighbouring distances before the anchor.
+
+    Equal strings lie alike around their anchor, so they are in parts with one fingerprint: the old one, the distance and all that
+    the strings of the part have in common.
+    """
+    seq, k = np.frombuffer(piece, dtype=DTYPES[unit]), DTYPES[unit]().itemsize
+    a, starts = anchor_of(seq, length, unit), len(seq) - length + 1
+    for nth in range((a - starts + 1) // width, a // width + 1):
+        near = a - nth * width  # the start of this part that is nearest to the anchor
+        first, last = max(0, near - width + 1), min(starts - 1, near)
+        held = piece[near * k : (near - width + 1 + length) * k] + fp.to_bytes(8, "little", signed=True) + nth.to_bytes(8, "little")
+        yield first, last - first + 1, xxhash.xxh3_64_intdigest(held, seed=unit), piece[first * k : (last + length) * k]
+
+
 class SuffixFamily:
     """Levels of sorted suffix keys, each about twice as large as the next; tells which starts occur twice."""
 
@@ -319,35 +344,49 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
         return run
 
     found = written(held.mapInArrow(stretches(names, "digest"), "sha binary, unit tinyint, lo long, n int, fp long, digest binary"), "found", BATCH_ROWS)
-    kinds_of = written(found.groupBy("unit", "fp", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("sha", "lo", "n")).alias("owner")), "kinds")
-    # stretches that occur again as a whole
-    full = _by_hot_keys(found, kinds_of.where("times > 1").select("unit", "fp", "digest", "times"), ["unit", "fp", "digest"], "times").select("sha", F.col("unit").cast("int").alias("unit"), "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
-    several = kinds_of.groupBy("unit", "fp").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-    owners = kinds_of.join(several, ["unit", "fp"]).select("owner.*", "unit", "fp", (F.col("different") > hot).alias("is_hot"))
+    def settled(found: DataFrame, *whole: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Stretches that occur again as a whole, as ranges; one of each kind where a fingerprint has several; all kinds."""
+        kinds_of = written(found.groupBy("unit", "fp", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("sha", "lo", "n", *whole)).alias("owner")), "kinds")
+        again = kinds_of.where("times > 1").select("unit", "fp", "digest", "times")
+        full = _by_hot_keys(found, again, ["unit", "fp", "digest"], "times").select("sha", F.col("unit").cast("int").alias("unit"), "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
+        several = kinds_of.groupBy("unit", "fp").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+        owners = kinds_of.join(several, ["unit", "fp"]).select("owner.*", "unit", "fp", (F.col("different") > hot).alias("is_hot"))
+        return full, owners, kinds_of
+
+    full, owners, kinds_of = settled(found)
+    made = [found, kinds_of]
     asked = owners.groupBy("sha").agg(F.collect_list(F.struct(*names, "is_hot")).alias("a")).select("sha", *[F.col(f"a.{c}").alias(c) for c in (*names, "is_hot")])
     pieces = held.select("sha", "raw").join(asked, "sha").mapInArrow(stretches([*names, "is_hot"], "piece"), "sha binary, unit tinyint, lo long, n int, fp long, is_hot boolean, piece binary")
     pieces = written(pieces, "pieces", BATCH_ROWS)
+    few, again, made = pieces.where("NOT is_hot").select("unit", "fp", "sha", "lo", "piece"), full, [*made, pieces]
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.where("NOT is_hot").select("unit", "fp", "sha", "lo", "piece").repartition(parts, "fp")
-    near = dealt.mapInPandas(lambda batches: _repeated(batches, lengths), RANGES)
+    def cut_finer(step: int):
+        widths = {u: max(1, (n - 2 * (n // 8) - GRAMS[u] + 1) // 4**step) for u, n in lengths.items()}
 
-    def strings(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                pieces = [np.frombuffer(x, dtype=DTYPES[u]) for x, u in zip(part.column("piece").to_pylist(), part.column("unit").to_pylist(), strict=True)]
-                hashes = [string_hashes(x, lengths[u]) for x, u in zip(pieces, part.column("unit").to_pylist(), strict=True)]
-                of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-                nth = np.concatenate([np.arange(len(h)) for h in hashes])
-                some = part.take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([some.column("unit"), some.column("fp"), pa.array(np.concatenate(hashes).view(np.int64)), some.column("sha"), pc.add(some.column("lo"), pa.array(nth))], ["unit", "fp", "h", "sha", "lo"])
-
-    strung = pieces.where("is_hot").select("unit", "fp", "sha", "lo", "piece")
-    spread = written(strung.mapInArrow(strings, "unit tinyint, fp long, h long, sha binary, lo long"), "strings", BATCH_ROWS)
-    twice = written(spread.groupBy("unit", "fp", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("unit", "fp", "h"), "twice")
-    far = spread.join(twice, ["unit", "fp", "h"]).select("sha", F.col("unit").cast("int").alias("unit"), "lo", F.col("lo").alias("hi"))
-    ranges = near.union(full).union(far).groupBy("sha").agg(F.collect_set(F.struct("unit", "lo", "hi")).alias("ranges"))
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch, "piece"):
+                    out: dict[str, list] = {c: [] for c in ("sha", *names, "digest", "piece")}
+                    for sha, unit, lo, fp, piece in zip(*(part.column(c).to_pylist() for c in ("sha", "unit", "lo", "fp", "piece")), strict=True):
+                        for first, n, new, sub in finer(piece, unit, fp, lengths[unit], widths[unit]):
+                            for c, x in zip(out, (sha, unit, lo + first, n, new - ((new >> 63) << 64), xxhash.xxh3_128_digest(sub), sub), strict=True):
+                                out[c].append(x)
+                    yield pa.RecordBatch.from_pydict({c: pa.array(x, COLUMNS[c]) for c, x in out.items()})
+
+        return run
+
+    step, left = 0, pieces.where("is_hot")
+    while not left.isEmpty():
+        step += 1
+        parts = written(left.select("sha", "unit", "lo", "fp", "piece").mapInArrow(cut_finer(step), "sha binary, unit tinyint, lo long, n int, fp long, digest binary, piece binary"), "parts", BATCH_ROWS)
+        whole, owners, kinds_of = settled(parts, "piece")
+        owners = written(owners, "owners")
+        few, again, left = few.union(owners.where("NOT is_hot").select("unit", "fp", "sha", "lo", "piece")), again.union(whole), owners.where("is_hot")
+        made += [parts, kinds_of, owners]
+
+    dealt = few.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    near = dealt.mapInPandas(lambda batches: _repeated(batches, lengths), RANGES)
+    ranges = near.union(again).groupBy("sha").agg(F.collect_set(F.struct("unit", "lo", "hi")).alias("ranges"))
 
     def strip(batches):
         for pdf in batches:
@@ -376,5 +415,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, keep_tex
     if keep_text:  # a text that lost nothing is its row's own
         out = out.join(rows.groupBy("sha256").agg(F.first("raw").alias("raw")), "sha256").withColumn("kept", F.coalesce("kept", "raw"))
     out = written(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", *["kept"] * keep_text), "stripped")
-    discard(lists, texts, common, spots, held, found, kinds_of, pieces, spread, twice, done)
+    discard(lists, texts, common, spots, held, done, *made)
     return out

@@ -578,6 +578,47 @@ def test_hot_texts_and_stretches(spark):
     assert [got[i] for i in range(len(texts))] == slow_removal(texts)
 
 
+def test_near_copies_are_cut_into_few_pieces(spark, monkeypatch):
+    """A fingerprint with many different stretches costs some pieces a stretch, not a row a string."""
+    rng = random.Random(43)
+    base = words(rng, 130).split(" ")
+    texts = []
+    for k in range(240):  # near copies: one word differs, so a string of 400 bytes is shared by most but not all of them
+        t = list(base)
+        t[k * 7 % len(t)] = "x%d" % k
+        texts.append(" ".join(t))
+    texts += [" ".join(base[30:]) + words(rng, 9), words(rng, 200), None]
+    rows, write = {}, substrings.written
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "written", counted)
+    d = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, 0) for i, t in enumerate(texts)], DOCS)
+    cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
+    got = {r["doc_id"]: tuple(r[c] for c in cols) for r in substrings.remove_repeats(d, hot=20).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_removal(texts)
+    assert rows["pieces"] > 500 and all(n <= 8 * rows["pieces"] for n in rows.values()), rows
+
+
+@pytest.mark.parametrize("unit", [substrings.BYTES, substrings.WORDS])
+def test_parts_of_a_stretch_hold_each_start_once(unit):
+    rng = np.random.default_rng(47)
+    length = (400, 51)[unit]
+    seq = rng.integers(0, 3, 3000).astype(substrings.DTYPES[unit])
+    k = seq.itemsize
+    for lo, n, fp in zip(*(x.tolist() for x in substrings.anchors(seq, length, unit)), strict=True):
+        piece = seq[lo : lo + n + length - 1].tobytes()
+        for width in (1, 3, 17):
+            parts = list(substrings.finer(piece, unit, fp, length, width))
+            assert sorted(x for a, m, _, _ in parts for x in range(a, a + m)) == list(range(n))
+            assert all(sub == piece[a * k : (a + m + length - 1) * k] for a, m, _, sub in parts)
+            if width == 1:  # a part is one string, so its fingerprint tells it from all others
+                assert len({x[2] for x in parts}) == len(parts)
+
+
 def test_suffix_family_levels():
     rng = np.random.default_rng(1)
     family, keys = substrings.SuffixFamily(400), []
