@@ -68,8 +68,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, scores, ids_sha256, decoded_ok and the ids of the two best segmentations of each text."""
-    return nbest.encode_documents(docs, pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model"), n=2)
+    """doc_id, n_pieces, scores, ids_sha256, decoded_ok and the ids of the two best segmentations of each text.
+
+    Written here, so that workers get a thousand texts at a time, and remember fewer words: executors come from four stages with full heaps.
+    """
+    return written(nbest.encode_documents(docs, pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model"), n=2, most=150_000), "encoded", 1000)
 
 
 STAGES = [

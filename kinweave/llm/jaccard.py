@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import components
-from kinweave.llm.batches import slices
+from kinweave.llm.batches import put_away, slices
 from kinweave.llm.sieve import bloom, passes
 from kinweave.shared import discard, written
 
@@ -123,6 +123,7 @@ def _summaries(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
     shift = np.uint64(64 - width.bit_length() + 1)
 
     def run(batches):
+        put_away()
         sketch = np.zeros(width, dtype=np.uint16)
         ids = pa.int64()
         for batch in batches:

@@ -359,18 +359,19 @@ def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
 
-def encode_documents(docs: DataFrame, table: PieceTable, n: int = 4, key: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, table: PieceTable, n: int = 4, key: str = "doc_id", most: int = 400_000) -> DataFrame:
     """One row for each row of docs: key, n_pieces, scores, ids_sha256, decoded_ok, ids.
 
     ids holds the arrays of ids of the N best segmentations, best first; n_pieces, scores and ids_sha256 (over
     little-endian int32 ids) are theirs. Batches of some two million characters, or one text, go out as flat
-    buffers: memory is bounded by these and by the longest text, whatever the size of an incoming batch.
+    buffers: memory is bounded by these, by the longest text and by the ``most`` words that a worker remembers,
+    whatever the size of an incoming batch.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
     columns = [key, "n_pieces", "scores", "ids_sha256", "decoded_ok", "ids"]
 
     def run(batches):
-        solver = tool(NBest, shared.value, n)
+        solver = tool(NBest, shared.value, n, most)
         for batch in batches:
             for rows in slices(batch):
                 part = rows.column("text").to_pylist()

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from kinweave.llm.batches import TOOLS
+
 SPACE = "▁"
 WORD = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 NORMAL, UNKNOWN, UNUSED, BYTE = 1, 2, 5, 6
@@ -96,10 +98,6 @@ def grouped(texts: list[str | None], chars: int):
         lo = hi
 
 
-#: By kind and key; a worker keeps its solvers, and what they have learnt, from task to task.
-TOOLS: dict = {}
-
-
 def tool(kind: type, table: PieceTable, *args):
     key = (kind.__name__, len(table.texts), hash(tuple(table.scores)), hash(tuple(table.texts)), args)
     if key not in TOOLS:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.batches import slices
+from kinweave.llm.batches import put_away, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the model finds: the base kinds, then its own.
@@ -493,6 +493,7 @@ def masked(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     at = schema.fieldNames().index("text")
 
     def run(batches):
+        put_away()
         for batch in batches:
             for rows in slices(batch):
                 texts = rows.column(at).to_pylist()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.batches import slices
+from kinweave.llm.batches import put_away, slices
 
 CLASSES, HASHED = 10, 1024
 BINS = 12
@@ -184,6 +184,7 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelle
     at = docs.schema.fieldNames().index("text")
 
     def run(batches):
+        put_away()
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array(shared.value.scores(part.column(at).to_pylist()) >= threshold))

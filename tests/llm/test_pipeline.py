@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -85,3 +86,28 @@ def test_pipeline_without_rows(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_stage_takes_a_thousand_texts_at_a_time(spark, folder, monkeypatch):
+    def sizes(docs, table, n, **how):
+        assert how["most"] <= 200_000
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows]})
+
+        return docs.mapInArrow(run, "rows long")
+
+    monkeypatch.setattr(corpus_pipeline.nbest, "encode_documents", sizes)
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id AS doc_id", "'a b' AS text")
+    got = [r["rows"] for r in corpus_pipeline.encoding_stage(spark, docs, folder).collect()]
+    assert sum(got) == 2500 and max(got) <= 1000
+
+
+def test_solvers_of_other_operators_are_put_away():
+    from kinweave.llm import batches, pieces
+
+    pieces.tool(lambda *_: "solver", pieces.PieceTable({}, [], [], [], 0.0, True, 0))
+    assert batches.TOOLS is pieces.TOOLS and batches.TOOLS
+    batches.put_away()
+    assert not batches.TOOLS
