@@ -395,7 +395,11 @@ def chart_library(d: Dialect) -> str:
 
 @archived
 def merge_candidates(d: Dialect) -> str:
-    """Pairs of people who share name and tree, best first, a hundred at most."""
+    """Pairs of people who share name and tree, best first, a hundred at most. Here people meet on name and tree at once: of a name alone there may be thousands."""
+    best = " SELECT a, b, version_id, score FROM pairs ORDER BY score DESC, a, b, version_id LIMIT 100"
+    if d.spark:
+        return f""", placed AS (SELECT p.person_id, p.normalized, p.gender, n.version_id FROM people p JOIN nodes n ON n.person_id = p.person_id WHERE p.gender <> ''),
+    pairs AS (SELECT a.person_id AS a, b.person_id AS b, a.version_id, CASE WHEN a.gender = b.gender THEN 0.9e0 ELSE 0.6e0 END AS score FROM placed a JOIN placed b ON b.normalized = a.normalized AND b.version_id = a.version_id AND a.person_id < b.person_id){best}"""
     return """, pairs AS (SELECT a.person_id AS a, b.person_id AS b, na.version_id, CASE WHEN a.gender = b.gender THEN 0.9e0 ELSE 0.6e0 END AS score FROM people a JOIN people b ON a.normalized = b.normalized AND a.person_id < b.person_id JOIN nodes na ON na.person_id = a.person_id JOIN nodes nb ON nb.person_id = b.person_id AND nb.version_id = na.version_id WHERE a.gender <> '' AND b.gender <> '')
     SELECT a, b, version_id, score FROM pairs ORDER BY score DESC, a, b, version_id LIMIT 100"""
 

@@ -225,3 +225,15 @@ def test_shapes_that_come_again_are_scored_once(spark, monkeypatch):
     monkeypatch.setattr(matching, "shape_scored", lambda a, b: times.append(1) or (0.0, 0.0, False))
     columns = [[pd.Series([np.array([p[axis] for p in r[side]]) for r in rows]) for side in (1, 2) for axis in "xy"]]
     assert sum(len(x) for x in matching.scored_by_coordinates.func(iter(columns))) == 2000 and len(times) == 7
+
+
+def test_merge_candidates_meet_on_name_and_tree_at_once(spark, tmp_path):
+    """Of one name in many trees no pairs across trees are made."""
+    import __spark_entry__
+
+    spark.createDataFrame([(i, "Same Name", "brand", "type", 5, 1.0) for i in range(20000)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = __spark_entry__.queries()["merge_candidates"](spark, str(tmp_path))
+    found = df.collect()
+    assert len(found) == 100 and all(r["a"] // 50 == r["b"] // 50 == r["version_id"] // 10 and r["a"] < r["b"] for r in found)
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "normalized" in x]
+    assert joins and all("version_id" in x for x in joins)
