@@ -10,6 +10,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import kinweave.plans  # noqa: F401
@@ -237,3 +238,36 @@ def test_merge_candidates_meet_on_name_and_tree_at_once(spark, tmp_path):
     assert len(found) == 100 and all(r["a"] // 50 == r["b"] // 50 == r["version_id"] // 10 and r["a"] < r["b"] for r in found)
     joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "normalized" in x]
     assert joins and all("version_id" in x for x in joins)
+
+
+def vectors_with_ties(spark):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)], rng.randrange(6)) for i in range(700)]
+    rows += [(701, [0.0] * 4, 1), (702, None, 2), (703, [1.0, None, 2.0, 0.0], 3), (704, [1.0, 2.0], 4), (800, [1.0, 2.0, 0.0, 1.0], 77), (900, [2.0, 1.0, 1.0, -1.0], None)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+
+
+def slowly_ranked(df):
+    from kinweave.functions.numbers import cosine
+
+    a = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.col("label").alias("l"))
+    met = df.crossJoin(a).where("vec_id <> q").select("q", "vec_id", (F.col("label") == F.col("l")).alias("hit"), F.round(cosine(F.col("v"), F.col("embedding")), 6).alias("s"), F.col("embedding").isNotNull().alias("there"))
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))
+    kept = F.row_number().over(Window.partitionBy("q", "there").orderBy(F.desc("s"), "vec_id"))
+    return met.withColumns({"place": order, "nth": kept}).collect()
+
+
+def test_first_hits_against_all_pairs(spark, monkeypatch):
+    from kinweave.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 150)
+    monkeypatch.setattr(vectors, "ASKED", 3)
+    df = vectors_with_ties(spark)
+    want = {}
+    for r in slowly_ranked(df):
+        want.setdefault(r["q"], None)
+        if r["hit"]:
+            want[r["q"]] = min(r["place"], want[r["q"]] or 10**9)
+    asked = df.where("vec_id % 100 = 0").selectExpr("vec_id AS q", "embedding AS v", "label AS l")
+    got = vectors.first_hits(df.selectExpr("vec_id AS id", "embedding AS vector", "label"), asked)
+    assert {r["q"]: r["first"] for r in got.collect()} == want and want[800] is None and want[900] is None
