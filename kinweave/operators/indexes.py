@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.numbers import cosine
+from kinweave.operators import vectors
 from kinweave.shared import scratch_path, written
 
 
@@ -92,18 +92,12 @@ def nearest(index: tuple[DataFrame, np.ndarray], asked: DataFrame, key: str, vec
         order = np.argsort(-(np.stack(v.to_list()).astype(np.float64) @ shared.value.T), axis=1)[:, :probes].astype(np.int32) if len(v) else []
         return pd.Series([list(map(int, o)) for o in order])
 
-    q = asked.select(F.col(key).alias("query"), F.col(vector).alias("_v")).withColumn("cell", F.explode(near("_v")))
-    return _best(rows.join(q, "cell"), key, vector, k)
+    q = asked.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("_v")).withColumn("cell", F.explode(near("_v")))
+    there = vectors.in_blocks(rows.select(key, F.col(vector).alias("_r"), "cell"), [key, "_r"], vectors.ROWS, by="cell")
+    return vectors.top(there, vectors.in_blocks(q, ["query", "_v"], vectors.ASKED, by="cell"), key, k, by="cell")
 
 
-def nearest_exact(rows: DataFrame, asked: DataFrame, key: str, vector: str, k: int, block: int = 256) -> DataFrame:
-    """The same over all rows. Queries go in blocks, and each row meets each block once."""
-    n = max(1, -(-asked.count() // block))
-    q = asked.select(F.col(key).alias("query"), F.col(vector).alias("_v")).withColumn("block", F.pmod(F.hash("query"), F.lit(n)))
-    return _best(rows.where(F.col(vector).isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q, "block"), key, vector, k)
-
-
-def _best(met: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    scored = met.where(F.col(key) != F.col("query")).select("query", key, F.round(cosine(F.col(vector), F.col("_v")), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+def nearest_exact(rows: DataFrame, asked: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """The same over all rows."""
+    there = vectors.in_blocks(rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_r")), [key, "_r"], vectors.ROWS)
+    return vectors.top(there, vectors.in_blocks(asked.select(F.col(key).alias("query"), F.col(vector).alias("_v")), ["query", "_v"], vectors.ASKED), key, k)

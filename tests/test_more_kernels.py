@@ -271,3 +271,18 @@ def test_first_hits_against_all_pairs(spark, monkeypatch):
     asked = df.where("vec_id % 100 = 0").selectExpr("vec_id AS q", "embedding AS v", "label AS l")
     got = vectors.first_hits(df.selectExpr("vec_id AS id", "embedding AS vector", "label"), asked)
     assert {r["q"]: r["first"] for r in got.collect()} == want and want[800] is None and want[900] is None
+
+
+def test_nearest_in_blocks_against_all_pairs(spark, monkeypatch):
+    from kinweave.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 150)
+    monkeypatch.setattr(vectors, "ASKED", 3)
+    df = vectors_with_ties(spark)
+    want = sorted((r["q"], r["vec_id"], r["s"], r["nth"]) for r in slowly_ranked(df) if r["there"] and r["nth"] <= 10)
+    asked = df.where("vec_id % 100 = 0")
+    got = indexes.nearest_exact(df, asked, "vec_id", "embedding", 10).collect()
+    assert sorted(tuple(r[c] for c in ("query", "vec_id", "score", "place")) for r in got) == want
+    even = df.where("size(embedding) = 4 AND NOT exists(embedding, x -> x IS NULL)")
+    whole = indexes.nearest(indexes.cells(even, "vec_id", "embedding"), even.where("vec_id % 100 = 0"), "vec_id", "embedding", 10, share=1.0).collect()
+    assert sorted(tuple(r[c] for c in ("query", "vec_id", "score", "place")) for r in whole) == sorted((r["q"], r["vec_id"], r["s"], r["nth"]) for r in slowly_ranked(even) if r["nth"] <= 10)
