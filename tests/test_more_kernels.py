@@ -286,3 +286,19 @@ def test_nearest_in_blocks_against_all_pairs(spark, monkeypatch):
     even = df.where("size(embedding) = 4 AND NOT exists(embedding, x -> x IS NULL)")
     whole = indexes.nearest(indexes.cells(even, "vec_id", "embedding"), even.where("vec_id % 100 = 0"), "vec_id", "embedding", 10, share=1.0).collect()
     assert sorted(tuple(r[c] for c in ("query", "vec_id", "score", "place")) for r in whole) == sorted((r["q"], r["vec_id"], r["s"], r["nth"]) for r in slowly_ranked(even) if r["nth"] <= 10)
+
+
+def test_similar_by_group_against_all_pairs(spark, monkeypatch):
+    from kinweave.operators import setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK", 7)
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(40)]
+    rows = [(rng.choice(["s1", "s2", "s3", None]), sorted(set(base[: rng.choice([6, 30, 33])]) - {rng.choice(base) for _ in range(rng.randrange(4))})) for _ in range(90)] + [("s1", []), ("s2", []), ("s3", None)]
+    want = {}
+    for i, (g, x) in enumerate(rows):
+        for h, y in rows[:i]:
+            if g and h and g != h and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.86:
+                want[min(g, h), max(g, h)] = want.get((min(g, h), max(g, h)), 0) + 1
+    got = setjoin.similar_by_group(spark.createDataFrame(rows, "s string, g array<string>").repartition(3), "s", "g", 0.86).collect()
+    assert want and {(r["a"], r["b"]): r["pairs"] for r in got} == want
