@@ -91,8 +91,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = sharding.reshard(table(spark, sf_dir, "documents"), shards=40)
-    return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+    """Laid out in 32 shards of files, brought to 40 there; what it returns is what lies in the files then."""
+    folder = scratch_path(spark, "shards")
+    schema = sharding.lay_out(table(spark, sf_dir, "documents"), folder, shards=32)
+    sharding.reshard_files(spark, folder, schema, shards=40)
+    old = sharding.old_layout(F.col("doc_id"), 32)
+    there = sharding.laid_out(spark, folder, schema)
+    return there.select("doc_id", sharding.size().alias("size"), sharding.checksum().alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old.alias("old_shard"), (old != F.col("shard")).alias("moved"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_nbest, op3_host_rules, op4_pii_bilstm_crf, op5_warc, op6_token_counts, op7_template_decontamination, op8_ngram_jaccard, op9_suffix_dedup, op10_flow_sharding)}

@@ -13,9 +13,15 @@ mean cost is as good as each row's own, and the flow moves the fewest bytes of a
 The network has some (old + new) nodes whatever the number of rows; rows learn their place from their rank,
 which is counted in ranges, never in one task.
 
+The layout is files: lay_out() writes whole rows to ``folder``/shard=N/, reshard_files() solves the flow for
+what lies there and writes the shards anew that gain or lose rows, and laid_out() reads what lies there then.
+Rows that stay are written by the task that reads them, only rows that move are shuffled. reshard() is the
+plan alone, and rewrite() carries such a plan out in a folder of another writer, by a unique key.
+
 Null texts count no bytes. Rows with equal or null ids and equal texts are rows of their own. An empty table
-has no rows to place; other columns of docs are not read, so they clash with nothing. Order inside an old
-shard is by size, doc_id and text checksum, larger first; repeated rows as they were read.
+has no rows to place. reshard() does not read other columns of docs; in files they are kept, under their name
+with underscores behind where it is one of the layout's own (``shard``, ``at``, ``slot``). Order inside an old shard is
+by size, doc_id and text checksum, larger first; repeated rows as they were read.
 """
 
 from __future__ import annotations
@@ -25,9 +31,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinweave.shared import written
 
+#: Columns of a layout beside those of its rows: the folder's, the order inside it, and the place that follows from it.
+OWN = ("shard", "at", "slot")
+
 
 @dataclass
 class Block:
@@ -142,15 +152,20 @@ def ranked(rows: DataFrame, shard: str, order: list[Column], parts: int) -> Data
 
     Only (range, shard) counts come to the driver: ``parts`` + shards of them at most.
     """
-    spark = rows.sparkSession
-    dealt = written(rows.repartitionByRange(parts, F.col(shard), *order).sortWithinPartitions(F.col(shard), *order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranges")
-    counts = dealt.groupBy("_part", shard).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).collect()
+    dealt = written(rows.repartitionByRange(parts, F.col(shard), *order).sortWithinPartitions(F.col(shard), *order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    return numbered(dealt, shard, "_at", "rank").drop("_at")
+
+
+def numbered(rows: DataFrame, shard: str, at: str, name: str) -> DataFrame:
+    """rows with their place in the shard, gapless from 0 by ``at``: numbers of monotonically_increasing_id() over range partitions, or places themselves."""
+    counts = rows.groupBy(F.shiftright(at, 33).cast("int").alias("_part"), shard).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).collect()
     before, seen = [], {}
     for r in sorted(counts, key=lambda r: r["_part"]):
         before.append((r["_part"], r[shard], r["first"], seen.get(r[shard], 0)))
         seen[r[shard]] = seen.get(r[shard], 0) + r["n"]
-    shift = spark.createDataFrame(before, f"_part int, {shard} int, _first long, _before long")
-    return dealt.join(F.broadcast(shift), ["_part", shard]).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_first", "_before")
+    shift = rows.sparkSession.createDataFrame(before, f"_part int, {shard} int, _first long, _before long")
+    there = rows.withColumn("_part", F.shiftright(at, 33).cast("int"))
+    return there.join(F.broadcast(shift), ["_part", shard]).withColumn(name, F.col(at) - F.col("_first") + F.col("_before")).drop("_part", "_first", "_before")
 
 
 def old_layout(doc_id: Column, shards: int) -> Column:
@@ -160,24 +175,97 @@ def old_layout(doc_id: Column, shards: int) -> Column:
 
 def reshard(docs: DataFrame, shards: int = 40, old_shards: int = 32, overhead: int = 16, old: Column | None = None) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot, moved: the plan for every row. ``old``: where a row was (never null)."""
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     was = old_layout(F.col("doc_id"), old_shards) if old is None else old.cast("int")
-    rows = docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), was.alias("old_shard"))
+    rows = docs.select("doc_id", size(overhead).alias("size"), checksum().alias("text_crc32"), was.alias("old_shard"))
     # written, so that the number which tells repeated rows apart, and spreads them over ranges, stays the same
     rows = written(rows.withColumn("_nth", F.monotonically_increasing_id()), "rows")
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), old_shards)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), old_shards)
     rows = ranked(rows, "old_shard", [F.desc("size"), F.asc_nulls_first("doc_id"), F.asc("text_crc32"), F.asc("_nth")], parts)
+    return placed(rows, blocks(rows, shards)).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot", (F.col("old_shard") != F.col("shard")).alias("moved"))
+
+
+def size(overhead: int = 16) -> Column:
+    return (F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) + overhead).cast("long")
+
+
+def checksum() -> Column:
+    return F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+
+
+def blocks(rows: DataFrame, shards: int) -> DataFrame:
+    """What the flow decides for rows (with size, old_shard and rank). A cheapest flow's edges that carry rows form a forest, so there are few blocks."""
     low = rows.count() // shards
     got = rows.groupBy("old_shard").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"),
         F.coalesce(F.max(F.when(F.col("rank") == low, F.col("size"))), F.lit(0)).alias("edge"), F.coalesce(F.sum(F.when(F.col("rank") < low, F.col("size"))), F.lit(0)).alias("before"),
     )
     olds = {r["old_shard"]: Old(r["n"], r["b"], r["edge"], r["before"]) for r in got.collect()}
-    blocks = spark.createDataFrame([(b.old, b.lo, b.hi, b.new, b.slot) for b in solve(olds, shards)], "old_shard int, lo long, hi long, shard int, start long")
-    # a cheapest flow's edges that carry rows form a forest, so there are few blocks; a row keeps the one that holds its rank
-    placed = rows.join(F.broadcast(blocks), (rows["old_shard"] == blocks["old_shard"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(blocks["old_shard"])
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("start") + F.col("rank") - F.col("lo")).alias("slot"), (F.col("old_shard") != F.col("shard")).alias("moved"))
+    return rows.sparkSession.createDataFrame([(b.old, b.lo, b.hi, b.new, b.slot) for b in solve(olds, shards)], "_old int, _lo long, _hi long, shard int, _start long")
+
+
+def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (with old_shard and rank) and their shard and slot: a row keeps the block that holds its rank."""
+    there = rows.join(F.broadcast(plan), (F.col("old_shard") == F.col("_old")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
+    return there.withColumn("slot", F.col("_start") + F.col("rank") - F.col("_lo")).drop("_old", "_lo", "_hi", "_start")
+
+
+def kept_names(columns: list[str]) -> list[str]:
+    """The names that columns of documents have in a layout."""
+    taken, out = {c.lower() for c in columns} | set(OWN), []
+    for c in columns:
+        name = c
+        while name.lower() in OWN or (name != c and name.lower() in taken):
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lay_out(docs: DataFrame, folder: str, shards: int = 32, overhead: int = 16, old: Column | None = None) -> StructType:
+    """Write every row of docs whole to ``folder``/shard=N/, N by ``old`` (never null) or by checksum of its id; returns the files' schema."""
+    spark = docs.sparkSession
+    was = old_layout(F.col("doc_id"), shards) if old is None else old.cast("int")
+    # rows go as one struct, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct("*").alias("doc"), was.alias("shard"), size(overhead).alias("size"), F.col("doc_id").alias("id"), checksum().alias("crc"), F.monotonically_increasing_id().alias("nth"))
+    order = [F.asc("shard"), F.desc("size"), F.asc_nulls_first("id"), F.asc("crc"), F.asc("nth")]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("shard", F.monotonically_increasing_id().alias("at"), "doc.*").toDF("shard", "at", *kept_names(docs.columns))
+    dealt.write.partitionBy("shard").parquet(folder)
+    return dealt.schema
+
+
+def lying(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """doc (a struct), shard and slot of the rows that lie in ``folder`` now."""
+    rows = spark.read.schema(schema).parquet(folder).select(F.struct(*[F.col(f"`{n}`") for n in schema.names[2:]]).alias("doc"), "shard", "at")
+    return numbered(rows, "shard", "at", "slot").drop("at")
+
+
+def laid_out(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The rows that lie in ``folder`` now, with their shard and slot."""
+    return lying(spark, folder, schema).select("doc.*", "shard", "slot")
+
+
+def reshard_files(spark: SparkSession, folder: str, schema: StructType, shards: int = 40, overhead: int = 16) -> list[int]:
+    """Bring the layout in ``folder`` to ``shards`` shards, moving the fewest bytes; returns the shards whose files changed.
+
+    The rows of a shard must lie as lay_out() puts them, the largest first; then any number of shards may come of
+    them. A shard that only keeps its rows is not written.
+    """
+    rows = lying(spark, folder, schema).select("doc", F.col("shard").alias("old_shard"), F.col("slot").alias("rank"))
+    plan = blocks(rows.select("doc.text", "old_shard", "rank").withColumn("size", size(overhead)).drop("text"), shards)
+    touched = sorted({k for r in plan.where("_old != shard").collect() for k in (r["_old"], r["shard"])})
+    if not touched:
+        return []
+    made = f"{folder}/_made"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(touched))
+    new = placed(rows, plan).where(F.col("shard").isin(touched)).withColumnRenamed("slot", "at")
+    moved = F.col("old_shard") != F.col("shard")
+    for part in (new.where(~moved), new.where(moved).repartitionByRange(parts, "shard", "at")):
+        # Spark's cleaner removes files of shuffles that nothing refers to: the layout's own, when its listeners are done with it
+        spark.sparkContext._jvm.System.gc()
+        part.sortWithinPartitions("shard", "at").select("shard", "at", "doc.*").write.mode("append").partitionBy("shard").parquet(made)
+    swap(spark, folder, made, touched)
+    return touched
 
 
 def rewrite(spark: SparkSession, plan: DataFrame, folder: str, key: str = "doc_id") -> list[int]:
@@ -198,10 +286,17 @@ def rewrite(spark: SparkSession, plan: DataFrame, folder: str, key: str = "doc_i
     here = plan.where(F.col("shard").isin(touched)).select(key, F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     old = spark.read.option("basePath", folder).parquet(folder).where(F.col("shard").isin(touched))
     columns = [c for c in old.columns if c != "shard"]
-    made, before = f"{folder}/_made", f"{folder}/_before"
+    made = f"{folder}/_made"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(touched))
     rows = old.drop("shard").join(here, key).select(*columns, F.col("_shard").alias("shard"), "_slot")
     rows.repartitionByRange(parts, "shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot").write.mode("overwrite").partitionBy("shard").parquet(made)
+    swap(spark, folder, made, touched)
+    return touched
+
+
+def swap(spark: SparkSession, folder: str, made: str, touched: list[int]) -> None:
+    """Put the touched shards of ``made`` in the place of those in ``folder``, shard by shard."""
+    before = f"{folder}/_before"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(before))
@@ -213,4 +308,3 @@ def rewrite(spark: SparkSession, plan: DataFrame, folder: str, key: str = "doc_i
             fs.rename(path(f"{made}/{name}"), path(f"{folder}/{name}"))
     fs.delete(path(made), True)
     fs.delete(path(before), True)
-    return touched

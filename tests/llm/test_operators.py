@@ -10,8 +10,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kinweave.llm import decontam, host_rules, jaccard, nbest, pieces, pii, quality, sharding, substrings, token_counts, warc
+from kinweave.llm import decontam, host_rules, jaccard, nbest, pieces, pii, quality, queries, sharding, substrings, token_counts, warc
 from kinweave.operators import components
+from kinweave.shared import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -704,6 +705,49 @@ def test_reshard_moves_the_fewest_bytes(spark):
     assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s, n in sorted(Counter(r["shard"] for r in got).items()) for k in range(n)]
 
 
+def test_files_are_brought_to_the_new_shards(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(None if i % 9 == 0 else i % 20, None if i % 7 == 0 else "x" * rng.choice([0, 3, 30, 200]), i, -i, [0, 0, 0, 1, 2, 6][i % 6]) for i in range(60)]
+    rows += [(5, "same", 60, 0, 4)] * 2 + [(k, "", 62 + k, 0, 3) for k in range(12)]  # shard 3 has what each gets: nothing comes or goes
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank int, shard int, size int")
+    folder = str(tmp_path / "files")
+    schema = sharding.lay_out(docs, folder, old=docs["size"])
+    was = {p: p.stat().st_mtime_ns for p in (tmp_path / "files").glob("shard=*/*.parquet")}
+    touched = sharding.reshard_files(spark, folder, schema, 6)
+    got = sharding.laid_out(spark, folder, schema).collect()
+    assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["text"], r["rank"], r["shard_"], r["size"])) for r in got)  # whole rows, whatever their columns' names
+    count = Counter(r["shard"] for r in got)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s, n in sorted(count.items()) for k in range(n)]
+    assert sorted(count) == list(range(6)) and max(count.values()) - min(count.values()) <= 1
+    layout = [[len(t or "") + 16 for _, t, _, _, a in rows if a == k] for k in range(7)]
+    assert sum(len(r["text"] or "") + 16 for r in got if r["shard"] != r["size"]) == least_moved_by_edges(layout, 6)
+    still = [p for p in was if int(p.parent.name[6:]) not in touched]
+    assert 3 not in touched and 6 in touched and still and all(p.stat().st_mtime_ns == was[p] for p in still)
+    assert not (tmp_path / "files" / "_made").exists() and not (tmp_path / "files" / "_before").exists()
+    assert sharding.reshard_files(spark, folder, schema, 6) == []
+    empty = str(tmp_path / "empty")
+    schema = sharding.lay_out(docs.limit(0), empty)
+    assert sharding.reshard_files(spark, empty, schema) == [] and sharding.laid_out(spark, empty, schema).count() == 0
+
+
+def least_moved_by_edges(layout, shards):
+    """least_moved() for more rows: each shard keeps its largest, and those with the largest row at the edge keep one more."""
+    low, extra = divmod(sum(map(len, layout)), shards)
+    ordered = [sorted(sizes, reverse=True) for sizes in layout]
+    moved = sum(sum(s[low if i < shards else 0 :]) for i, s in enumerate(ordered))
+    return moved - sum(sorted((s[low] for s in ordered[:shards] if len(s) > low), reverse=True)[:extra])
+
+
+def test_the_query_writes_and_reads_the_shards(spark, sf_dir, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries, "scratch_path", lambda s, name: made.append(scratch_path(s, name)) or made[-1])
+    got = {(r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in queries.op10_flow_sharding(spark, sf_dir).collect()}
+    files = spark.read.parquet(made[0]).collect()
+    assert got == {(r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()), r["shard"]) for r in files} and len(got) == len(files)
+    plan = sharding.reshard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert got == {(r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in plan.collect()}
+
+
 def test_rewrite_changes_touched_shards_alone(spark, tmp_path):
     rows = [(i, f"text {i} " + "y" * (i % 5), i % 3 if i < 30 else 3 + i % 2) for i in range(50)]  # shards of 10, 10, 10, 10, 10
     rows += [(100, "one too many", 0), (101, "and one", 0), (102, "out of range", 6)]
