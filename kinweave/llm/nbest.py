@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -73,23 +73,33 @@ class Trie:
             keys, to, slot = keys[~win], to[~win], (slot[~win] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """The next node of each, or -1."""
-        keys = nodes * self.width + chars
+        keys = nodes * self.width + chars  # character 0 is in no key
         slot = self._slot(keys)
-        out = np.full(len(keys), -1)
-        left = np.flatnonzero(chars > 0)
+        there = self.keys[slot]
+        hit = there == keys
+        out = np.where(hit, self.to[slot], -1)
+        left = np.flatnonzero(~hit & (there != -1))
         while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
             there = self.keys[slot[left]]
             hit = there == keys[left]
             out[left[hit]] = self.to[slot[left[hit]]]
             left = left[~hit & (there != -1)]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
         return out
 
 
+class Places(dict):
+    """Words and their places, in order; a word that is looked up for the first time gets the next place."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
 class NBest:
     def __init__(self, table: PieceTable, n: int = 4, most: int = 400_000):
         self.t, self.n, self.most = table, n, most
@@ -100,68 +110,82 @@ class NBest:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}  # word -> place in what follows
+        self.index = Places()  # word -> place in what follows
         self.size = 0  # characters of all words
         self.ids = np.empty(1 << 16, dtype=np.int32)  # all words' best ids, one after the other
         self.used = 0
         self.first = np.empty(1024, dtype=np.int64)  # where a word's ids begin
         self.numbers = np.empty((1024, 3))  # score, loss of the second best, pieces
 
-    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray, scores: np.ndarray, losses: np.ndarray) -> None:
-        k, m = len(self.index), len(words)
-        while k + m > len(self.first):
-            self.first, self.numbers = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.numbers))
+    def _add(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray, scores: np.ndarray, losses: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.first[k : k + m] = self.used + np.cumsum(counts) - counts
-        self.numbers[k : k + m, 0], self.numbers[k : k + m, 1], self.numbers[k : k + m, 2] = scores, losses, counts
+        self.first[at] = self.used + np.cumsum(counts) - counts
+        self.numbers[at, 0], self.numbers[at, 1], self.numbers[at, 2] = scores, losses, counts
         self.used += len(ids)
-        self.size += sum(map(len, words))
-        self.index.update(zip(words, range(k, k + m), strict=True))
 
-    def learn(self, words: set[str]) -> None:
-        """Solve all new words, those of about a length at once. The memo starts anew when it is full."""
+    def places(self, cut: list[list[str]]) -> np.ndarray:
+        """Places of all words in order; new ones are solved. The memo starts anew when it is full."""
         if len(self.index) > self.most or self.size > 16 * self.most:
             self._forget()
-        by_length: dict[int, list[str]] = {}
-        for w in words.difference(self.index):
-            by_length.setdefault(-(-len(w) // 4) * 4, []).append(w)
-        for n, group in by_length.items():
+        known = len(self.index)
+        try:
+            at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
+            self._learn(list(islice(reversed(self.index), len(self.index) - known))[::-1], known)
+        except BaseException:
+            self._forget()  # else words without a solution would be taken for known ones
+            raise
+        return at
+
+    def _learn(self, words: list[str], known: int) -> None:
+        """Solve the new words, whose places begin at ``known``; those of about a length at once."""
+        while known + len(words) > len(self.first):
+            self.first, self.numbers = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.numbers))
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.size += int(sizes.sum())
+        step = -(-sizes // 4) * 4
+        for n in np.unique(step).tolist():
+            group = np.flatnonzero(step == n)
             if n > SHORT:
-                for w in group:
-                    ids, score, loss = self._solve(w)
+                for k in group.tolist():
+                    ids, score, loss = self._solve(words[k])
                     ids = np.frombuffer(ids, dtype=np.int32)
-                    self._add([w], ids, np.array([len(ids)]), np.array([score]), np.array([loss]))
+                    self._add(np.array([known + k]), ids, np.array([len(ids)]), np.array([score]), np.array([loss]))
             else:
                 for lo in range(0, len(group), 4_000):
-                    self._solve_short(group[lo : lo + 4_000], n)
+                    part = group[lo : lo + 4_000]
+                    self._solve_short([words[k] for k in part.tolist()], n, known + part)
+
+    def _solve_short(self, group: list[str], n: int, at: np.ndarray) -> None:
+        """All words of the group, none longer than ``n``; positions behind a word's end have no character that a piece holds.
 
-    def _solve_short(self, group: list[str], n: int) -> None:
-        """All words of the group, none longer than ``n``; positions behind a word's end have no character that a piece holds."""
+        Tables have a row a position and a column a word.
+        """
         trie, rows = self.trie, len(group)
         size = np.fromiter(map(len, group), dtype=np.int64, count=rows)
-        there = np.arange(n) < size[:, None]
         chars = np.zeros((rows, n), dtype=np.int64)
-        chars[there] = trie.char[np.frombuffer("".join(group).encode("utf-32-le"), dtype=np.uint32)]
-        alpha = np.full((rows, n + 1), -np.inf)
-        alpha[:, 0] = 0
-        from_start, from_piece = np.zeros((rows, n + 1), dtype=np.int64), np.zeros((rows, n + 1), dtype=np.int64)
-        edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        chars[np.arange(n) < size[:, None]] = trie.char[np.frombuffer("".join(group).encode("utf-32-le"), dtype=np.uint32)]
+        chars = np.ascontiguousarray(chars.T)
+        alpha = np.full((n + 1, rows), -np.inf)
+        alpha[0] = 0
+        from_start, from_piece = np.zeros((n + 1, rows), dtype=np.int64), np.zeros((n + 1, rows), dtype=np.int64)
+        edges: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = []
 
         def relax(s: int, e: int, r: np.ndarray, piece: np.ndarray) -> None:
-            edges[s].append((e, r, piece))
-            got = alpha[r, s] + self.piece_scores[piece]
-            better = got > alpha[r, e]
+            x = self.piece_scores[piece]
+            edges[s].append((e, r, piece, x))
+            got = alpha[s][r] + x
+            better = got > alpha[e][r]
             r, piece = r[better], piece[better]
-            alpha[r, e], from_start[r, e], from_piece[r, e] = got[better], s, piece
+            alpha[e][r], from_start[e][r], from_piece[e][r] = got[better], s, piece
 
         for s in range(n):
             edges.append([])
             r = np.flatnonzero(size > s)
             node = np.zeros(len(r), dtype=np.int64)
             for e in range(s + 1, min(n, s + self.t.longest) + 1):
-                node = trie.step(node, chars[r, e - 1])
+                node = trie.step(node, chars[e - 1][r])
                 ok = node >= 0
                 alone = r[~ok] if e == s + 1 else r[:0]
                 r, node = r[ok], node[ok]
@@ -175,23 +199,24 @@ class NBest:
                     relax(s, e, alone, np.full(len(alone), -1))
                 if not len(r):
                     break
-        path = np.full((rows, n), -2)  # at its start, the piece of the best path
-        ends = np.zeros((rows, n), dtype=np.int64)
-        at, live = size.copy(), np.arange(rows)
+        path = np.full((n, rows), -2)  # at its start, the piece of the best path
+        here, live = size.copy(), np.arange(rows)
         while len(live):
-            s, piece = from_start[live, at[live]], from_piece[live, at[live]]
-            path[live, s], ends[live, s] = piece, at[live]
-            at[live] = s
+            s, piece = from_start[here[live], live], from_piece[here[live], live]
+            path[s, live] = piece
+            here[live] = s
             live = live[s > 0]
-        beta = np.full((rows, n + 1), -np.inf)
-        beta[np.arange(rows), size] = 0
-        loss, top = np.full(rows, np.inf), alpha[np.arange(rows), size]
+        beta = np.full((n + 1, rows), -np.inf)
+        beta[size, np.arange(rows)] = 0
+        loss, top = np.full(rows, np.inf), alpha[size, np.arange(rows)]
         for s in range(n - 1, -1, -1):
-            for e, r, piece in edges[s]:
-                rest = self.piece_scores[piece] + beta[r, e]
-                beta[r, s] = np.maximum(beta[r, s], rest)
-                other = ~((path[r, s] == piece) & (ends[r, s] == e))
-                loss[r[other]] = np.minimum(loss[r[other]], top[r[other]] - (alpha[r[other], s] + rest[other]))
+            for e, r, piece, x in edges[s]:
+                rest = x + beta[e][r]
+                beta[s][r] = np.maximum(beta[s][r], rest)
+                worse = top[r] - (alpha[s][r] + rest)
+                worse[path[s][r] == piece] = np.inf  # the best path's own edge: from one start, a piece has one end
+                loss[r] = np.minimum(loss[r], worse)
+        path = np.ascontiguousarray(path.T)
         used = path != -2
         counts = used.sum(axis=1)
         strange = np.flatnonzero((path == -1).any(axis=1))
@@ -200,10 +225,9 @@ class NBest:
             plain[strange] = False
             for k in strange.tolist():
                 ids = np.frombuffer(self._ids([(s, int(p)) for s, p in enumerate(path[k]) if p != -2], group[k]), dtype=np.int32)
-                self._add([group[k]], ids, np.array([len(ids)]), top[k : k + 1], loss[k : k + 1])
-            group = [group[k] for k in np.flatnonzero(plain).tolist()]
-            used, path, counts, top, loss = used[plain], path[plain], counts[plain], top[plain], loss[plain]
-        self._add(group, path[used].astype(np.int32), counts, top, loss)
+                self._add(at[k : k + 1], ids, np.array([len(ids)]), top[k : k + 1], loss[k : k + 1])
+            at, used, path, counts, top, loss = at[plain], used[plain], path[plain], counts[plain], top[plain], loss[plain]
+        self._add(at, path[used].astype(np.int32), counts, top, loss)
 
     def _ending(self, word: str, e: int) -> list[tuple[int, int, float]]:
         """(start, piece, score) of the edges that end at ``e``, longest first; piece -1 is an unknown character."""
@@ -312,19 +336,21 @@ class NBest:
         """encode() of each, in groups of texts of about so many characters."""
         for part in grouped(texts, chars):
             cut = [self.t.words(t) for t in part]
-            self.learn(set().union(*cut))
-            at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
-            lo = 0
+            at = self.places(cut)
+            numbers = self.numbers[at]
+            counts = numbers[:, 2].astype(np.int64)
+            ends = np.cumsum(counts)
+            best = self.ids[np.repeat(self.first[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+            lo = used = 0
             for words in cut:
-                yield self._encode(words, at[lo : lo + len(words)])
-                lo += len(words)
+                hi = lo + len(words)
+                till = int(ends[hi - 1]) if hi else 0
+                yield self._encode(words, numbers[lo:hi], ends[lo:hi] - used, best[used:till])
+                lo, used = hi, till
 
-    def _encode(self, words: list[str], at: np.ndarray) -> list[tuple[float, np.ndarray]]:
-        numbers = self.numbers[at]
+    def _encode(self, words: list[str], numbers: np.ndarray, ends: np.ndarray, best: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """numbers and ends: of each word, and where its ids end in the text's best ids."""
         score = float(numbers[:, 0].sum())
-        counts = numbers[:, 2].astype(np.int64)
-        ends = np.cumsum(counts)
-        best = self.ids[np.repeat(self.first[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
         if self.n == 1 or not words:
             return [(score, best)]
         losses = numbers[:, 1]

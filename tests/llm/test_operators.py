@@ -620,6 +620,33 @@ def test_parts_of_a_stretch_hold_each_start_once(unit):
                 assert len({x[2] for x in parts}) == len(parts)
 
 
+def test_nbest_memo_starts_anew_between_texts():
+    """Texts of a group are encoded by what was gathered for the group, whatever happens to the memo meanwhile."""
+    rng = random.Random(12)
+    table = pieces.load(MODEL)
+    one, two = ([" ".join("".join(rng.choices("abcdefgh-é", k=rng.randint(1, 60))) for _ in range(20)) for _ in range(8)] for _ in range(2))
+    want = [[(score, ids.tolist()) for score, ids in nbest.NBest(table).encode(t)] for t in one]
+    solver = nbest.NBest(table, most=1)
+    got = []
+    for x in solver.encode_many(one):
+        got.append([(score, ids.tolist()) for score, ids in x])
+        for t in two:
+            solver.encode(t)
+    assert got == want
+
+
+def test_nbest_memo_holds_no_unsolved_words(monkeypatch):
+    table = pieces.load(MODEL)
+    solver = nbest.NBest(table)
+    want = [ids.tolist() for _, ids in solver.encode("quite new words")]
+    solver._forget()
+    with monkeypatch.context() as m:
+        m.setattr(solver.trie, "step", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            solver.encode("quite new words")
+    assert [ids.tolist() for _, ids in solver.encode("quite new words")] == want
+
+
 def test_suffix_family_levels():
     rng = np.random.default_rng(1)
     family, keys = substrings.SuffixFamily(400), []
