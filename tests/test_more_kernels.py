@@ -9,6 +9,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -302,3 +303,77 @@ def test_similar_by_group_against_all_pairs(spark, monkeypatch):
                 want[min(g, h), max(g, h)] = want.get((min(g, h), max(g, h)), 0) + 1
     got = setjoin.similar_by_group(spark.createDataFrame(rows, "s string, g array<string>").repartition(3), "s", "g", 0.86).collect()
     assert want and {(r["a"], r["b"]): r["pairs"] for r in got} == want
+
+
+def test_similar_by_group_in_cells_against_all_pairs(spark, monkeypatch):
+    """Blocks by size that meet in cells: no pair is lost and none is made up."""
+    from kinweave.operators import setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK", 60)
+    monkeypatch.setattr(setjoin, "LEAST", 10)
+    rng = random.Random(9)
+    kinds = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        whole = set(rng.sample(kinds, rng.choice([5, 40, 41, 150, 290])))
+        rows += [(f"s{rng.randrange(4)}", sorted(whole - set(rng.sample(kinds, rng.choice([0, 10, 25, 60]))))) for _ in range(5)]
+    rows += [(f"s{i % 3}", ["twin", "copy"]) for i in range(70)]
+    want = {}
+    for i, (g, x) in enumerate(rows):
+        for h, y in rows[:i]:
+            if g != h and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.86:
+                want[min(g, h), max(g, h)] = want.get((min(g, h), max(g, h)), 0) + 1
+    df = spark.createDataFrame(rows, "s string, g array<string>").repartition(3)
+    assert {(r["a"], r["b"]): r["pairs"] for r in setjoin.similar_by_group(df, "s", "g", 0.86).collect()} == want
+    assert setjoin.similar_by_group(df.where("s = 'none'"), "s", "g", 0.86).collect() == []
+
+
+def one_block(setjoin, sets):
+    often, times = np.unique(np.concatenate(sets), return_counts=True)
+    frequent = often[np.argsort(-times, kind="stable")][: setjoin.BITS]
+    n = np.array([len(x) for x in sets])
+    sizes, counts = np.unique(n, return_counts=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([str(i) for i in range(len(sets))]), pa.array(sets, pa.list_(pa.int64())), pa.array(n, pa.int32())], ["k", "g", "t", "n"])
+    return setjoin._Side(pa.Table.from_batches(setjoin._marks(frequent, sizes, np.cumsum(counts) - counts, counts, len(sets), [[0]])(iter([batch]))))
+
+
+@pytest.mark.parametrize("bits", [64, 512, 8192])
+def test_links_are_exact_with_tokens_that_have_no_bit(monkeypatch, bits):
+    from kinweave.operators import setjoin
+
+    for name, value in {"BITS": bits, "TILE": (16, 32), "VERIFIED": 5}.items():
+        monkeypatch.setattr(setjoin, name, value)
+    rng = random.Random(9)
+    kinds = [rng.randrange(-(2**63), 2**63) for _ in range(2000)]
+    sets = []
+    for _ in range(40):
+        whole = set(rng.sample(kinds, rng.choice([5, 40, 41, 600, 1500])))
+        sets += [sorted(whole - set(rng.sample(kinds, rng.choice([0, 100, 150, 160, 170])))) for _ in range(5)]
+    sets = [np.array(x) for x in sets if x]
+    side = one_block(setjoin, sets)
+    got = [tuple(sorted((int(side.groups[side.group[i]]), int(side.groups[side.group[j]])))) for x, y in setjoin._links(side, side, True, 0.86) for i, j in zip(x, y, strict=True)]
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.86}
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_sketches_tell_most_pairs_apart(monkeypatch):
+    """Of sets of common words hardly a pair is counted that doesn't link; every pair of two blocks was counted before, token by token."""
+    from kinweave.operators import setjoin
+
+    rng = np.random.default_rng(3)
+    side, counted, kept = one_block(setjoin, [np.unique(rng.zipf(1.3, 900) % 3000) for _ in range(600)]), [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: counted.append(len(x)) or kept(x))
+    links = sum(len(i) for i, _ in setjoin._links(side, side, True, 0.86))
+    assert sum(counted) <= links + 600 * 599 / 2 / 100
+
+
+def test_trigram_codes_are_the_engines_trigrams(spark):
+    from kinweave.functions import text as T
+
+    words = ["a", "ab", "straße", "عين", "𐐨𐐩x", "7"]
+    codes, count = T.trigram_codes(pa.array(words))
+    cuts = np.split(codes, np.cumsum(count)[:-1])
+    got = [["".join(chr(c >> s & 0x1FFFFF) for s in (42, 21, 0)) for c in cut.tolist()] for cut in cuts]
+    rows = spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", T.trigrams(F.col("w")).alias("g")).collect()
+    assert [sorted(set(g)) for g in got] == [sorted(r["g"]) for r in sorted(rows, key=lambda r: r["i"])]
+    assert all(len(x) == 0 for x in T.trigram_codes(pa.array([], pa.string())))
